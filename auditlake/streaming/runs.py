@@ -78,22 +78,23 @@ def event_counts(
 
 def _deltas(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     emitted = state.get[0] if state.exists else ""
-    for pdf in batches:
-        seqs, deltas = [], []
-        for seq, text in zip(pdf["seq"], pdf["text"]):
-            delta = text[len(emitted):] if text.startswith(emitted) else text
-            if delta:
-                emitted += delta
-                seqs.append(seq)
-                deltas.append(delta)
-        yield pd.DataFrame({"key": [key[0]] * len(seqs), "seq": seqs, "delta": deltas})
+    new = pd.concat(list(batches)).sort_values("seq")
+    seqs, deltas = [], []
+    for seq, text in zip(new["seq"], new["text"]):
+        delta = text[len(emitted):] if text.startswith(emitted) else text
+        if delta:
+            emitted += delta
+            seqs.append(seq)
+            deltas.append(delta)
     state.update((emitted,))
+    yield pd.DataFrame({"key": [key[0]] * len(seqs), "seq": seqs, "delta": deltas})
 
 
 def text_delta_stream(snapshots: DataFrame, key: str, seq: str, text: str) -> DataFrame:
     """Stream of new text per key; the state is the text emitted so far.
 
-    Snapshots of a key are taken in the order they arrive, as in a progress stream.
+    Within a micro-batch a key's new snapshots are put in order of ``seq``; the source's
+    files-per-trigger or bytes-per-trigger option bounds how many those are.
     """
     rows = snapshots.select(
         F.col(key).cast("string").alias("key"), F.col(seq).cast("bigint").alias("seq"), F.col(text).alias("text")
