@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from auditlake.catalog import documents, tabular  # noqa: F401
+from auditlake.catalog import concepts, documents, mapping, ontology, ranking, runs, tabular  # noqa: F401
 from auditlake.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -86,7 +86,7 @@ def ordered_parts(
     return (
         placed.withColumn("part_no", F.floor((F.col("_pos") - 1) / part_size))
         .groupBy(*groups, "part_no")
-        .agg(F.array_sort(F.collect_list(F.struct("_pos", *items))).alias("_items"))
-        .withColumn(out, F.transform("_items", lambda i: F.struct(*[i[c].alias(c) for c in items])))
-        .drop("_items")
+        .agg(F.array_sort(F.collect_list(F.struct("_pos", *items))).alias("_collected"))
+        .withColumn(out, F.transform("_collected", lambda i: F.struct(*[i[c].alias(c) for c in items])))
+        .drop("_collected")
     )
