@@ -64,10 +64,11 @@ def stream_delta(spark, sf_dir):
     return runlog.text_deltas(snapshots_of(spark, sf_dir), "conv_id", "seq", "text")
 
 
-def snapshots_of(spark, sf_dir):
+def snapshots_of(spark, sf_dir, turns=None):
     """Snapshots of growing turns: the first line, the first two lines, and so on."""
     body = lines("text")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("a")).filter(F.size("a") > 0)
+    turns = table(spark, sf_dir, "conversations") if turns is None else turns
+    rows = turns.select("conv_id", "turn", body.alias("a")).filter(F.size("a") > 0)
     each = rows.select("conv_id", "turn", "a", F.explode(F.sequence(F.lit(1), F.size("a"))).alias("i"))
     return each.select(
         "conv_id", (F.col("turn") * 100000 + F.col("i")).alias("seq"), F.array_join(F.slice("a", F.lit(1), F.col("i")), "\n").alias("text")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.operators import concepts as C
@@ -12,6 +12,7 @@ from auditlake.operators import mapping as M
 from auditlake.operators import ontology as O
 from auditlake.operators import ranking as R
 from auditlake.operators import runlog as L
+from auditlake.operators.context import budget_prefix
 from auditlake.operators.cube import CubeSpec, data_cube
 from auditlake.plans.scan import bucket_of, ordinal
 from auditlake.session import materialize
@@ -117,25 +118,26 @@ def document_context(
     return chosen.join(texts, "concept_name").select("query_id", "rank", "concept_name", "part_no", "segment_text")
 
 
-def tabular_context(df: DataFrame, cubes: list[CubeSpec]) -> DataFrame:
-    """Results of several cubes as numbered text rows: ``file_no, row_no, line``.
+def tabular_context(df: DataFrame, cubes: list[CubeSpec], limit: int) -> DataFrame:
+    """Results of several cubes as comma-joined rows within a budget of characters: ``file_no, row_no, line``.
 
-    Every cube is capped, so its rows can be numbered by one sort.
+    Every cube is capped and sorted, so numbering its rows is one small sort.
     """
     out = None
     for number, spec in enumerate(cubes, 1):
-        if spec.row_limit is None:
-            raise ValueError("a cube for a context needs a row limit")
+        if spec.row_limit is None or not spec.sort_order:
+            raise ValueError("a cube for a context needs a row limit and a sort order")
         result = data_cube(df, spec)
         cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in result.columns]
+        order = [F.col(f"`{c}`").desc_nulls_last() if down else F.col(f"`{c}`").asc_nulls_last() for c, down in spec.sort_order]
         rows = result.select(
-            F.lit(0).cast("bigint").alias("run_id"),
+            F.lit(0).cast("bigint").alias("run"),
             F.lit(number).cast("bigint").alias("file_no"),
-            F.monotonically_increasing_id().alias("row_no"),
+            F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("row_no"),
             F.concat_ws(",", *cells).alias("line"),
         )
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return budget_prefix(out, "run", "file_no", "row_no", F.length("line"), limit).drop("run")
 
 
 def audit_run(evaluations: DataFrame, plans: DataFrame, max_iterations: int = 10) -> DataFrame:

@@ -19,6 +19,16 @@ def _finish(writer) -> None:
     query.awaitTermination()
 
 
+def stream_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Stream over a parquet table, be it a folder or one file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if fs.getFileStatus(where).isFile():
+        return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
+    return reader.parquet(path)
+
+
 def _table(spark: SparkSession, path: str, schema) -> DataFrame:
     """A result table; empty while nothing was written."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -54,8 +64,10 @@ def event_counts(
     ``events`` is a stream with a ``score`` column. Every batch appends only the changed
     counters; the newest counter per key is the state.
     """
+    plain = dict(events.dtypes)[ts] == "timestamp_ntz"
     counted = (
-        events.withColumn("_ts", F.col(ts).cast("timestamp"))
+        # A time without zone counts as UTC, whatever the session's zone.
+        events.withColumn("_ts", F.to_timestamp(F.concat(F.col(ts).cast("string"), F.lit("Z"))) if plain else F.col(ts))
         .withWatermark("_ts", late)
         .groupBy(F.window("_ts", window), F.col(run).alias("run_id"), F.col(event).alias("event"))
         .agg(F.count(F.lit(1)).alias("n"), F.max_by("score", "_ts").alias("last_score"))
