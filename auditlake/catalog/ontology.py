@@ -9,6 +9,8 @@ from auditlake.operators import ontology
 from auditlake.operators.ontology import (
     CMNS_DEFINITION, OWL_CLASS, OWL_ON_PROPERTY, RDF_TYPE, RDFS_DOMAIN, RDFS_LABEL, RDFS_SUBCLASS, SKOS_DEFINITION,
 )
+from auditlake.plans.sized import lookup_join, spread_small
+from auditlake.session import materialize
 from auditlake.sources.text import parse_triples
 
 BASE = "http://data.example.org"
@@ -32,7 +34,9 @@ def triples_of(spark, sf_dir):
         F.struct(F.lit(CMNS_DEFINITION).alias("p"), F.when(F.col("p_size") > 15, F.concat(F.lit("Part of "), "p_brand")).alias("o"), F.lit(False).alias("i")),
     )
     facts = part.select("file", _class().alias("s"), F.explode(about).alias("t")).select("file", "s", "t.*").filter("o IS NOT NULL")
-    items = table(spark, sf_dir, "lineitem").withColumn("p_partkey", F.col("l_partkey")).join(part.select("p_partkey", "file"), "p_partkey")
+    items = lookup_join(
+        spread_small(table(spark, sf_dir, "lineitem")).withColumn("p_partkey", F.col("l_partkey")), part.select("p_partkey", "file"), ["p_partkey"]
+    )
     supplier = F.concat(F.lit(f"{BASE}/supply/deliveredBy"), F.col("l_suppkey").cast("string"))
     domains = items.select("file", supplier.alias("s"), F.lit(RDFS_DOMAIN).alias("p"), _class().alias("o"), F.lit(True).alias("i"))
     key = F.concat_ws("x", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
@@ -48,10 +52,12 @@ def triples_of(spark, sf_dir):
             )
         ).alias("t"),
     ).select("file", "t.*")
-    return facts.unionByName(domains).unionByName(limits).select(
+    triples = facts.unionByName(domains).unionByName(limits).select(
         F.col("file").alias("source_file"), F.col("s").alias("subject"), F.col("p").alias("predicate"),
         F.col("o").alias("object"), F.col("i").alias("is_iri"),
     )
+    # Triples are a table of their own, read several times by predicate.
+    return materialize(triples, "triples")
 
 
 _CLASSES = f"""

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditlake.plans.sized import spread_small
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -26,5 +28,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+# Tables whose rows are costly to work on.
+TEXT_TABLES = ["documents", "pages", "conversations"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; texts are spread over the cores where the file is small."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(rows) if name in TEXT_TABLES else rows

@@ -35,8 +35,9 @@ def tokens(c: str | Column) -> Column:
 
 def lines(c: str | Column) -> Column:
     """Lines of a text; a final line break adds no line, and an empty text has none."""
-    parts = F.split(F.regexp_replace(_col(c), "\r\n?", "\n"), "\n", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    text = F.regexp_replace(_col(c), "\r\n?", "\n")
+    empty = F.array().cast("array<string>")
+    return F.when(text == "", empty).otherwise(F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1))
 
 
 def line_count(c: str | Column) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import name_parts, normalize_name, tokens
 from auditlake.operators.naming import unique_names
 from auditlake.plans.scan import bucket_of, ordered_parts
-from auditlake.plans.sized import lookup_join
+from auditlake.plans.sized import lookup_join, placed_by
 from auditlake.session import materialize
 
 
@@ -104,20 +104,22 @@ def classify(segments: DataFrame, key: str, text: str, classes: DataFrame, name:
     Ties go to the smallest class; so do segments that share nothing.
     """
     vocabulary = class_tokens(classes, name, class_text)
-    words = segments.select(F.col(key).alias("segment_id"), F.explode(F.array_distinct(tokens(text))).alias("token"))
+    # The empty token keeps segments that share nothing; it weighs nothing for the smallest class.
+    fallback = classes.agg(F.min(name).alias("c")).first()["c"]
+    anchor = vocabulary.sparkSession.range(1).select(
+        F.lit(fallback).alias("concept_type"), F.lit("").alias("token"), F.lit(0.0).alias("weight")
+    )
+    known = materialize(vocabulary.unionByName(anchor), "vocabulary")
+    found = F.concat(F.array_distinct(tokens(text)), F.array(F.lit("")))
+    words = segments.select(F.col(key).alias("segment_id"), F.explode(found).alias("token"))
+    # Placed by segment once; its scores add up and are compared there.
     scores = (
-        lookup_join(words, vocabulary, ["token"])
+        lookup_join(placed_by(words, "segment_id"), known, ["token"])
         .groupBy("segment_id", "concept_type")
         .agg(F.round(F.sum("weight"), 9).alias("score"))
     )
-    best = Window.partitionBy("segment_id").orderBy(F.col("score").desc(), "concept_type")
-    top = scores.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
-    fallback = classes.agg(F.min(name).alias("c")).first()["c"]
-    return segments.select(F.col(key).alias("segment_id")).join(top, "segment_id", "left").select(
-        "segment_id",
-        F.coalesce("concept_type", F.lit(fallback)).alias("concept_type"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
-    )
+    best = F.min_by(F.struct("concept_type", "score"), F.struct(-F.col("score"), "concept_type"))
+    return scores.groupBy("segment_id").agg(best.alias("best")).select("segment_id", "best.*")
 
 
 def match_key(name: Column) -> Column:

@@ -60,10 +60,9 @@ def budget_prefix(rows: DataFrame, run: str, file_no: str, row_no: str, size: Co
     return near.join(carried, ["run_id", "file_no"]).filter(fits).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
-def _condense_once(text: Column, threshold: int, words: int, chunk_lines: int) -> Column:
-    body = lines(text)
-    count = F.size(body)
-    chunks = F.ceil(count / chunk_lines)
+def _shortened(body: Column, words: int, chunk_lines: int) -> Column:
+    """Chunks of an array of lines without repeated lines, each cut to its share of words."""
+    chunks = F.ceil(F.size(body) / chunk_lines)
     limit = chunk_word_limit(words, chunks)
 
     def shorten(i: Column) -> Column:
@@ -82,8 +81,7 @@ def _condense_once(text: Column, threshold: int, words: int, chunk_lines: int) -
         kept = F.aggregate(part, start, take, lambda s: s["kept"])
         return F.array_join(F.slice(part, 1, kept), "\n")
 
-    short = F.array_join(F.transform(F.sequence(F.lit(0), (chunks - 1).cast("int")), shorten), "\n\n")
-    return F.when(count < threshold, text).otherwise(short)
+    return F.transform(F.sequence(F.lit(0), (chunks - 1).cast("int")), shorten)
 
 
 def condense(
@@ -92,8 +90,12 @@ def condense(
     """Shorten long texts in place: per chunk, repeated lines go and lines are kept up to the
     chunk's share of ``words``. Texts below ``threshold`` lines stay as they are; at most
     ``passes`` rounds."""
+    columns = docs.columns
     for _ in range(passes):
-        docs = docs.withColumn(text, _condense_once(F.col(text), threshold, words, chunk_lines))
+        split = docs.withColumn("_body", lines(text))
+        short = F.array_join(_shortened(F.col("_body"), words, chunk_lines), "\n\n")
+        long = F.size("_body") >= threshold
+        docs = split.withColumn(text, F.when(long, short).otherwise(F.col(text))).select(*columns)
     return docs
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.text import line_count, lines, numbered_line
+from auditlake.functions.text import lines, numbered_line
 
 RANGE_BLOCK = 1_000
 HEADING = r"^#{1,6}\s"
@@ -17,9 +17,10 @@ HEADING = r"^#{1,6}\s"
 
 def doc_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row per line: key, 1-based ``line_no``, ``total_lines`` of the document, ``line``."""
-    return (
-        docs.select(key, line_count(text).cast("bigint").alias("total_lines"), F.posexplode(lines(text)).alias("p", "line"))
-        .select(key, (F.col("p") + 1).cast("bigint").alias("line_no"), "total_lines", "line")
+    # What stands beside a generator is computed once per line, so the text is split below it.
+    body = docs.select(key, lines(text).alias("_lines"))
+    return body.select(key, F.size("_lines").alias("n"), F.posexplode("_lines").alias("p", "line")).select(
+        key, (F.col("p") + 1).cast("bigint").alias("line_no"), F.col("n").cast("bigint").alias("total_lines"), "line"
     )
 
 
@@ -73,19 +74,18 @@ def lines_in_ranges(numbered: DataFrame, ranges: DataFrame, key: str, block: int
     return left.join(right, [key, "_block"]).filter(inside).drop("_block")
 
 
-def segment_bounds(body: Column, max_lines: int) -> Column:
-    """Segments of an array of lines as 0-based ``(first, last)`` pairs covering every line.
-
-    A segment starts at a heading or at the first line after blank lines, and is
-    cut every ``max_lines`` lines.
-    """
-    count = F.size(body)
+def block_starts(body: Column) -> Column:
+    """0-based numbers of the lines that begin a block: the first, headings, lines after blank ones."""
 
     def starts(line: Column, i: Column) -> Column:
         after_blank = (F.trim(line) != "") & (F.trim(F.get(body, i - 1)) == "")
         return F.when((i == 0) | line.rlike(HEADING) | F.coalesce(after_blank, F.lit(False)), i)
 
-    blocks = F.filter(F.transform(body, starts), lambda i: i.isNotNull())
+    return F.filter(F.transform(body, starts), lambda i: i.isNotNull())
+
+
+def segment_bounds(blocks: Column, count: Column, max_lines: int) -> Column:
+    """Blocks cut every ``max_lines`` lines, as 0-based ``(first, last)`` pairs covering every line."""
 
     def cut(first: Column, n: Column) -> Column:
         last = F.coalesce(F.get(blocks, n + 1), count) - 1
@@ -98,11 +98,14 @@ def segment_bounds(body: Column, max_lines: int) -> Column:
             ),
         )
 
-    return F.when(count > 0, F.flatten(F.transform(blocks, cut)))
+    return F.flatten(F.transform(blocks, cut))
 
 
 def segments(docs: DataFrame, key: str, text: str, size: int, max_lines: int) -> DataFrame:
-    """Cut every chunk of every document into segments with global line numbers."""
+    """Cut every chunk of every document into segments with global line numbers.
+
+    A segment begins where a block does and holds at most ``max_lines`` lines.
+    """
     step = _step(size)
     body = docs.select(key, lines(text).alias("_lines")).filter(F.size("_lines") > 0)
     chunked = body.select(
@@ -110,9 +113,9 @@ def segments(docs: DataFrame, key: str, text: str, size: int, max_lines: int) ->
         "_lines",
         F.explode(F.sequence(F.lit(0).cast("bigint"), _last_chunk(F.size("_lines"), size))).alias("chunk_no"),
     ).select(key, "chunk_no", F.slice("_lines", (F.col("chunk_no") * step + 1).cast("int"), size).alias("_part"))
-    cut = chunked.select(
-        key, "chunk_no", "_part", F.posexplode(segment_bounds(F.col("_part"), max_lines)).alias("segment_no", "_b")
-    )
+    blocks = chunked.select(key, "chunk_no", "_part", block_starts(F.col("_part")).alias("_starts"))
+    bounds = segment_bounds(F.col("_starts"), F.size("_part"), max_lines)
+    cut = blocks.select(key, "chunk_no", "_part", F.posexplode(bounds).alias("segment_no", "_b"))
     start = F.lit(1) + F.col("chunk_no") * step
     first, last = F.col("_b.first"), F.col("_b.last")
     return cut.select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.functions.text import line_count
 from auditlake.operators import concepts as C
 from auditlake.operators import documents as D
 from auditlake.operators import intervals as I
@@ -31,8 +32,11 @@ def create_mapping(triples: DataFrame, columns: DataFrame, store: Store, base: s
         found.groupBy("class_uri").agg(F.min_by(F.struct("class_name", "source_file"), "source_file").alias("c")).select("class_uri", "c.*"),
         "classes",
     )
-    attributes = O.class_properties(triples).join(once, ["source_file", "class_uri"]).select(
-        "class_name", "class_uri", F.col("source_file").alias("source_ttl_file"), F.col("property").alias("attribute_name")
+    attributes = materialize(
+        O.class_properties(triples).join(once, ["source_file", "class_uri"]).select(
+            "class_name", "class_uri", F.col("source_file").alias("source_ttl_file"), F.col("property").alias("attribute_name")
+        ),
+        "attributes",
     )
     matched = M.schema_match(attributes, "attribute_name", columns, "column_name")
     rows = matched.select(
@@ -59,7 +63,7 @@ def ingest_documents(
     Concepts of earlier runs stay and are matched first.
     """
     store.create()
-    totals = docs.select("filename", D.line_count("text").cast("bigint").alias("total_lines"))
+    totals = docs.select("filename", line_count("text").cast("bigint").alias("total_lines"))
     store.rebuild(
         "file_line_sequence", D.chunk_ranges(totals, "filename", "total_lines", chunk_size)
     )

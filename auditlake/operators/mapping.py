@@ -12,6 +12,7 @@ from auditlake.functions.text import name_parts, percent, relative_path
 from auditlake.operators.tables import BOOKKEEPING_TABLES, quoted
 from auditlake.plans.scan import ordered_parts
 from auditlake.plans.sized import lookup_join
+from auditlake.session import materialize
 
 # Words of a formula that are not column or table names.
 FORMULA_KEYWORDS = [
@@ -115,9 +116,8 @@ def _name_sets(df: DataFrame, name: str, prefix: str) -> DataFrame:
 def _rare_words(sets: DataFrame, prefix: str, rarity: DataFrame, threshold: float) -> DataFrame:
     """Rarest words of each set: two sets similar enough must share one of them."""
     size = F.size(f"{prefix}_set")
-    words = lookup_join(
-        sets.select(f"{prefix}_key", size.alias("size"), F.explode(f"{prefix}_set").alias("word")), rarity, ["word"], "left"
-    ).withColumn("df", F.coalesce("df", F.lit(0)))
+    each = sets.select(f"{prefix}_key", size.alias("size"), F.explode(f"{prefix}_set").alias("word"))
+    words = each.join(rarity, "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     order = Window.partitionBy(f"{prefix}_key").orderBy("df", "word")
     keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1
     return words.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= keep).select(f"{prefix}_key", "word")
@@ -153,7 +153,7 @@ def schema_match(attributes: DataFrame, attribute: str, columns: DataFrame, colu
     named = columns.select(F.array_join(name_parts(column), " ").alias("r_key"), quoted(column).alias("c")).groupBy("r_key").agg(
         F.min("c").alias("mapped_column")
     )
-    chosen = best.select("l_key", "b.r_key", "b.similarity").join(named, "r_key").drop("r_key")
+    chosen = materialize(best.select("l_key", "b.r_key", "b.similarity").join(named, "r_key").drop("r_key"), "matches")
     keyed = attributes.withColumn("l_key", F.array_join(name_parts(attribute), " "))
     return lookup_join(keyed, chosen, ["l_key"], "left").select(
         *[quoted(c) for c in attributes.columns],

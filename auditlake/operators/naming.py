@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.plans.scan import BUCKET_WIDTH, bucket_of, ordinal, prior
-from auditlake.plans.sized import lookup_join
 from auditlake.session import materialize
 
 SUFFIXED = r"^(.+)-(0|[1-9][0-9]{0,17})$"
@@ -58,6 +57,8 @@ def _blocked(candidates: DataFrame, taken: DataFrame, width: int) -> DataFrame:
     shorter bases only, so repeating the count settles from the smallest up.
     """
     state = materialize(candidates.withColumn("blocked", F.lit(True)), "names")
+    if state.isEmpty():
+        return state.withColumn("below", F.lit(0).cast("bigint"))
     while True:
         counted = prior(
             state, ["base"], bucket_of("j", width), ["j"], F.sum, F.col("blocked").cast("bigint"), "below"
@@ -83,12 +84,12 @@ def unique_names(
     ``seq`` is a unique non-null integer giving the arrival order.
     """
     rows = arrivals.withColumn("base", F.col(base))
-    firsts = rows.groupBy("base").agg(F.min(seq).alias("first_seen"))
+    firsts = materialize(rows.groupBy("base").agg(F.min(seq).alias("first_seen")), "names")
     bases = firsts.select("base")
     if existing is None:
         taken = bases.limit(0).withColumnRenamed("base", "taken")
     else:
-        taken = existing.select(F.col(name).alias("taken")).filter("taken IS NOT NULL").distinct()
+        taken = materialize(existing.select(F.col(name).alias("taken")).filter("taken IS NOT NULL").distinct(), "names")
 
     old = _as_suffix(taken, "taken").join(bases, "base", "left_semi").select("base", "j", F.lit(-1).cast("bigint").alias("n"))
     new = _as_suffix(firsts.withColumnRenamed("base", "word"), "word").join(bases, "base", "left_semi")
@@ -101,7 +102,7 @@ def unique_names(
     zero = _without_zero(settled, taken)
 
     placed = ordinal(rows, ["base"], bucket_of(seq, width), [seq], "_m")
-    placed = lookup_join(placed, zero, ["base"], "left").withColumn(
+    placed = placed.join(zero, "base", "left").withColumn(
         "_free", F.col("_m") - 1 + F.coalesce("zero", F.lit(0))
     )
     # Blocked suffix j comes before the suffix of free rank r when j - below <= r.

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.text import local_name
 from auditlake.plans.scan import ordered_parts
-from auditlake.plans.sized import lookup_join
 
 # Vocabulary terms that describe classes.
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -65,7 +64,8 @@ def class_properties(triples: DataFrame) -> DataFrame:
         .groupBy("source_file", F.col("subject").alias("node"))
         .agg(F.min("object").alias("on_property"))
     )
-    restricted = lookup_join(parents.distinct(), limits, ["source_file", "node"]).select(
+    # Left to AQE: it broadcasts a small side and splits the partitions of a much-used node.
+    restricted = parents.distinct().join(limits, ["source_file", "node"]).select(
         "source_file", "class_uri", local_name("on_property").alias("property")
     )
     return domains.unionByName(restricted).distinct()

@@ -40,6 +40,24 @@ def lookup_join(
     return salted_join(big, side, on, how, hot_rows, salts)
 
 
+def placed_by(df: DataFrame, *columns: str) -> DataFrame:
+    """Shuffle by columns into the session's number of partitions.
+
+    Numbered, so that AQE does not merge partitions that are small now but fan out in the next join.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a small scan over all cores; a large one already has a split per core and stays as it is.
+
+    A small file is one row group and so one task, however costly its rows are.
+    """
+    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df
+
+
 def salted_join(
     big: DataFrame, side: DataFrame, on: list[str], how: str, hot_rows: int = HOT_KEY_ROWS, salts: int = SALTS
 ) -> DataFrame:

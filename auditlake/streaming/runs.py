@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -79,7 +80,7 @@ def event_counts(
 
     _finish(counted.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint))
     spark = events.sparkSession
-    schema = counted.schema.add("batch", "int")
+    schema = counted.schema.add("batch", IntegerType())
     return (
         _table(spark, out, schema)
         .groupBy("run_id", "event", "window_start")
