@@ -1,4 +1,4 @@
-"""Concepts over orders (documents), line items (segments) and parts (concepts)."""
+"""Concepts over customers (concepts) and their orders (segments)."""
 
 from __future__ import annotations
 
@@ -11,49 +11,43 @@ from auditlake.operators import concepts, context, naming
 from auditlake.plans.scan import bucket_of
 from auditlake.plans.sized import lookup_join
 
-# Parts above a price are concepts; every line item is a segment that mentions its part.
+# Customers in credit are concepts; every order is a segment that mentions its customer.
 CONCEPTS = """
-    concepts AS (SELECT 'part-' || p_partkey AS concept_name, p_type AS concept_type, p_brand || ' ' || p_name AS summary
-                 FROM part WHERE p_retailprice >= 910),
-    mapping AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS segment_id, 'part-' || l_partkey AS concept_name FROM lineitem),
-    segs AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS segment_id,
-             l_orderkey AS filename, l_linenumber AS line_no, l_suppkey AS column_no,
-             l_returnflag || ' ' || l_linestatus || ' line ' || l_linenumber AS segment_text FROM lineitem)
+    concepts AS (SELECT 'cust-' || c_custkey AS concept_name, c_mktsegment AS concept_type, c_name || ' nation ' || c_nationkey AS summary
+                 FROM customer WHERE c_acctbal >= 0),
+    mapping AS (SELECT CAST(o_orderkey AS VARCHAR) AS segment_id, 'cust-' || o_custkey AS concept_name FROM orders),
+    segs AS (SELECT CAST(o_orderkey AS VARCHAR) AS segment_id, o_orderkey AS filename,
+                    o_orderstatus || ' ' || o_orderpriority || ' order ' || o_orderkey AS segment_text FROM orders)
 """
 
 
-def _concepts(spark, sf_dir):
-    return table(spark, sf_dir, "part").filter("p_retailprice >= 910").select(
-        F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("concept_name"),
-        F.col("p_type").alias("concept_type"),
-        F.concat_ws(" ", "p_brand", "p_name").alias("summary"),
+def concepts_of(spark, sf_dir):
+    return table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(
+        F.concat(F.lit("cust-"), F.col("c_custkey").cast("string")).alias("concept_name"),
+        F.col("c_mktsegment").alias("concept_type"),
+        F.concat_ws(" ", "c_name", F.lit("nation"), F.col("c_nationkey").cast("string")).alias("summary"),
     )
 
 
-def _segment_id():
-    key = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return F.concat_ws("-", *[F.col(c).cast("string") for c in key]).alias("segment_id")
-
-
-def _mapping(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(
-        _segment_id(), F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("concept_name")
+def mapping_of(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("segment_id"),
+        F.concat(F.lit("cust-"), F.col("o_custkey").cast("string")).alias("concept_name"),
     )
 
 
-def _segments(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(
-        _segment_id(),
-        F.col("l_orderkey").alias("filename"),
-        F.col("l_linenumber").alias("line_no"),
-        F.col("l_suppkey").alias("column_no"),
-        F.concat_ws(" ", "l_returnflag", "l_linestatus", F.lit("line"), F.col("l_linenumber").cast("string")).alias("segment_text"),
+def segments_of_orders(spark, sf_dir):
+    key = F.col("o_orderkey").cast("string")
+    return table(spark, sf_dir, "orders").select(
+        key.alias("segment_id"),
+        F.col("o_orderkey").alias("filename"),
+        F.concat_ws(" ", "o_orderstatus", "o_orderpriority", F.lit("order"), key).alias("segment_text"),
     )
 
 
 @query("concepts_by_type", f"WITH {CONCEPTS} SELECT concept_type, count(*) AS concept_count FROM concepts GROUP BY 1 ORDER BY 1")
 def concepts_by_type(spark, sf_dir):
-    return concepts.count_by_type(_concepts(spark, sf_dir)).orderBy("concept_type")
+    return concepts.count_by_type(concepts_of(spark, sf_dir)).orderBy("concept_type")
 
 
 @query(
@@ -64,7 +58,7 @@ def concepts_by_type(spark, sf_dir):
     """,
 )
 def concept_segment_counts(spark, sf_dir):
-    return concepts.segment_counts(_concepts(spark, sf_dir), _mapping(spark, sf_dir))
+    return concepts.segment_counts(concepts_of(spark, sf_dir), mapping_of(spark, sf_dir))
 
 
 @query(
@@ -76,7 +70,7 @@ def concept_segment_counts(spark, sf_dir):
     """,
 )
 def multi_segment_concepts(spark, sf_dir):
-    return concepts.multi_segment_by_type(_concepts(spark, sf_dir), _mapping(spark, sf_dir))
+    return concepts.multi_segment_by_type(concepts_of(spark, sf_dir), mapping_of(spark, sf_dir))
 
 
 @query(
@@ -87,10 +81,10 @@ def multi_segment_concepts(spark, sf_dir):
     """,
 )
 def orphan_concepts(spark, sf_dir):
-    return concepts.orphan_names(_concepts(spark, sf_dir), _mapping(spark, sf_dir))
+    return concepts.orphan_names(concepts_of(spark, sf_dir), mapping_of(spark, sf_dir))
 
 
-_SELECTED = "SELECT concept_name FROM concepts WHERE concept_type IN ('PROMO', 'SMALL')"
+_SELECTED = "SELECT concept_name FROM concepts WHERE concept_type IN ('MACHINERY', 'FURNITURE')"
 
 
 @query(
@@ -101,23 +95,23 @@ _SELECTED = "SELECT concept_name FROM concepts WHERE concept_type IN ('PROMO', '
     """,
 )
 def concept_sources(spark, sf_dir):
-    selected = _concepts(spark, sf_dir).filter(F.col("concept_type").isin("PROMO", "SMALL"))
-    rows = concepts.source_segments(_mapping(spark, sf_dir), _segments(spark, sf_dir), selected)
+    selected = concepts_of(spark, sf_dir).filter(F.col("concept_type").isin("MACHINERY", "FURNITURE"))
+    rows = concepts.source_segments(mapping_of(spark, sf_dir), segments_of_orders(spark, sf_dir), selected)
     return rows.select("concept_name", "segment_id", "segment_text")
 
 
 @query(
     "concept_text",
     f"""
-    WITH {CONCEPTS}, o AS (SELECT m.concept_name, s.*, row_number() OVER (PARTITION BY m.concept_name ORDER BY filename, line_no, column_no) - 1 AS pos
+    WITH {CONCEPTS}, o AS (SELECT m.concept_name, s.*, row_number() OVER (PARTITION BY m.concept_name ORDER BY filename) - 1 AS pos
       FROM mapping m JOIN segs s ON m.segment_id = s.segment_id)
     SELECT concept_name, pos // 16 AS part_no, count(*) AS segments,
            string_agg(segment_text, chr(10) || '---' || chr(10) ORDER BY pos) AS segment_text FROM o GROUP BY 1, 2
     """,
 )
 def concept_text(spark, sf_dir):
-    sources = concepts.source_segments(_mapping(spark, sf_dir), _segments(spark, sf_dir))
-    return concepts.concept_text(sources, bucket_of("filename"), ["filename", "line_no", "column_no"], part_size=16)
+    sources = concepts.source_segments(mapping_of(spark, sf_dir), segments_of_orders(spark, sf_dir))
+    return concepts.concept_text(sources, bucket_of("filename"), ["filename"], part_size=16)
 
 
 @query(
@@ -313,4 +307,4 @@ def reconcile_mapping(spark, sf_dir):
     """,
 )
 def concept_listing(spark, sf_dir):
-    return context.concept_listing(_concepts(spark, sf_dir))
+    return context.concept_listing(concepts_of(spark, sf_dir))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.catalog.concepts import CLASSIFY, CONCEPTS, _concepts, _mapping, _segments, classes_of
+from auditlake.catalog.concepts import CLASSIFY, CONCEPTS, classes_of, concepts_of, mapping_of, segments_of_orders
 from auditlake.catalog.documents import CHUNKS, LINES, SEGMENTS
 from auditlake.catalog.ontology import _CLASSES, triples_of
 from auditlake.catalog.ranking import SCORES
@@ -133,10 +133,12 @@ def ingest_job(spark, sf_dir):
     f"""
     WITH {CONCEPTS},
     docs AS (SELECT lower(concept_type) AS corpus, concept_name AS pos, 'Name: ' || concept_name || ' | Summary: ' || summary AS body FROM concepts),
-    asked AS (SELECT n_nationkey AS query_id, CASE n_regionkey WHEN 0 THEN 'promo' WHEN 1 THEN 'small' WHEN 2 THEN 'large' WHEN 3 THEN 'none' ELSE 'medium' END AS corpus,
-                     'brand ' || n_nationkey || ' red widget' AS q FROM nation), {SCORES},
-    rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM al),
-    o AS (SELECT m.concept_name, s.*, row_number() OVER (PARTITION BY m.concept_name ORDER BY filename, line_no, s.segment_id) - 1 AS spot
+    asked AS (SELECT n_nationkey AS query_id, CASE n_regionkey WHEN 0 THEN 'machinery' WHEN 1 THEN 'furniture' WHEN 2 THEN 'household' WHEN 3 THEN 'none' ELSE 'building' END AS corpus,
+                     'which customers of nation ' || n_nationkey AS q FROM nation), {SCORES},
+    sz AS (SELECT corpus, count(*) AS n FROM docs GROUP BY 1),
+    rk AS (SELECT al.*, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n > 30 THEN score ELSE 0 END DESC, pos) AS rank
+           FROM al JOIN sz ON al.corpus = sz.corpus),
+    o AS (SELECT m.concept_name, s.*, row_number() OVER (PARTITION BY m.concept_name ORDER BY filename) - 1 AS spot
           FROM mapping m JOIN segs s ON m.segment_id = s.segment_id),
     tx AS (SELECT concept_name, spot // 1000 AS part_no, string_agg(segment_text, chr(10) || '---' || chr(10) ORDER BY spot) AS segment_text FROM o GROUP BY 1, 2)
     SELECT query_id, rank, concept_name, part_no, segment_text FROM rk JOIN tx ON pos = concept_name WHERE rank <= 30
@@ -144,13 +146,13 @@ def ingest_job(spark, sf_dir):
 )
 def document_context_job(spark, sf_dir):
     region = F.col("n_regionkey")
-    kind = F.when(region == 0, "PROMO").when(region == 1, "Small").when(region == 2, "large").when(region == 3, "none").otherwise("Medium")
+    kind = F.when(region == 0, "Machinery").when(region == 1, "FURNITURE").when(region == 2, "household").when(region == 3, "none").otherwise("Building")
     asked = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("query_id"), kind.alias("concept_type"),
-        F.concat_ws(" ", F.lit("brand"), F.col("n_nationkey").cast("string"), F.lit("red widget")).alias("sub_query_string"),
+        F.concat_ws(" ", F.lit("which customers of nation"), F.col("n_nationkey").cast("string")).alias("sub_query_string"),
     )
-    segments = _segments(spark, sf_dir).withColumnRenamed("line_no", "segment_start_line_no_global")
-    return jobs.document_context(asked, _concepts(spark, sf_dir), _mapping(spark, sf_dir), segments, 30)
+    segments = segments_of_orders(spark, sf_dir).withColumn("segment_start_line_no_global", F.lit(1))
+    return jobs.document_context(asked, concepts_of(spark, sf_dir), mapping_of(spark, sf_dir), segments, 30)
 
 
 @query(

@@ -39,7 +39,7 @@ def triples_of(spark, sf_dir):
     )
     supplier = F.concat(F.lit(f"{BASE}/supply/deliveredBy"), F.col("l_suppkey").cast("string"))
     domains = items.select("file", supplier.alias("s"), F.lit(RDFS_DOMAIN).alias("p"), _class().alias("o"), F.lit(True).alias("i"))
-    key = F.concat_ws("x", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    key = F.concat_ws("x", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], "l_returnflag", "l_linestatus")
     node = F.concat(F.lit("_:r"), key)
     flag = F.concat(F.lit(f"{BASE}/flags#has"), "l_returnflag", "l_linestatus")
     limits = items.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditlake.catalog.concepts import CONCEPTS, _concepts, _mapping
+from auditlake.catalog.concepts import CONCEPTS, concepts_of, mapping_of
 from auditlake.catalog.documents import CHUNKS, COVERED, LINES, SEGMENTS, coverage_of
 from auditlake.catalog.registry import query, table
 from auditlake.functions.text import lines
@@ -177,7 +177,7 @@ def audit_report(spark, sf_dir):
     """,
 )
 def coverage_report(spark, sf_dir):
-    by_type = concepts.multi_segment_by_type(_concepts(spark, sf_dir), _mapping(spark, sf_dir))
+    by_type = concepts.multi_segment_by_type(concepts_of(spark, sf_dir), mapping_of(spark, sf_dir))
     return runlog.coverage_report(by_type, coverage_of(spark, sf_dir))
 
 
