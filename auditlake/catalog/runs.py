@@ -10,6 +10,7 @@ from auditlake.catalog.registry import query, table
 from auditlake.functions.text import lines
 from auditlake.operators import concepts, context, jobs, runlog
 from auditlake.plans.scan import bucket_of, ordinal
+from auditlake.session import materialize
 
 _TURN_LINES = r"""
     d AS (SELECT conv_id, turn, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS a FROM conversations),
@@ -141,7 +142,9 @@ def plan_steps(spark, sf_dir):
 )
 def audit_report(spark, sf_dir):
     """Every customer is a run, every order an iteration of it."""
-    orders = ordinal(table(spark, sf_dir, "orders"), ["o_custkey"], bucket_of("o_orderkey"), ["o_orderkey"], "iteration")
+    orders = materialize(
+        ordinal(table(spark, sf_dir, "orders"), ["o_custkey"], bucket_of("o_orderkey"), ["o_orderkey"], "iteration"), "orders"
+    )
     key = F.col("o_orderkey").cast("string")
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     evaluations = orders.join(customer, "o_custkey").select(

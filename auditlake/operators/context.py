@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.text import chunk_word_limit, lines, strip, tokens
 from auditlake.plans.scan import bucket_of, prior
+from auditlake.session import materialize
 
 # Lines per condensed chunk, characters counted per word of the context limit.
 CHUNK_LINES = 500
@@ -46,7 +47,8 @@ def budget_prefix(rows: DataFrame, run: str, file_no: str, row_no: str, size: Co
     summed = prior(sized, ["run_id", "file_no"], bucket_of(row_no), [row_no], F.sum, F.col("_size"), "_before").withColumn(
         "_before", F.coalesce("_before", F.lit(0))
     )
-    near = summed.filter(F.col("_before") <= limit)
+    # At most the budget plus one row per file: no later row can be taken.
+    near = materialize(summed.filter(F.col("_before") <= limit), "budget")
     # Python sees numbers only: the distinct running sums of a file within the limit.
     total = F.col("_before") + F.col("_size")
     files = near.groupBy("run_id", "file_no").agg(F.collect_set(F.when(total <= limit, total)).alias("sums"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.plans.scan import BUCKET_WIDTH, bucket_of, prior
+from auditlake.session import materialize
 
 
 def valid_intervals(df: DataFrame, start: str, end: str) -> DataFrame:
@@ -14,11 +15,15 @@ def valid_intervals(df: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def _longest_per_start(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Intervals sharing a start reduce to the longest one; combines before the shuffle."""
-    return (
+    """Intervals sharing a start reduce to the longest one; combines before the shuffle.
+
+    Written once, as the scan that follows reads it twice.
+    """
+    return materialize(
         valid_intervals(df, start, end)
         .groupBy(key, F.col(start).cast("bigint").alias("start_line"))
-        .agg(F.max(F.col(end).cast("bigint")).alias("end_line"))
+        .agg(F.max(F.col(end).cast("bigint")).alias("end_line")),
+        "spans",
     )
 
 
@@ -46,7 +51,8 @@ def merged_intervals(df: DataFrame, key: str, start: str, end: str, width: int =
         key, "start_line", F.col("start_line").alias("end_line"), F.lit(True).alias("marker")
     )
     marked = spans.withColumn("marker", F.lit(False)).unionByName(markers)
-    heads = _with_reach(marked, key, width).filter(F.col("reach").isNull() | (F.col("start_line") > F.col("reach")))
+    first = F.col("reach").isNull() | (F.col("start_line") > F.col("reach"))
+    heads = materialize(_with_reach(marked, key, width).filter(first), "spans")
     # The end of a merged interval is what the next head could reach back to.
     backward = heads.withColumn("_back", -F.col("start_line"))
     closed = prior(backward, [key], bucket_of("_back", width), ["_back"], F.min, F.col("reach"), "_end")

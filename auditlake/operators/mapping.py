@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.text import name_parts, percent, relative_path
 from auditlake.operators.tables import BOOKKEEPING_TABLES, quoted
-from auditlake.plans.scan import ordered_parts
+from auditlake.plans.scan import ordered_parts, range_bucketed
 from auditlake.plans.sized import lookup_join
 from auditlake.session import materialize
 
@@ -192,15 +192,16 @@ def column_coverage(mappings: DataFrame, columns: DataFrame) -> DataFrame:
 RECORD = ["mapped_columns", "sql_formula", "explanation", "not_enough_information"]
 
 
-def mapping_tree(mappings: DataFrame, seq: str, record: list[str] = RECORD, part_size: int = 1_000, prefix: int = 4) -> DataFrame:
+def mapping_tree(mappings: DataFrame, seq: str, record: list[str] = RECORD, part_size: int = 1_000) -> DataFrame:
     """One row per file and class with its attributes as a map; the last row of an attribute wins.
 
     Classes with more than ``part_size`` attributes come in numbered parts.
     """
     keys = ["source_ttl_file", "class_name", "attribute_name"]
     last = mappings.groupBy(*keys).agg(F.max_by(F.struct(*record), F.col(seq)).alias("record"))
+    placed = range_bucketed(last, keys[:2], ["attribute_name"], "_range")
     parts = ordered_parts(
-        last, keys[:2], F.substring("attribute_name", 1, prefix), ["attribute_name"], ["attribute_name", "record"], "_items", part_size
+        placed, keys[:2], F.col("_range"), ["attribute_name"], ["attribute_name", "record"], "_items", part_size
     )
     return parts.select(*keys[:2], "part_no", F.map_from_entries("_items").alias("attributes"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import local_name
-from auditlake.plans.scan import ordered_parts
+from auditlake.plans.scan import ordered_parts, range_bucketed
 
 # Vocabulary terms that describe classes.
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -71,15 +71,13 @@ def class_properties(triples: DataFrame) -> DataFrame:
     return domains.unionByName(restricted).distinct()
 
 
-def class_records(triples: DataFrame, part_size: int = 1_000, prefix: int = 4) -> DataFrame:
-    """Class records with sorted property lists; very long lists come in numbered parts.
-
-    ``prefix`` leading characters bucket the names while they are put in order.
-    """
+def class_records(triples: DataFrame, part_size: int = 1_000) -> DataFrame:
+    """Class records with sorted property lists; very long lists come in numbered parts."""
+    keys = ["source_file", "class_uri"]
     listed = ordered_parts(
-        class_properties(triples),
-        ["source_file", "class_uri"],
-        F.substring("property", 1, prefix),
+        range_bucketed(class_properties(triples), keys, ["property"], "_range"),
+        keys,
+        F.col("_range"),
         ["property"],
         ["property"],
         "_items",

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.session import materialize
+
 BUCKET_WIDTH = 65_536
 PART_SIZE = 1_000
 
@@ -22,6 +24,16 @@ def bucket_of(order: str | Column, width: int = BUCKET_WIDTH) -> Column:
     return F.floor(col / F.lit(width))
 
 
+def range_bucketed(df: DataFrame, groups: list[str], order: list[str], out: str) -> DataFrame:
+    """Add an order-preserving bucket for keys of any type, such as names.
+
+    Rows are range-partitioned by group and order, so Spark's sampling evens out the
+    buckets, and written once: a bucket number stays the same however often it is read.
+    """
+    placed = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *groups, *order)
+    return materialize(placed.withColumn(out, F.spark_partition_id()), "ranges")
+
+
 def prior(
     df: DataFrame,
     groups: list[str],

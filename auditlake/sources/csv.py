@@ -19,11 +19,16 @@ def list_csv(spark: SparkSession, folder: str) -> list[str]:
 
 
 def load_csv_folder(
-    spark: SparkSession, folder: str, schemas: dict[str, str] | None = None, replace: bool = False
+    spark: SparkSession,
+    folder: str,
+    schemas: dict[str, str] | None = None,
+    replace: bool = False,
+    line_breaks_in_cells: bool = False,
 ) -> dict[str, DataFrame]:
     """Register every CSV of a folder as a table named after its file; known tables stay.
 
-    A schema given per table saves the pass that infers one.
+    A schema given per table saves the pass that infers one. Files whose quoted cells hold
+    line breaks cannot be split: each is then read by one task.
     """
     files = list_csv(spark, folder)
     if not files:
@@ -35,7 +40,7 @@ def load_csv_folder(
         if not replace and spark.catalog.tableExists(name):
             tables[name] = spark.table(name)
             continue
-        reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+        reader = spark.read.option("header", True).option("escape", '"').option("multiLine", line_breaks_in_cells)
         schema = (schemas or {}).get(name)
         reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
         tables[name] = reader.csv(row["path"])

@@ -23,7 +23,7 @@ def test_classes_from_triples(spark):
         ("f2", h + "Loan", O.RDF_TYPE, O.OWL_CLASS), ("f2", "_:r", O.OWL_ON_PROPERTY, h + "other"), ("f2", h + "x", O.RDFS_DOMAIN, h + "Missing"),
     ]
     triples = spark.createDataFrame(rows, "source_file string, subject string, predicate string, object string")
-    got = {r.source_file: (r.class_name, r.label, r.definition, r.properties) for r in O.class_records(triples, prefix=1).collect()}
+    got = {r.source_file: (r.class_name, r.label, r.definition, r.properties) for r in O.class_records(triples).collect()}
     assert got == {"f1": ("Loan", "a loan", "money lent", ["hasAmount", "hasTerm"]), "f2": ("Loan", "Loan", "", [])}
 
 
@@ -96,7 +96,7 @@ def test_coverage_counts_case_and_no_columns(spark):
 
 def test_tree_and_reading_back(spark):
     rows = [(f"f{i % 2}", "C", f"a{i // 2:02d}", [f"c{i}"], None, "e", False, i) for i in range(20)]
-    tree = M.mapping_tree(spark.createDataFrame(rows, MAPPING), "seq", part_size=4, prefix=2)
+    tree = M.mapping_tree(spark.createDataFrame(rows, MAPPING), "seq", part_size=4)
     nested = tree.select(
         F.to_json(F.create_map("source_ttl_file", F.create_map("class_name", F.struct("attributes"))), {"ignoreNullFields": "false"}).alias("j")
     )
