@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 # White space as Unicode text processing counts it, and word characters.
 SPACE = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 WORD = r"[\p{L}\p{N}_]+"
+SPACES = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def _col(c: str | Column) -> Column:
@@ -16,7 +20,7 @@ def _col(c: str | Column) -> Column:
 
 def strip(c: str | Column) -> Column:
     """Trim white space on both ends."""
-    return F.regexp_replace(_col(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(_col(c), F.lit(SPACES))
 
 
 def normalize_name(c: str | Column) -> Column:
@@ -37,7 +41,7 @@ def lines(c: str | Column) -> Column:
     """Lines of a text; a final line break adds no line, and an empty text has none."""
     text = F.regexp_replace(_col(c), "\r\n?", "\n")
     empty = F.array().cast("array<string>")
-    return F.when(text == "", empty).otherwise(F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1))
+    return F.when(_col(c) == "", empty).otherwise(F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1))
 
 
 def line_count(c: str | Column) -> Column:

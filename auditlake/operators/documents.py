@@ -17,9 +17,11 @@ HEADING = r"^#{1,6}\s"
 
 def doc_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row per line: key, 1-based ``line_no``, ``total_lines`` of the document, ``line``."""
-    # What stands beside a generator is computed once per line, so the text is split below it.
+    # What stands beside a generator is computed once per line, so the text is split below it. The
+    # outer form keeps Spark from adding a not-empty filter that would split every text twice.
     body = docs.select(key, lines(text).alias("_lines"))
-    return body.select(key, F.size("_lines").alias("n"), F.posexplode("_lines").alias("p", "line")).select(
+    each = body.select(key, F.size("_lines").alias("n"), F.posexplode_outer("_lines").alias("p", "line"))
+    return each.filter("p IS NOT NULL").select(
         key, (F.col("p") + 1).cast("bigint").alias("line_no"), F.col("n").cast("bigint").alias("total_lines"), "line"
     )
 

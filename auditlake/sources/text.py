@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.functions.text import SPACE, lines, strip, strip_fence
+from auditlake.functions.text import SPACE, strip, strip_fence
 
 
 def read_documents(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
@@ -34,7 +34,7 @@ def html_text(html: str | Column) -> Column:
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     text = F.regexp_replace(text, r"[ \t]+", " ")
-    return F.array_join(F.filter(F.transform(lines(text), strip), lambda l: l != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(text, "[\r\n]"), strip), lambda l: l != ""), "\n")
 
 
 _IRI = r"<([^>]*)>"
