@@ -208,13 +208,12 @@ def classes_of(spark, sf_dir):
 
 @query(
     "classify_segments",
-    f"WITH {LINES}, {CHUNKS}, {SEGMENTS}, {CLASSIFY} SELECT segment_id, concept_type, round(score, 6) AS score FROM sk",
+    f"WITH {LINES}, {CHUNKS}, {SEGMENTS}, {CLASSIFY} SELECT segment_id, concept_type, score FROM sk",
 )
 def classify_segments(spark, sf_dir):
-    typed = concepts.classify(
+    return concepts.classify(
         segments_of(spark, sf_dir), "segment_id", "segment_text", classes_of(spark, sf_dir), "concept_type", ["definition"]
     )
-    return typed.withColumn("score", F.round("score", 6))
 
 
 def _candidates(spark, sf_dir):

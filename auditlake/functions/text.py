@@ -105,10 +105,31 @@ def relative_path(path: str | Column, base: str) -> Column:
     )
 
 
+def fixed(value: Column, digits: int = 2) -> Column:
+    """Fixed-decimal text of a non-negative number, rounded on its exact binary value, ties to even.
+
+    Spark's own formatting rounds the shortest decimal form half up, which differs where
+    that form ends in a 5 just past the last digit. There the remainder of the division
+    that yields the number, taken exactly, tells on which side of the tie it lies.
+    """
+    x = value.cast("double")
+    scale = 10 ** (digits + 1)
+    m = F.round(x * scale)
+    tie = (F.pmod(m.cast("bigint"), F.lit(10)) == 5) & (x == m / scale)
+    upper = x * 134217729.0
+    high = upper - (upper - x)
+    product = x * scale
+    rest = (m - product) - ((high * scale - product) + (x - high) * scale)
+    down, up = (m - 5) / scale, (m + 5) / scale
+    even = F.pmod(F.floor(m / 10), F.lit(2)) == 0
+    settled = F.when(rest > 0, down).when(rest < 0, up).when(even, down).otherwise(up)
+    return F.format_string(f"%.{digits}f", F.when(tie, settled).otherwise(x))
+
+
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     """``part`` of ``whole`` as fixed-decimal text with a percent sign; 0 for an empty whole."""
-    share = F.when(whole > 0, part * F.lit(100.0) / whole).otherwise(F.lit(0.0))
-    return F.format_string(f"%.{digits}f%%", share.cast("double"))
+    share = F.when(whole > 0, part / whole * F.lit(100.0)).otherwise(F.lit(0.0))
+    return F.concat(fixed(share, digits), F.lit("%"))
 
 
 def fenced_blocks(c: str | Column, language: str = "mermaid") -> Column:

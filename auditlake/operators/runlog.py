@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.functions.text import fixed
 from auditlake.plans.scan import bucket_of, ordinal
 from auditlake.plans.sized import lookup_join
 
@@ -120,8 +121,8 @@ def coverage_report(by_type: DataFrame, coverage: DataFrame) -> DataFrame:
                 3,
                 "filename",
                 F.format_string(
-                    "File: %s\n  Total Lines: %d\n  Lines Covered: %d\n  Coverage: %.2f%%",
-                    F.col("filename").cast("string"), "total_lines", "lines_covered", "coverage_pct",
+                    "File: %s\n  Total Lines: %d\n  Lines Covered: %d\n  Coverage: %s%%",
+                    F.col("filename").cast("string"), "total_lines", "lines_covered", fixed(F.col("coverage_pct")),
                 ),
             )
         )

@@ -72,6 +72,17 @@ def test_url_base64(spark):
     assert values(spark, X.url_base64, texts) == [base64.urlsafe_b64encode(t.encode()).decode() for t in texts]
 
 
+def test_fixed_rounds_like_the_exact_value(spark):
+    import random
+
+    rnd = random.Random(8)
+    numbers = [15.625, 0.265, 0.275, 0.285, 1.005, 2.675, 0.0, 100.0, 99.995, 6.625, 0.125, 0.375]
+    numbers += [rnd.randint(0, 400) / rnd.choice([32, 800, 20000, 1000, 7]) * 100.0 for _ in range(3000)]
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(numbers)], "i int, v double")
+    got = [r[0] for r in rows.orderBy("i").select(X.fixed(F.col("v"))).collect()]
+    assert got == [f"{v:.2f}" for v in numbers]
+
+
 def test_percent_and_limits(spark):
     row = spark.range(1).select(
         X.percent(F.lit(1), F.lit(2)), X.percent(F.lit(1), F.lit(0)), X.chunk_word_limit(10_000, F.lit(3)),
