@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from auditlake.functions.text import fixed
 from auditlake.plans.scan import bucket_of, ordinal
 from auditlake.plans.sized import lookup_join
+from auditlake.session import materialize
 
 # Fixed value: the score at which a run ends.
 TARGET_SCORE = 90
@@ -25,7 +26,7 @@ def loop_decisions(scores: DataFrame, max_iterations: int, target: int = TARGET_
     ends = scores.groupBy("run_id").agg(F.min(F.when(reached, F.col("iteration"))).alias("hit")).select(
         "run_id", F.least(F.coalesce("hit", F.lit(max_iterations)), F.lit(max_iterations)).alias("last")
     )
-    held = lookup_join(scores, ends, ["run_id"]).filter(F.col("iteration") <= F.col("last"))
+    held = scores.join(ends, "run_id").filter(F.col("iteration") <= F.col("last"))
     return held.select(
         "run_id", "iteration", "score", (~reached & (F.col("iteration") < max_iterations)).alias("loop_back")
     )
@@ -81,12 +82,18 @@ def text_deltas(snapshots: DataFrame, key: str, seq: str, text: str) -> DataFram
     without a second such snapshot are settled without ordering them.
     """
     rows = snapshots.select(F.col(key).alias("key"), F.col(seq).alias("seq"), F.col(text).alias("text")).filter("text <> ''")
-    firsts = rows.groupBy("key").agg(F.min("seq").alias("first_seq"), F.min_by("text", "seq").alias("first_text"))
+    # One row per key and one per growing key, written so that the size checks do not compute them again.
+    firsts = materialize(
+        rows.groupBy("key").agg(F.min("seq").alias("first_seq"), F.min_by("text", "seq").alias("first_text")), "firsts"
+    )
     marked = lookup_join(rows, firsts, ["key"]).withColumn(
         "may", (F.col("seq") > F.col("first_seq")) & F.startswith("text", F.col("first_text"))
     )
-    grow = marked.filter("may").groupBy("key").agg(
-        F.max("seq").alias("last_seq"), F.max(F.length("text")).cast("bigint").alias("longest")
+    grow = materialize(
+        marked.filter("may").groupBy("key").agg(
+            F.max("seq").alias("last_seq"), F.max(F.length("text")).cast("bigint").alias("longest")
+        ),
+        "growing",
     )
     known = lookup_join(rows, grow, ["key"], "left")
     ordered = F.col("last_seq").isNotNull() & (F.col("seq") <= F.col("last_seq"))
