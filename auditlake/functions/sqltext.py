@@ -51,5 +51,5 @@ def lint_reason(sql: Column) -> Column:
         .when(clean.rlike(_LOCATIONS), F.lit("location"))
         .when(F.size(parts) == 0, F.lit("no statement"))
         .when(F.size(parts) > 1, F.lit("many statements"))
-        .when(~parts[0].rlike(_READS) | parts[0].rlike(_WITH_WRITE), F.lit("not a select"))
+        .when(~F.get(parts, F.lit(0)).rlike(_READS) | F.get(parts, F.lit(0)).rlike(_WITH_WRITE), F.lit("not a select"))
     )

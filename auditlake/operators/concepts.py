@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.text import name_parts, normalize_name, tokens
 from auditlake.operators.naming import unique_names
-from auditlake.plans.scan import bucket_of, ordered_parts
+from auditlake.plans.scan import ordered_parts
 from auditlake.plans.sized import lookup_join, placed_by
 from auditlake.session import materialize
 
@@ -166,7 +166,7 @@ def reconcile(candidates: DataFrame, existing: DataFrame) -> tuple[DataFrame, Da
         "concept_type",
         "rationale",
         "concept_name",
-        F.coalesce("attributes_and_values", "_old").alias("attributes_and_values"),
+        F.coalesce("attributes_and_values", "_old", F.create_map().cast("map<string,string>")).alias("attributes_and_values"),
         "summary",
     )
     untouched = existing.join(named.select("concept_name"), "concept_name", "left_anti")

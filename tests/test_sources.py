@@ -103,7 +103,7 @@ def test_ingest_keeps_concepts(spark, tmp_path):
     store = Store(spark, str(tmp_path / "w"))
     for _ in range(2):
         lines = [r.line for r in jobs.ingest_documents(docs, classes, "n", ["d"], store, 10, 10).orderBy("section", "item").collect()]
-    assert sorted(r.concept_name for r in store.read("concepts").collect()) == ["loan-terms", "rate-rules"] or store.read("concepts").count() == 3
+    assert sorted(r.concept_name for r in store.read("concepts").collect()) == ["loan-terms", "rate-rules"]
     assert store.read("concept_segment_mapping").count() == store.read("text_segments").count()
     assert [x for x in lines if x.startswith("File")][0] == "File: 1\n  Total Lines: 5\n  Lines Covered: 5\n  Coverage: 100.00%"
     path = write_lines(jobs.ingest_documents(docs, classes, "n", ["d"], store, 10, 10), ["section", "item"], str(tmp_path / "report"))
