@@ -62,7 +62,7 @@ def match_spans(text: Column, pattern: str, groups: tuple[int, ...] = ()) -> Col
             ),
         )
 
-    return bind(F.struct(*parts), placed)
+    return F.when(text.rlike(pattern), bind(F.struct(*parts), placed)).otherwise(no_spans(groups))
 
 
 def no_spans(groups: tuple[int, ...] = ()) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import quality
+from auditlake.llm import quality, secret_scan
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,10 @@ FROM v
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality_rules(docs).select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
+@query("op9_secret_scan")
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.secret_spans(docs)
+    return found.select("doc_id", *secret_scan.span_digests("secret_spans", "base_spans", secret_scan.KINDS[:3]))
