@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import quality, secret_scan
+from auditlake.llm import pii, quality, secret_scan
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.secret_spans(docs)
     return found.select("doc_id", *secret_scan.span_digests("secret_spans", "base_spans", secret_scan.KINDS[:3]))
+
+
+@query("op6_pii")
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pii_spans(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", *secret_scan.span_digests("pii_spans", "base_spans", pii.BASE_KINDS))
