@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import pii, quality, secret_scan
+from auditlake.llm import line_dedup, pii, quality, secret_scan
+from auditlake.sources.text import BLOCK_TAGS, ENTITIES, html_text
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +71,35 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pii_spans(_table(spark, sf_dir, "documents"), ["doc_id"])
     return found.select("doc_id", *secret_scan.span_digests("pii_spans", "base_spans", pii.BASE_KINDS))
+
+
+def _decoded(column: str) -> str:
+    for entity, char in ENTITIES:
+        column = "replace({}, '{}', '{}')".format(column, entity, char.replace("'", "''"))
+    return column
+
+
+OP10_SQL = rf"""
+WITH a AS (SELECT page_id, url, regexp_replace(html, '<!--.*?-->', '', 'gs') AS x FROM pages),
+b AS (SELECT page_id, url, regexp_replace(x, '<(script|style)\b[^>]*>.*?</(script|style)>', '', 'gis') AS x FROM a),
+c AS (SELECT page_id, url, regexp_replace(x, '</?({BLOCK_TAGS})\b[^>]*>', chr(10), 'gi') AS x FROM b),
+d AS (SELECT page_id, url, regexp_replace(x, '<[^>]*>', '', 'g') AS x FROM c),
+e AS (SELECT page_id, url, {_decoded('x')} AS x FROM d),
+f AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '\r', chr(10), 'g'), chr(10)) AS x FROM e),
+g AS (SELECT page_id, lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '')) AS host,
+             list_filter([regexp_replace(z, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') for z in x], lambda z: z <> '') AS ls FROM f),
+n AS (SELECT host, count(*) AS pages FROM g GROUP BY host),
+w AS (SELECT host, line, count(*) AS has FROM (SELECT host, unnest(list_distinct(ls)) AS line FROM g) GROUP BY host, line),
+bad AS (SELECT host, list(line) AS lines FROM w JOIN n USING (host) WHERE has >= {line_dedup.MIN_PAGES} AND has > {line_dedup.RATIO} * pages GROUP BY host),
+k AS (SELECT page_id, host, ls, list_filter(ls, lambda z: bad.lines IS NULL OR NOT list_contains(bad.lines, z)) AS kept FROM g LEFT JOIN bad USING (host))
+SELECT page_id, host, len(ls) AS n_lines, len(ls) - len(kept) AS n_dropped, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM k
+"""
+
+
+@query("op10_line_dedup", OP10_SQL)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_text("html")
+    pages = _table(spark, sf_dir, "pages").select("page_id", line_dedup.url_host(F.col("url")).alias("host"), text.alias("text"))
+    sized = pages.withColumn("n_lines", F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n", -1))).cast("bigint"))
+    left = line_dedup.drop_boilerplate(sized, "host", n_dropped="n_dropped")
+    return left.select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))

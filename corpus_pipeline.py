@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm import quality
+from auditlake.llm import line_dedup, quality
 from auditlake.session import materialize
 
 
@@ -13,8 +13,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the boilerplate lines of their source."""
+    return line_dedup.drop_boilerplate(docs, "source")
+
+
 STAGES = [
     ("quality", quality_stage),
+    ("lines", lines_stage),
 ]
 ORACLE_SQL = None
 
