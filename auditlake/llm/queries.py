@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import line_dedup, pii, quality, secret_scan
+from auditlake.llm import line_dedup, pii, piece_counts, quality, secret_scan, sentencepiece_codec
 from auditlake.sources.text import BLOCK_TAGS, ENTITIES, html_text
 
 QUERIES: dict = {}
@@ -103,3 +103,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = pages.withColumn("n_lines", F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n", -1))).cast("bigint"))
     left = line_dedup.drop_boilerplate(sized, "host", n_dropped="n_dropped")
     return left.select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op2_sentencepiece")
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = sentencepiece_codec.encode(docs, outputs=("ids", "n_tokens", "n_bytes", "parity", "round_trip"), keep_text=False)
+    return done.select("doc_id", "n_tokens", "n_bytes", F.xxhash64("ids").alias("ids_hash"), "parity", "round_trip")
+
+
+@query("op7_piece_counts")
+def op7_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_counts.piece_counts(docs).select("doc_id", "n_words", "n_pieces", "n_unknown")

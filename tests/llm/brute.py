@@ -56,3 +56,15 @@ def base_pii(text):
         if 9 <= len(re.sub(r"[^0-9]", "", m[0])) <= 15:
             out.append((m.start(), 3, m.end(), "phone"))
     return out
+
+
+def greedy_pieces(word, first, rest):
+    """Longest match from the left; -1 where a word can't be spelled."""
+    at = n = 0
+    while at < len(word):
+        pieces = rest if at else first
+        size = next((k for k in range(len(word) - at, 0, -1) if word[at : at + k] in pieces), 0)
+        if not size:
+            return -1
+        at, n = at + size, n + 1
+    return n
