@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import line_dedup, pii, piece_counts, quality, secret_scan, sentencepiece_codec
+from auditlake.llm import decontaminate, line_dedup, pii, piece_counts, quality, secret_scan, sentencepiece_codec
 from auditlake.sources.text import BLOCK_TAGS, ENTITIES, html_text
 
 QUERIES: dict = {}
@@ -116,3 +116,9 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_counts.piece_counts(docs).select("doc_id", "n_words", "n_pieces", "n_unknown")
+
+
+@query("op5_decontaminate")
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(docs, benchmark, ["doc_id"])
