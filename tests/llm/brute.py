@@ -68,3 +68,33 @@ def greedy_pieces(word, first, rest):
             return -1
         at, n = at + size, n + 1
     return n
+
+
+def lm_scores(docs, train, order, mu):
+    """Scores by the recursive definition, from a list of texts and their training marks."""
+
+    def words(text):
+        return [w.lower() for w in (text or "").encode().split()] + ["</s>"]
+
+    grams, starts = Counter(), 0
+    for text, t in zip(docs, train, strict=True):
+        if t:
+            ws = ["<s>", *words(text)]
+            starts += 1
+            for n in range(1, order + 1):
+                grams.update(tuple(ws[i : i + n]) for i in range(len(ws) - n + 1))
+    tokens = sum(c for g, c in grams.items() if len(g) == 1 and g != ("<s>",))
+    types = sum(1 for g in grams if len(g) == 1 and g != ("<s>",))
+
+    def p(w, h):
+        if not h:
+            return (grams[(w,)] + 1) / (tokens + types + 1)
+        return (grams[(*h, w)] + mu * p(w, h[1:])) / (grams[h] + mu)
+
+    out = []
+    for text in docs:
+        ws = ["<s>", *words(text)]
+        score = sum(math.log10(p(ws[i], tuple(ws[max(0, i - order + 1) : i]))) for i in range(1, len(ws)))
+        base = sum(math.log10((grams[(w,)] + 1) / (tokens + types + 1)) for w in ws[1:])
+        out.append((len(ws) - 1, sum(grams[(w,)] > 0 for w in ws[1:]), tokens, base, score))
+    return out
