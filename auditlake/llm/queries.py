@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import decontaminate, line_dedup, lm_score, pii, piece_counts, quality, secret_scan, sentencepiece_codec
+from auditlake.llm import decontaminate, line_dedup, lm_score, pii, piece_counts, quality, secret_scan, sentencepiece_codec, simhash
 from auditlake.sources.text import BLOCK_TAGS, ENTITIES, html_text
 
 QUERIES: dict = {}
@@ -129,3 +129,8 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7)) == 2
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
     return lm_score.lm_score(docs, ~F.col("held_out"), ["doc_id", "held_out"])
+
+
+@query("op4_simhash")
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link_groups(_table(spark, sf_dir, "documents"), "doc_id")

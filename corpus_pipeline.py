@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm import line_dedup, quality
+from auditlake.llm import decontaminate, line_dedup, quality, sentencepiece_codec, simhash
 from auditlake.session import materialize
 
 
@@ -18,10 +18,32 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs, "source")
 
 
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    return simhash.near_dedup(docs, "doc_id")
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each document, whether they decode to its text, and whether both libraries agree."""
+    done = sentencepiece_codec.encode(
+        docs.select("doc_id", "lang", "source", "text"), outputs=("ids", "n_tokens", "parity", "round_trip"), keep_text=False
+    )
+    return done.select("doc_id", "lang", "source", "n_tokens", "ids", "parity", "round_trip")
+
+
 STAGES = [
     ("quality", quality_stage),
     ("lines", lines_stage),
+    ("near duplicates", near_duplicates_stage),
+    ("benchmark", benchmark_stage),
+    ("tokens", tokens_stage),
 ]
+# Fingerprints, tiling and pieces are not SQL: tests hold the rows against a plain version.
 ORACLE_SQL = None
 
 
@@ -29,5 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to the documents; each result is written once and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs

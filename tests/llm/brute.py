@@ -98,3 +98,28 @@ def lm_scores(docs, train, order, mu):
         base = sum(math.log10((grams[(w,)] + 1) / (tokens + types + 1)) for w in ws[1:])
         out.append((len(ws) - 1, sum(grams[(w,)] > 0 for w in ws[1:]), tokens, base, score))
     return out
+
+
+def simhash(text, size):
+    import xxhash
+
+    ws = (text or "").encode().lower().split()
+    if not ws:
+        return 0
+    grams = [b" ".join(ws[i : i + size]) for i in range(len(ws) - size + 1)] or [b" ".join(ws)]
+    hashes = [xxhash.xxh64_intdigest(g, seed=42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def groups(nodes, linked):
+    """Smallest member reachable, for each node."""
+    nodes, out = sorted(nodes), {}
+    for n in nodes:
+        if n not in out:
+            todo = [n]
+            while todo:
+                x = todo.pop()
+                if x not in out:
+                    out[x] = n
+                    todo += [y for y in nodes if y not in out and linked(x, y)]
+    return out
