@@ -32,6 +32,8 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 def cuts(hashes: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
     """(shard, start, end) of the non-empty shards of ascending hashes."""
+    if not len(hashes):
+        return []
     owner = shard_of(hashes, shards).astype(np.int64)
     starts = np.flatnonzero(np.diff(owner, prepend=-1))
     ends = np.append(starts[1:], len(owner))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import decontaminate, line_dedup, lm_score, pii, piece_counts, quality, secret_scan, sentencepiece_codec, simhash
+from auditlake.llm import decontaminate, line_dedup, lm_score, pii, piece_counts, quality, secret_scan, sentencepiece_codec, simhash, suffix_dedup
 from auditlake.sources.text import BLOCK_TAGS, ENTITIES, html_text
 
 QUERIES: dict = {}
@@ -134,3 +134,8 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_simhash")
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link_groups(_table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), "doc_id", keep_bytes=False)

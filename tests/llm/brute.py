@@ -123,3 +123,25 @@ def groups(nodes, linked):
                     out[x] = n
                     todo += [y for y in nodes if y not in out and linked(x, y)]
     return out
+
+
+def repeats(docs, match):
+    """{id: (bytes, removed, spans, digest)} of (id, text) rows, by looking up every string."""
+    least = {}
+    for i, t in docs:
+        b = (t or "").encode()
+        if i is not None:
+            for k in range(len(b) - match + 1):
+                s = b[k : k + match]
+                least[s] = min(least.get(s, i), i)
+    out = []
+    for i, t in docs:
+        b = (t or "").encode()
+        gone = [False] * len(b)
+        for k in range(len(b) - match + 1):
+            if i is not None and least[b[k : k + match]] < i:
+                gone[k : k + match] = [True] * match
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+        out.append((i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
