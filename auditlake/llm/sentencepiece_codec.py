@@ -212,10 +212,30 @@ def encode_batch(data: bytes, texts: Sequence[str], threads: int = THREADS) -> I
         yield [x if same else y for x, y, same in zip(own, theirs, agree, strict=True)], agree
 
 
+@lru_cache(maxsize=2)
+def _bytes_of(data: bytes) -> tuple[list[bytes], bool]:
+    """What each id reads as: a byte piece as its byte, others with the marker as a space."""
+    model = parse_model(data)
+    out = []
+    for piece, t in zip(model.pieces, model.types, strict=True):
+        plain = piece.replace(MARK, " ") if model.escape_spaces else piece
+        out.append(bytes([int(piece[3:5], 16)]) if t == BYTE else plain.encode("utf-8"))
+    return out, model.dummy_prefix
+
+
 def decode_batch(data: bytes, ids: Sequence[Sequence[int]]) -> list[str]:
-    """Texts of id lists."""
-    tokenizer, _, _ = _loaded(data)
-    return tokenizer.decode_batch([list(x) for x in ids], skip_special_tokens=False)
+    """Texts of id lists; ids whose bytes are no text are left to the tokenizer's decoder."""
+    pieces, dummy = _bytes_of(data)
+    out = []
+    for x in ids:
+        joined = b"".join(map(pieces.__getitem__, x))
+        try:
+            text = joined.decode("utf-8")
+        except UnicodeDecodeError:
+            out.append(_loaded(data)[0].decode(list(x), skip_special_tokens=False))
+        else:
+            out.append(text[1:] if dummy and text[:1] == " " else text)
+    return out
 
 
 def read_model(path: str = MODEL) -> bytes:
