@@ -12,10 +12,11 @@ Two ways lead to tiles:
   pieces are compared pair by pair.
 * ``near_dedup`` (similarity of shingle sets): texts whose numbers of shingles are too far apart
   can't be similar enough, so tiles are made per size class, and neighbouring classes are
-  compared. Longer fingerprints find the links; of each tile pair the minimum spanning forest is
-  kept, and each of its links is held against the whole shingle sets.
+  compared. Longer fingerprints find the links; of each tile pair ``LAYERS`` minimum spanning
+  forests are kept, and each of their links is held against the whole shingle sets. So no text goes
+  that is not similar to one of its group; fingerprints may miss links close to the threshold.
 
-No pairs within a group are written: a tile gives at most a tree, and components join trees.
+No pairs within a group are written: a tile gives at most a few trees, and components join trees.
 
 Defined cases: a text with fewer words than a shingle is one shingle; one without words, or null,
 has the fingerprint zero, linked like any other; repeated rows are copies; ids may be null or
@@ -39,7 +40,7 @@ from pyspark.sql import types as T
 
 from auditlake.llm.columns import BLANK, bind, free_name, words
 from auditlake.llm.groups import components
-from auditlake.session import materialize
+from auditlake.llm.settle import settled
 
 SEED = 42
 SLICE = 65_536
@@ -49,6 +50,9 @@ WIDE_TILE, ROWS = 16_384, 128
 #: Fingerprint words of the similarity join, bits in which the first may differ, and in which all may.
 WORDS, FIRST_RADIUS, ALL_RADIUS = 8, 18, 0.21
 
+#: Spanning forests kept of a tile pair, each of the links the ones before left: where one link fails the exact test, another may pass.
+LAYERS = 3
+
 _MIX = [np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
@@ -209,7 +213,7 @@ def fingerprint_links(fps: DataFrame, radius: int, bands: int, tile: int = TILE)
     ).select("fp", "pop", "k.t", "k.v")
     cells = rows.groupBy("t", "v", "pop").agg(F.count(F.lit(1)).alias("n"))
     large = cells.groupBy("t", "v").agg(F.sum("n").alias("n"), F.collect_list(F.struct("pop", "n")).alias("cells")).filter(F.col("n") > tile)
-    large = materialize(large, "large-tiles")  # at most rows / TILE of them, of at most 65 cells
+    large = settled(large, "large-tiles")  # at most rows / TILE of them, of at most 65 cells
     pieces = (
         large.select("t", "v", F.explode("cells").alias("c"))
         .select("t", "v", F.col("c.pop").alias("pop"), F.ceil(F.col("c.n") / F.lit(tile // 2)).cast("bigint").alias("subs"))
@@ -243,12 +247,12 @@ def fingerprint_links(fps: DataFrame, radius: int, bands: int, tile: int = TILE)
 def link_groups(df: DataFrame, identity: str, text: str = "text", size: int = 3, radius: int = 3) -> DataFrame:
     """``identity, fingerprint, component_id``: the smallest id reachable over fingerprints within the radius."""
     docs = df.select(F.col(f"`{identity}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    docs = materialize(fingerprints(docs, ["id"], "text", size).withColumnRenamed("fp0", "fp"), "fingerprints")
-    distinct = materialize(docs.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    docs = settled(fingerprints(docs, ["id"], "text", size).withColumnRenamed("fp0", "fp"), "fingerprints")
+    distinct = settled(docs.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
     links = fingerprint_links(distinct.select("fp"), radius, tile_count(distinct.count(), radius))
     roots = components(links)
     member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    member = materialize(member, "members")
+    member = settled(member, "members")
     named = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return docs.join(named, "fp").select(F.col("id").alias(identity), hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
@@ -351,7 +355,12 @@ def _similar(words_: int, first_radius: int, all_radius: int, similarity: float)
         return pd.DataFrame({"a": keys[links[:, 0]], "b": keys[links[:, 1]]})
 
     def reduced(links: np.ndarray, n: int) -> np.ndarray:
-        return links[forest(links[:, 0], links[:, 1], links[:, 2], n)]
+        layers = []
+        for _ in range(LAYERS):
+            picked = forest(links[:, 0], links[:, 1], links[:, 2], n)
+            layers.append(links[picked])
+            links = np.delete(links, picked, axis=0)
+        return np.concatenate(layers)
 
     return run
 
@@ -361,7 +370,7 @@ def similar_links(texts: DataFrame, similarity: float, words_: int = WORDS, tile
     step = -math.log(similarity)
     classed = texts.withColumn("c", F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(step)).cast("int"))
     sizes = classed.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("subs"))
-    sizes = materialize(sizes, "size-classes")  # one row per size class: few, whatever the input
+    sizes = settled(sizes, "size-classes")  # one row per size class: few, whatever the input
     piece = sizes.select("c", "subs", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
     left, right = piece.alias("l"), piece.alias("r")
     same = (F.col("l.c") == F.col("r.c")) & (F.col("l.sub") <= F.col("r.sub"))
@@ -398,17 +407,17 @@ def near_dedup(df: DataFrame, identity: str, text: str = "text", size: int = 5,
     slim = keyed.select(F.col(key).alias("key"), F.col(f"`{identity}`").alias("id"), F.col(f"`{text}`").alias("text"))
     sized = slim.withColumn("n", F.size(_shingle_set(_normal(F.col("text")), size)))
     marks = fingerprints(sized, ["key", "id", "n"], "text", size, WORDS)
-    marks = materialize(marks, "fingerprints")
+    marks = settled(marks, "fingerprints")
     names = [f"fp{k}" for k in range(WORDS)]
     # A null id is the largest; a repeated id is counted, to keep one of its rows.
     order = F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"))
-    texts = materialize(
+    texts = settled(
         marks.groupBy("key", "n", *names).agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("copies")), "distinct-texts"
     )
-    links = materialize(similar_links(texts.select("key", "n", *names), similarity), "candidate-links").distinct()
+    links = settled(similar_links(texts.select("key", "n", *names), similarity), "candidate-links").distinct()
     ends = links.select(F.col("a").alias("key")).unionAll(links.select("b")).distinct()
     sets = slim.join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    sets = materialize(sets.select("key", _shingle_set(_normal(F.col("text")), size).alias("s")), "shingle-sets")
+    sets = settled(sets.select("key", _shingle_set(_normal(F.col("text")), size).alias("s")), "shingle-sets")
     proven = (
         links.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
         .join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
@@ -418,7 +427,7 @@ def near_dedup(df: DataFrame, identity: str, text: str = "text", size: int = 5,
     )
     roots = components(proven)
     member = texts.join(roots, texts["key"] == roots["node"], "left").select("key", "least", "copies", F.coalesce("root", "key").alias("root"))
-    member = materialize(member, "members")
+    member = settled(member, "members")
     winner = member.groupBy("root").agg(F.min(F.struct("least", "key")).alias("w"))
     winner = winner.select(F.col("w.key").alias(key), F.col("w.least.id").alias("least_id"))
     repeated = marks.groupBy("key", "id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias(key), F.col("id").alias("r_id"))
