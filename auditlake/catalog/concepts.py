@@ -11,10 +11,10 @@ from auditlake.operators import concepts, context, naming
 from auditlake.plans.scan import bucket_of
 from auditlake.plans.sized import lookup_join
 
-# Customers in credit are concepts; every order is a segment that mentions its customer.
+# Customers are concepts; every order is a segment that mentions its customer.
 CONCEPTS = """
     concepts AS (SELECT 'cust-' || c_custkey AS concept_name, c_mktsegment AS concept_type, c_name || ' nation ' || c_nationkey AS summary
-                 FROM customer WHERE c_acctbal >= 0),
+                 FROM customer),
     mapping AS (SELECT CAST(o_orderkey AS VARCHAR) AS segment_id, 'cust-' || o_custkey AS concept_name FROM orders),
     segs AS (SELECT CAST(o_orderkey AS VARCHAR) AS segment_id, o_orderkey AS filename,
                     o_orderstatus || ' ' || o_orderpriority || ' order ' || o_orderkey AS segment_text FROM orders)
@@ -22,7 +22,7 @@ CONCEPTS = """
 
 
 def concepts_of(spark, sf_dir):
-    return table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(
+    return table(spark, sf_dir, "customer").select(
         F.concat(F.lit("cust-"), F.col("c_custkey").cast("string")).alias("concept_name"),
         F.col("c_mktsegment").alias("concept_type"),
         F.concat_ws(" ", "c_name", F.lit("nation"), F.col("c_nationkey").cast("string")).alias("summary"),
@@ -53,8 +53,8 @@ def concepts_by_type(spark, sf_dir):
 @query(
     "concept_segment_counts",
     f"""
-    WITH {CONCEPTS} SELECT c.concept_name, c.concept_type, count(m.segment_id) AS segment_count
-    FROM concepts c JOIN mapping m ON c.concept_name = m.concept_name GROUP BY 1, 2
+    WITH {CONCEPTS}, used AS (SELECT concept_name, count(*) AS segment_count FROM mapping GROUP BY ALL)
+    SELECT concept_name, concept_type, segment_count FROM used JOIN concepts USING (concept_name)
     """,
 )
 def concept_segment_counts(spark, sf_dir):
@@ -64,9 +64,9 @@ def concept_segment_counts(spark, sf_dir):
 @query(
     "multi_segment_concepts",
     f"""
-    WITH {CONCEPTS}, n AS (SELECT c.concept_name, c.concept_type, count(m.segment_id) AS k
-      FROM concepts c LEFT JOIN mapping m ON c.concept_name = m.concept_name GROUP BY 1, 2)
-    SELECT concept_type, count(*) AS concept_count, count(*) FILTER (WHERE k > 1) AS multi_segment_count FROM n GROUP BY 1
+    WITH {CONCEPTS}, often AS (SELECT concept_name FROM mapping GROUP BY ALL HAVING max(segment_id) <> min(segment_id))
+    SELECT concept_type, count(*) AS concept_count, CAST(sum(CAST(concept_name IN (FROM often) AS INT)) AS BIGINT) AS multi_segment_count
+    FROM concepts GROUP BY ALL
     """,
 )
 def multi_segment_concepts(spark, sf_dir):
@@ -76,12 +76,14 @@ def multi_segment_concepts(spark, sf_dir):
 @query(
     "orphan_concepts",
     f"""
-    WITH {CONCEPTS} SELECT DISTINCT m.concept_name FROM mapping m LEFT JOIN concepts c ON m.concept_name = c.concept_name
-    WHERE c.concept_name IS NULL
+    WITH {CONCEPTS} SELECT concept_name FROM mapping
+    EXCEPT SELECT 'cust-' || c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING'
     """,
 )
 def orphan_concepts(spark, sf_dir):
-    return concepts.orphan_names(concepts_of(spark, sf_dir), mapping_of(spark, sf_dir))
+    """Names in the mapping that a store without one type of concepts lacks."""
+    stored = concepts_of(spark, sf_dir).filter("concept_type <> 'BUILDING'")
+    return concepts.orphan_names(stored, mapping_of(spark, sf_dir))
 
 
 _SELECTED = "SELECT concept_name FROM concepts WHERE concept_type IN ('MACHINERY', 'FURNITURE')"

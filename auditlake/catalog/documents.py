@@ -152,10 +152,8 @@ def interval_length(spark, sf_dir):
     return intervals.covered_lines(_spans(spark, sf_dir), "event_type", "start_line", "end_line", width=256)
 
 
-# Segments of more than 60 words cover part of a document.
 COVERED = r"""
-    k AS (SELECT * FROM s WHERE len(regexp_extract_all(segment_text, '[\p{L}\p{N}_]+')) > 60),
-    x AS (SELECT DISTINCT filename, unnest(range(segment_start_line_no_global, segment_end_line_no_global + 1)) AS n FROM k),
+    x AS (SELECT DISTINCT filename, unnest(range(segment_start_line_no_global, segment_end_line_no_global + 1)) AS n FROM s),
     v AS (SELECT filename, count(*) AS lines_covered FROM x GROUP BY 1)
 """
 
@@ -163,8 +161,7 @@ COVERED = r"""
 def coverage_of(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     totals = docs.select(F.col("doc_id").alias("filename"), X.line_count("text").cast("bigint").alias("total_lines"))
-    long = segments_of(spark, sf_dir).filter(F.size(X.tokens("segment_text")) > 60)
-    return intervals.line_coverage(long, totals, "filename", "total_lines")
+    return intervals.line_coverage(segments_of(spark, sf_dir), totals, "filename", "total_lines")
 
 
 @query(
@@ -345,7 +342,7 @@ _LOCS = r"\.(csv|parquet|json|ndjson|db|sqlite|txt|tsv)|https?://|s3://"
     "sql_lint",
     rf"""
     WITH q AS (
-      SELECT conv_id * 1000 + turn AS query_id, CASE turn
+      SELECT 'turn ' || conv_id || '-' || turn AS query_id, CASE turn
         WHEN 0 THEN 'SELECT * FROM docs WHERE body = ''' || text || ''''
         WHEN 1 THEN 'SELECT 1 /* ' || text || ' */ -- tail'
         WHEN 2 THEN 'SELECT 1; DROP TABLE docs -- ' || text
@@ -354,8 +351,8 @@ _LOCS = r"\.(csv|parquet|json|ndjson|db|sqlite|txt|tsv)|https?://|s3://"
         WHEN 5 THEN 'SELECT * FROM read_csv(''' || text || ''')'
         WHEN 6 THEN 'SELECT ''' || text || ' s3://bucket/x'' FROM pg_catalog.t'
         ELSE '/* ' || text || ' */' END AS sql FROM conversations
-      UNION ALL SELECT 1000000000 + page_id, 'SELECT * FROM t WHERE u = ''' || url || '''' FROM pages),
-    c AS (SELECT query_id, sql, trim(regexp_replace(regexp_replace(sql, '--[^\n]*', '', 'g'), '/\*.*?\*/', '', 'gs'), chr(10) || ' ') AS x FROM q),
+      UNION ALL SELECT 'page ' || page_id, 'SELECT * FROM t WHERE u = ''' || url || '''' FROM pages),
+    c AS (SELECT query_id, sql, trim(regexp_replace(sql, '(''[^'']*''|"[^"]*"|`[^`]*`)|--[^\n]*|/\*[\s\S]*?\*/', '\1', 'g'), chr(10) || ' ') AS x FROM q),
     m AS (SELECT *, list_filter([trim(z) for z in string_split(regexp_replace(regexp_replace(x, '''[^'']*''', '''''', 'g'),
           '"[^"]*"', '""', 'g'), ';')], lambda z: z <> '') AS parts FROM c),
     r AS (SELECT query_id, CASE WHEN trim(sql) = '' THEN 'empty'
@@ -381,28 +378,41 @@ def sql_lint(spark, sf_dir):
         .when(turn == 6, F.concat(F.lit("SELECT '"), text, F.lit(" s3://bucket/x' FROM pg_catalog.t")))
         .otherwise(F.concat(F.lit("/* "), text, F.lit(" */")))
     )
-    asked = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + turn).alias("query_id"), sql.alias("sql"))
+    name = F.concat(F.lit("turn "), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+    asked = table(spark, sf_dir, "conversations").select(name.alias("query_id"), sql.alias("sql"))
     urls = table(spark, sf_dir, "pages").select(
-        (F.lit(1000000000) + F.col("page_id")).alias("query_id"),
+        F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("query_id"),
         F.concat(F.lit("SELECT * FROM t WHERE u = '"), "url", F.lit("'")).alias("sql"),
     )
     return lint(asked.unionByName(urls), "query_id", "sql")
 
 
-@query(
-    "condense_lines",
-    f"""
-    WITH {LINES},
-    z AS (SELECT doc_id, line_no, total_lines, (line_no - 1) // 10 AS ch, ceil(total_lines / 10.0) AS chunks,
-                 regexp_replace(line, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS line FROM l WHERE total_lines >= 12),
-    y AS (SELECT doc_id, ch, chunks, line, min(line_no) AS line_no FROM z GROUP BY ALL),
-    w AS (SELECT *, sum(len(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}_]+'))) OVER (PARTITION BY doc_id, ch ORDER BY line_no) AS words FROM y),
-    k AS (SELECT doc_id, ch, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE words <= greatest(50, floor(300 / chunks))), '') AS part
-          FROM w GROUP BY 1, 2)
-    SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM z)
-    UNION ALL SELECT doc_id, string_agg(part, chr(10) || chr(10) ORDER BY ch) AS text FROM k GROUP BY 1
-    """,
-)
+def _condense_round(source: str, to: str) -> str:
+    """One round over ``source`` (doc_id, ls): texts from 12 lines on, in chunks of 10 lines, with a share of 300 words."""
+    return rf"""
+    {to}z AS (SELECT doc_id, pos, (pos - 1) // 10 AS ch, ceil(n / 10.0) AS chunks, regexp_replace(line, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS line
+              FROM (SELECT doc_id, len(ls) AS n, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM {source} WHERE len(ls) >= 12)),
+    {to}y AS (SELECT doc_id, ch, chunks, line, min(pos) AS pos, len(regexp_extract_all(line, '[\p{{L}}\p{{N}}_]+')) AS n FROM {to}z GROUP BY ALL),
+    {to}w AS (SELECT *, greatest(50, floor(300 / chunks)) AS share, sum(n) OVER o AS total, row_number() OVER o AS k, count(*) OVER (PARTITION BY doc_id, ch) AS c
+              FROM {to}y WINDOW o AS (PARTITION BY doc_id, ch ORDER BY n, pos ROWS UNBOUNDED PRECEDING)),
+    {to}p AS (SELECT doc_id, ch, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE total <= share AND k <= ceil(c / 2.0)),
+                       max(array_to_string(string_split(line, ' ')[1:CAST(share AS BIGINT)], ' ')) FILTER (WHERE k = 1)) AS part FROM {to}w GROUP BY 1, 2),
+    {to}j AS (SELECT doc_id, string_agg(part, chr(10) || chr(10) ORDER BY ch) AS x FROM {to}p GROUP BY 1),
+    {to} AS MATERIALIZED (SELECT doc_id, ls FROM {source} WHERE len(ls) < 12
+            UNION ALL SELECT doc_id, string_split(CASE WHEN ends_with(x, chr(10)) THEN x[:-2] ELSE x END, chr(10)) FROM {to}j)"""
+
+
+_ROUNDS = 12
+_CONDENSE = r"""
+    WITH r0 AS (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE string_split(CASE WHEN ends_with(x, chr(10)) THEN x[:-2] ELSE x END, chr(10)) END AS ls
+                FROM (SELECT doc_id, text, regexp_replace(text, '\r\n?', chr(10), 'g') AS x FROM documents)),
+""" + ",".join(_condense_round(f"r{i}", f"r{i + 1}") for i in range(_ROUNDS)) + f"""
+    SELECT d.doc_id, CASE WHEN len(r0.ls) < 12 THEN d.text ELSE array_to_string(r.ls, chr(10)) END AS text
+    FROM documents d JOIN r0 USING (doc_id) JOIN r{_ROUNDS} r USING (doc_id)
+"""
+
+
+@query("condense_lines", _CONDENSE)
 def condense_lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return context.condense(docs, "text", threshold=12, words=300, passes=1, chunk_lines=10)
+    return context.condense(docs, "text", threshold=12, words=300, chunk_lines=10)

@@ -188,18 +188,18 @@ def tabular_context_job(spark, sf_dir):
     "decided_records",
     r"""
     SELECT doc_id AS key, len(string_split(text, ' ')) AS words, len(text) > 200 AS long,
-           CASE WHEN len(text) > 4000 THEN 'missing words' END AS problem FROM documents WHERE len(text) <= 4000
-    UNION ALL SELECT doc_id, NULL, true, 'missing words' FROM documents WHERE len(text) > 4000
+           NULL AS problem FROM documents WHERE NOT contains(text, '###')
+    UNION ALL SELECT doc_id, NULL, len(text) > 200, 'missing words' FROM documents WHERE contains(text, '###')
     """,
 )
 def decided(spark, sf_dir):
-    """A stand-in decision over whole texts: word count and a flag; very long texts get no count."""
+    """A stand-in decision over whole texts: word count and a flag; an answer about headings lacks the count."""
 
     def answer(text: pd.Series) -> pd.Series:
         words = text.str.split(" ").str.len()
         long = text.str.len().gt(200).map({True: "true", False: "false"})
         full = '```json\n{"words": ' + words.astype(str) + ', "long": ' + long + "}\n```"
-        return full.where(text.str.len() <= 4000, '{"long": ' + long + "}")
+        return full.where(~text.str.contains("###", regex=False), '{"long": ' + long + "}")
 
     schema = T.StructType([T.StructField("words", T.LongType()), T.StructField("long", T.BooleanType())])
     rows = decided_records(table(spark, sf_dir, "documents"), "doc_id", "text", answer, schema, ["words", "long"])

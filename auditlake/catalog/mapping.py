@@ -16,7 +16,7 @@ _PARTS_OF = r"list_sort(list_distinct(regexp_extract_all(lower(regexp_replace({x
     f"""
     WITH a AS (SELECT p_partkey, 'has' || replace(initcap_, ' ', '') || CASE WHEN p_size > 40 THEN 'Code' ELSE '' END AS attribute_name FROM
                  (SELECT *, array_to_string([upper(z[1]) || z[2:] for z in string_split(p_name, ' ')], ' ') AS initcap_ FROM part)),
-    c AS (SELECT DISTINCT replace(p_name, ' ', '.') || '.' || lower(p_type) AS column_name FROM part WHERE p_size < 20),
+    c AS (SELECT DISTINCT replace(p_name, ' ', '.') || '.' || CASE WHEN p_size < 20 THEN lower(p_type) ELSE 'a.b.c.d.e.f' END AS column_name FROM part),
     ls AS (SELECT DISTINCT {_PARTS_OF.format(x="attribute_name")} AS ws FROM a),
     rs AS (SELECT DISTINCT {_PARTS_OF.format(x="column_name")} AS ws FROM c),
     pr AS (SELECT ls.ws AS l, rs.ws AS r, len(list_intersect(ls.ws, rs.ws)) AS sh FROM ls, rs),
@@ -34,9 +34,9 @@ def schema_match(spark, sf_dir):
     attributes = part.select(
         "p_partkey", F.concat(F.lit("has"), F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), code).alias("attribute_name")
     )
-    columns = part.filter("p_size < 20").select(
-        F.concat_ws(".", F.replace("p_name", F.lit(" "), F.lit(".")), F.lower("p_type")).alias("column_name")
-    ).distinct()
+    # Names with many further words are too far from any attribute.
+    ending = F.when(F.col("p_size") < 20, F.lower("p_type")).otherwise("a.b.c.d.e.f")
+    columns = part.select(F.concat_ws(".", F.replace("p_name", F.lit(" "), F.lit(".")), ending).alias("column_name")).distinct()
     return mapping.schema_match(attributes, "attribute_name", columns, "column_name")
 
 
@@ -173,8 +173,9 @@ def mapping_tree(spark, sf_dir):
 
 
 def _sizes(spark, sf_dir):
-    """Dataset columns of the stored mappings: one per part size below 30, one never mapped."""
-    part = table(spark, sf_dir, "part").filter("p_size < 30").select(F.concat(F.lit("c"), F.col("p_size").cast("string")).alias("column_name"))
+    """Dataset columns of the stored mappings: one per part size, those from 30 under a name no mapping has, and one per region."""
+    size = F.col("p_size").cast("string")
+    part = table(spark, sf_dir, "part").select(F.concat(F.when(F.col("p_size") < 30, "c").otherwise("other"), size).alias("column_name"))
     return part.unionByName(table(spark, sf_dir, "region").select(F.col("r_name").alias("column_name")))
 
 
@@ -182,7 +183,7 @@ def _sizes(spark, sf_dir):
     "mapping_export",
     f"""
     WITH {_STORED}, us AS (SELECT * FROM la WHERE p_size <= 35 AND p_size >= 6),
-    co AS (SELECT DISTINCT 'c' || p_size AS n FROM part WHERE p_size < 30 UNION SELECT r_name FROM region),
+    co AS (SELECT DISTINCT CASE WHEN p_size < 30 THEN 'c' ELSE 'other' END || p_size AS n FROM part UNION SELECT r_name FROM region),
     cv AS (SELECT count(*) FILTER (WHERE n IN (SELECT 'c' || p_size FROM us)) AS m, count(*) AS t FROM co),
     o AS (SELECT *, row_number() OVER (PARTITION BY f, c ORDER BY a) - 1 AS pos FROM us)
     SELECT '' AS source_file, '' AS class_name, 0 AS part_no,

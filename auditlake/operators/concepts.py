@@ -133,7 +133,8 @@ def reconcile(candidates: DataFrame, existing: DataFrame) -> tuple[DataFrame, Da
     ``candidates``: segment_id, seq (unique arrival order), concept_type, concept_name,
     rationale, summary, attributes_and_values. Candidates of one type whose names have
     the same words are one concept: an existing one if it matches, else a new one named
-    after the earliest candidate. The latest candidate updates the record.
+    after the earliest candidate. The latest candidate updates the record; attributes of all
+    candidates and of the existing concept are merged.
     """
     keyed = candidates.withColumn("match_key", match_key(F.col("concept_name")))
     known = (
@@ -141,13 +142,20 @@ def reconcile(candidates: DataFrame, existing: DataFrame) -> tuple[DataFrame, Da
         .groupBy("concept_type", "match_key")
         .agg(F.min("concept_name").alias("known_name"))
     )
-    filled = F.col("attributes_and_values")
     groups = keyed.groupBy("concept_type", "match_key").agg(
         F.min("seq").alias("first_seq"),
         F.min_by("concept_name", "seq").alias("first_name"),
         F.max_by(F.struct("rationale", "summary"), F.col("seq")).alias("last"),
-        F.max_by(filled, F.when(F.size(filled) > 0, F.col("seq"))).alias("attributes_and_values"),
     )
+    # Every attribute keeps its latest value; there are as many entries as a concept has attribute names.
+    attributes = (
+        keyed.select("concept_type", "match_key", "seq", F.explode("attributes_and_values").alias("name", "value"))
+        .groupBy("concept_type", "match_key", "name")
+        .agg(F.max_by("value", "seq").alias("value"))
+        .groupBy("concept_type", "match_key")
+        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("attributes_and_values"))
+    )
+    groups = groups.join(attributes, ["concept_type", "match_key"], "left")
     decided = materialize(groups.join(known, ["concept_type", "match_key"], "left"), "reconcile")
     fresh = unique_names(
         decided.filter("known_name IS NULL").withColumn("_slug", normalize_name("first_name")), "first_seq", "_slug", existing
@@ -160,13 +168,14 @@ def reconcile(candidates: DataFrame, existing: DataFrame) -> tuple[DataFrame, Da
     current = named.select(
         "concept_type", "last.rationale", "concept_name", "attributes_and_values", "last.summary"
     )
-    # A candidate without attributes keeps the ones the concept had.
+    # New values win; attributes that no candidate names stay.
+    none = F.create_map().cast("map<string,string>")
     old = existing.select("concept_name", F.col("attributes_and_values").alias("_old"))
     merged = current.join(old, "concept_name", "left").select(
         "concept_type",
         "rationale",
         "concept_name",
-        F.coalesce("attributes_and_values", "_old", F.create_map().cast("map<string,string>")).alias("attributes_and_values"),
+        merged_maps(F.coalesce("_old", none), F.coalesce("attributes_and_values", none)).alias("attributes_and_values"),
         "summary",
     )
     untouched = existing.join(named.select("concept_name"), "concept_name", "left_anti")

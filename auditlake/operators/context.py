@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -63,42 +64,57 @@ def budget_prefix(rows: DataFrame, run: str, file_no: str, row_no: str, size: Co
 
 
 def _shortened(body: Column, words: int, chunk_lines: int) -> Column:
-    """Chunks of an array of lines without repeated lines, each cut to its share of words."""
+    """Chunks of an array of lines without repeated lines, each cut to its share of words.
+
+    The shortest lines are kept, so that no long line stands in the way of others, and at most
+    half of a chunk, in their old order. A chunk of long lines only keeps the start of the shortest.
+    """
     chunks = F.ceil(F.size(body) / chunk_lines)
     limit = chunk_word_limit(words, chunks)
 
     def shorten(i: Column) -> Column:
         part = F.array_distinct(F.transform(F.slice(body, (i * chunk_lines + 1).cast("int"), chunk_lines), strip))
-        start = F.struct(F.lit(0).cast("bigint").alias("words"), F.lit(0).alias("kept"), F.lit(True).alias("open"))
+        sized = F.sort_array(
+            F.transform(part, lambda x, at: F.struct(F.size(tokens(x)).cast("bigint").alias("n"), at.alias("at"), x.alias("x")))
+        )
+        start = F.struct(F.lit(0).cast("bigint").alias("words"), F.lit(0).alias("kept"))
 
         def take(state: Column, line: Column) -> Column:
-            total = state["words"] + F.size(tokens(line))
-            fits = state["open"] & (total <= limit)
-            return F.struct(
-                total.cast("bigint").alias("words"),
-                F.when(fits, state["kept"] + 1).otherwise(state["kept"]).alias("kept"),
-                fits.alias("open"),
-            )
+            total = state["words"] + line["n"]
+            return F.struct(total.alias("words"), (state["kept"] + (total <= limit).cast("int")).alias("kept"))
 
-        kept = F.aggregate(part, start, take, lambda s: s["kept"])
-        return F.array_join(F.slice(part, 1, kept), "\n")
+        def chosen(s: Column) -> Column:
+            kept = F.least(F.aggregate(s, start, take, lambda x: x["kept"]), F.ceil(F.size(s) / 2).cast("int"))
+            first = F.array_join(F.slice(F.split(F.get(s, F.lit(0))["x"], " "), F.lit(1), limit.cast("int")), " ")
+            some = F.sort_array(F.transform(F.slice(s, F.lit(1), kept), lambda y: F.struct(y["at"].alias("at"), y["x"].alias("x"))))
+            return F.when(kept > 0, F.array_join(F.transform(some, lambda y: y["x"]), "\n")).otherwise(first)
+
+        return F.transform(F.array(sized), chosen)[0]
 
     return F.transform(F.sequence(F.lit(0), (chunks - 1).cast("int")), shorten)
 
 
-def condense(
-    docs: DataFrame, text: str, threshold: int = 500, words: int = 10_000, passes: int = 2, chunk_lines: int = CHUNK_LINES
-) -> DataFrame:
-    """Shorten long texts in place: per chunk, repeated lines go and lines are kept up to the
-    chunk's share of ``words``. Texts below ``threshold`` lines stay as they are; at most
-    ``passes`` rounds."""
-    columns = docs.columns
-    for _ in range(passes):
-        split = docs.withColumn("_body", lines(text))
-        short = F.array_join(_shortened(F.col("_body"), words, chunk_lines), "\n\n")
-        long = F.size("_body") >= threshold
-        docs = split.withColumn(text, F.when(long, short).otherwise(F.col(text))).select(*columns)
-    return docs
+def condense(docs: DataFrame, text: str, threshold: int = 500, words: int = 10_000, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """Shorten long texts in place, round by round until they are below ``threshold`` lines.
+
+    A round drops repeated lines in each chunk and keeps lines up to the chunk's share of
+    ``words``. It leaves at most half of a chunk's lines and a blank between chunks, so the
+    number of lines tells beforehand how many rounds are enough.
+    """
+    if threshold < 2 or chunk_lines < 6:
+        raise ValueError("a threshold of 2 lines and chunks of 6 lines at least")
+
+    def again(body: Column) -> Column:
+        short = F.array_join(_shortened(body, words, chunk_lines), "\n\n")
+        return F.when(F.size(body) >= threshold, lines(short)).otherwise(body)
+
+    def rounds(body: Column) -> Column:
+        number = F.ceil(F.log(F.size(body).cast("double")) / math.log(1.4)).cast("int") + 1
+        left = F.aggregate(F.sequence(F.lit(1), number), body, lambda acc, _: F.transform(F.array(acc), again)[0])
+        return F.when(F.size(body) >= threshold, F.array_join(left, "\n"))
+
+    done = F.transform(F.array(lines(text)), rounds)[0]
+    return docs.withColumn(text, F.coalesce(done, F.col(text)))
 
 
 def column_listing(columns: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.functions.sqltext import resolve_names
 from auditlake.operators.tables import quoted
 
 # Aggregate functions a cube may use.
@@ -22,11 +23,11 @@ class Measure:
     alias: str
     digits: int | None = None
 
-    def column(self) -> Column:
+    def column(self, columns: list[str]) -> Column:
         name = self.function.upper()
         if name not in CUBE_FUNCTIONS:
             raise ValueError(f"unsupported aggregate: {self.function}")
-        value = F.expr(f"{name}({self.expression})")
+        value = F.expr(f"{name}({resolve_names(self.expression, columns)})")
         return (value if self.digits is None else F.round(value, self.digits)).alias(self.alias)
 
 
@@ -48,10 +49,10 @@ class CubeSpec:
 
 def data_cube(df: DataFrame, spec: CubeSpec) -> DataFrame:
     """Run a cube definition: filter, group, aggregate, order, cap."""
-    rows = df.filter(spec.filtering_conditions) if spec.filtering_conditions.strip() else df
+    rows = df.filter(resolve_names(spec.filtering_conditions, df.columns)) if spec.filtering_conditions.strip() else df
     keys = [quoted(d) for d in spec.dimensions]
     grouped = {"group": rows.groupBy, "rollup": rows.rollup, "cube": rows.cube}[spec.grouping](*keys)
-    result = grouped.agg(*[m.column() for m in spec.measures])
+    result = grouped.agg(*[m.column(df.columns) for m in spec.measures])
     order = [
         quoted(name).desc_nulls_last() if descending else quoted(name).asc_nulls_last()
         for name, descending in spec.sort_order
@@ -63,7 +64,7 @@ def data_cube(df: DataFrame, spec: CubeSpec) -> DataFrame:
 
 def filtered_aggregates(df: DataFrame, by: list[str], value: str, flag: str) -> DataFrame:
     """Record count, flagged count and share, and the spread of one value, per group."""
-    hit = F.expr(flag)
+    hit = F.expr(resolve_names(flag, df.columns))
     return df.groupBy(*[quoted(b) for b in by]).agg(
         F.count(F.lit(1)).alias("total_records"),
         F.count_if(hit).alias("flagged_records"),
@@ -85,7 +86,7 @@ class Rule:
 
 def scorecard(df: DataFrame, rules: list[Rule], by: list[str]) -> DataFrame:
     """Violations per rule and group in one scan: all rules count in the same aggregate."""
-    counts = [F.count_if(F.expr(r.predicate)).alias(f"_{i}") for i, r in enumerate(rules)]
+    counts = [F.count_if(F.expr(resolve_names(r.predicate, df.columns))).alias(f"_{i}") for i, r in enumerate(rules)]
     wide = df.groupBy(*[quoted(b) for b in by]).agg(F.count(F.lit(1)).alias("total_records"), *counts)
     cells = F.array(
         *[

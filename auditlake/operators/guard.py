@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.functions.sqltext import BLOCKED_SPARK_FUNCTIONS, lint_reason, strip_comments
+from auditlake.functions.sqltext import lint_reason, strip_comments
 
 
 @contextmanager
@@ -29,15 +30,17 @@ def run_sql(spark: SparkSession, sql: str) -> DataFrame:
 
 
 def check_sql(spark: SparkSession, sql: str) -> str:
-    """The text without comments; raises on anything but one read-only SELECT."""
+    """The text without comments; raises on anything but one read-only SELECT that parses."""
     row = spark.range(1).select(lint_reason(F.lit(sql)).alias("r"), strip_comments(F.lit(sql)).alias("q")).first()
     if row["r"] is not None:
         raise ValueError(f"Disallowed SQL: {row['r']}")
-    lowered = row["q"].lower()
-    for name in BLOCKED_SPARK_FUNCTIONS:
-        if name + "(" in lowered.replace(" ", ""):
-            raise ValueError(f"Disallowed SQL: function {name}")
-    return row["q"].strip().rstrip(";")
+    clean = row["q"].strip().rstrip(";")
+    try:
+        with _settings(spark, spark__sql__ansi__enabled="true", spark__sql__ansi__doubleQuotedIdentifiers="true"):
+            spark._jsparkSession.sessionState().sqlParser().parsePlan(clean)
+    except ParseException as error:
+        raise ValueError(f"Disallowed SQL: does not parse: {error.getCondition()}") from error
+    return clean
 
 
 def guarded_sql(spark: SparkSession, sql: str, row_limit: int | None = 100) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.functions.sqltext import resolve_names
 from auditlake.functions.text import name_parts, percent, relative_path
 from auditlake.operators.tables import BOOKKEEPING_TABLES, quoted
 from auditlake.plans.scan import ordered_parts, range_bucketed
@@ -114,13 +114,25 @@ def _name_sets(df: DataFrame, name: str, prefix: str) -> DataFrame:
 
 
 def _rare_words(sets: DataFrame, prefix: str, rarity: DataFrame, threshold: float) -> DataFrame:
-    """Rarest words of each set: two sets similar enough must share one of them."""
-    size = F.size(f"{prefix}_set")
-    each = sets.select(f"{prefix}_key", size.alias("size"), F.explode(f"{prefix}_set").alias("word"))
+    """For each size a partner may have, the rarest words of a set: two sets similar enough share one of them.
+
+    Sets of l and s words with a Jaccard similarity of t share at least t / (1 + t) (l + s)
+    words, so all but that many, less one, may be left out.
+    """
+    each = sets.select(f"{prefix}_key", F.size(f"{prefix}_set").alias("size"), F.explode(f"{prefix}_set").alias("word"))
     words = each.join(rarity, "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     order = Window.partitionBy(f"{prefix}_key").orderBy("df", "word")
-    keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1
-    return words.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= keep).select(f"{prefix}_key", "word")
+    ranked = words.withColumn("_n", F.row_number().over(order))
+    least, most = F.ceil(F.lit(threshold) * F.col("size") - F.lit(1e-9)), F.floor(F.col("size") / F.lit(threshold) + F.lit(1e-9))
+    sized = ranked.withColumn("other", F.explode(F.sequence(least.cast("int"), most.cast("int"))))
+    shared = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("size") + F.col("other")) - F.lit(1e-9))
+    return sized.filter(F.col("_n") <= F.col("size") - shared + 1).select(f"{prefix}_key", "word", "size", "other")
+
+
+def name_pairs(left: DataFrame, right: DataFrame, rarity: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of word sets that may be similar: of sizes that fit, with a rare word in common."""
+    theirs = _rare_words(right, "r", rarity, threshold).select("r_key", "word", F.col("size").alias("other"), F.col("other").alias("size"))
+    return _rare_words(left, "l", rarity, threshold).join(theirs, ["word", "size", "other"]).select("l_key", "r_key").distinct()
 
 
 def schema_match(attributes: DataFrame, attribute: str, columns: DataFrame, column: str, threshold: float = 0.5) -> DataFrame:
@@ -133,12 +145,7 @@ def schema_match(attributes: DataFrame, attribute: str, columns: DataFrame, colu
     left = _name_sets(attributes, attribute, "l")
     right = _name_sets(columns, column, "r")
     rarity = right.select(F.explode("r_set").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    pairs = (
-        _rare_words(left, "l", rarity, threshold)
-        .join(_rare_words(right, "r", rarity, threshold), "word")
-        .select("l_key", "r_key")
-        .distinct()
-    )
+    pairs = name_pairs(left, right, rarity, threshold)
     split_l, split_r = F.split("l_key", " "), F.split("r_key", " ")
     shared = F.size(F.array_intersect(split_l, split_r))
     scored = pairs.select(
@@ -244,22 +251,12 @@ def read_mapping_json(rows: DataFrame, text: str) -> DataFrame:
     )
 
 
-def quote_names(formula: str, columns: list[str]) -> str:
-    """Back-quote column names that are not plain identifiers, outside string literals."""
-    special = sorted((c for c in columns if not re.fullmatch(r"[A-Za-z_]\w*", c)), key=len, reverse=True)
-    if not special:
-        return formula
-    names = "|".join(re.escape(c) for c in special)
-    pattern = re.compile(rf"'[^']*'|`[^`]*`|\"[^\"]*\"|(?<![\w.])({names})(?![\w.])", re.IGNORECASE)
-    return pattern.sub(lambda m: f"`{m.group(1)}`" if m.group(1) else m.group(0), formula)
-
-
 def semantic_view(df: DataFrame, attributes: list[tuple[str, list[str], str | None]], keep: list[str]) -> DataFrame:
     """Columns named by attribute: its formula, or its only mapped column where there is none."""
     out = [quoted(k) for k in keep]
     for name, mapped, formula in attributes:
         if formula and formula.strip():
-            out.append(F.expr(quote_names(formula, df.columns)).alias(name))
+            out.append(F.expr(resolve_names(formula, df.columns)).alias(name))
         elif len(mapped) == 1:
             out.append(quoted(mapped[0]).alias(name))
         else:

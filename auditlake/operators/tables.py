@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.functions.sqltext import resolve_names
+
 # Bookkeeping tables left out of every catalog view.
 BOOKKEEPING_TABLES = [
     "processed_classes", "attribute_mappings", "file_line_sequence", "text_segments", "concepts",
@@ -19,7 +21,7 @@ def quoted(name: str) -> Column:
 
 def select_table(df: DataFrame, columns: list[str] | None = None, condition: str = "", limit: int | None = 100) -> DataFrame:
     """Project, filter and cap a table."""
-    rows = df.filter(condition) if condition.strip() else df
+    rows = df.filter(resolve_names(condition, df.columns)) if condition.strip() else df
     rows = rows.select(*[quoted(c) for c in columns]) if columns else rows
     return rows if limit is None else rows.limit(limit)
 
@@ -39,7 +41,7 @@ def append_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
 
 def update_rows(df: DataFrame, values: dict[str, Column], condition: str = "") -> DataFrame:
     """Set columns where the condition is true; without a condition, everywhere."""
-    hit = F.expr(condition) if condition.strip() else F.lit(True)
+    hit = F.expr(resolve_names(condition, df.columns)) if condition.strip() else F.lit(True)
     types = dict(df.dtypes)
     unknown = set(values) - set(types)
     if unknown:
@@ -55,7 +57,7 @@ def update_rows(df: DataFrame, values: dict[str, Column], condition: str = "") -
 def profile(df: DataFrame, table: str, exact: bool = False) -> DataFrame:
     """One row per column: position, type, nulls, distinct values, smallest and largest value.
 
-    One scan; ``exact`` replaces the distinct sketch by exact counts, one column at a time.
+    ``exact`` replaces the distinct sketch by exact counts, made in one more scan for all columns.
     """
     plain = [(i, n, t) for i, (n, t) in enumerate(df.dtypes)]
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -88,13 +90,11 @@ def profile(df: DataFrame, table: str, exact: bool = False) -> DataFrame:
     )
     if not exact:
         return rows
-    counts = None
-    for _, name, _ in plain:
-        # distinct first: a repeated value shrinks before the shuffle and no task counts a whole column
-        part = df.select(quoted(name).alias("v")).distinct().agg(F.count("v").alias("distinct_count"))
-        part = part.select(F.lit(name).alias("column_name"), "distinct_count")
-        counts = part if counts is None else counts.unionByName(part)
-    return rows.drop("distinct_count").join(counts, "column_name")
+    # One scan gives (column, value) pairs; a repeated value shrinks before the shuffle and no task counts a whole column.
+    cells = F.array(*[F.struct(F.lit(name).alias("column_name"), quoted(name).cast("string").alias("v")) for _, name, _ in plain])
+    pairs = df.select(F.explode(cells).alias("c")).select("c.column_name", "c.v").distinct()
+    counts = pairs.groupBy("column_name").agg(F.count("v").alias("distinct_count"))
+    return rows.drop("distinct_count").join(counts, "column_name", "left").fillna(0, ["distinct_count"])
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ Results go to tables in files, never to the driver.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -30,10 +31,14 @@ def stream_parquet(spark: SparkSession, path: str) -> DataFrame:
     return reader.parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def _table(spark: SparkSession, path: str, schema) -> DataFrame:
     """A result table; empty while nothing was written."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if not _exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
@@ -41,35 +46,39 @@ def _table(spark: SparkSession, path: str, schema) -> DataFrame:
 def process_new(source: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
     """Run ``work`` once per unseen key and append its rows to ``out``.
 
-    A key counts as processed once a row of it is in ``out``; ``work`` keeps the key
-    column. Each batch writes its own folder, so a batch that is run again after a
-    failure replaces what it wrote before.
+    A key counts as processed once a row of it is in ``out``, whatever run wrote it; ``work``
+    keeps the key column. Each batch of a checkpoint writes its own folder, so a batch that is
+    run again after a failure replaces what it wrote before, and a new checkpoint adds to what
+    is there. Of rows with the same key the one with the smallest hash is taken.
     """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        fresh = rows.dropDuplicates([key])
-        if number > 0:
-            done = spark.read.option("basePath", out).parquet(*[f"{out}/batch={i}" for i in range(number)])
-            fresh = fresh.join(done.select(key).distinct(), key, "left_anti")
-        work(fresh).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark, name = rows.sparkSession, f"{run}-{number}"
+        whole = F.struct(F.xxhash64(*rows.columns), *rows.columns)
+        fresh = rows.groupBy(F.col(key).alias("_key")).agg(F.min(whole).alias("_row")).select("_row.*").select(*rows.columns)
+        if _exists(spark, out):
+            done = spark.read.parquet(out).filter(F.col("batch") != name).select(key).distinct()
+            fresh = fresh.join(done, key, "left_anti")
+        work(fresh).write.mode("overwrite").parquet(f"{out}/batch={name}")
 
     _finish(source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint))
 
 
 def event_counts(
-    events: DataFrame, run: str, event: str, ts: str, out: str, checkpoint: str, window: str = "1 day", late: str = "1 day"
+    events: DataFrame, run: str, event: str, ts: str, out: str, checkpoint: str, window: str = "1 day", late: str | None = None
 ) -> DataFrame:
     """Counts and last value per run, event and time window, kept up to date.
 
     ``events`` is a stream with a ``score`` column. Every batch appends only the changed
-    counters; the newest counter per key is the state.
+    counters; the newest counter per key is the state. Every event counts, however late; a
+    bound ``late`` forgets windows that old and so drops what still comes for them.
     """
     plain = dict(events.dtypes)[ts] == "timestamp_ntz"
+    # A time without zone counts as UTC, whatever the session's zone.
+    timed = events.withColumn("_ts", F.to_timestamp(F.concat(F.col(ts).cast("string"), F.lit("Z"))) if plain else F.col(ts))
     counted = (
-        # A time without zone counts as UTC, whatever the session's zone.
-        events.withColumn("_ts", F.to_timestamp(F.concat(F.col(ts).cast("string"), F.lit("Z"))) if plain else F.col(ts))
-        .withWatermark("_ts", late)
+        (timed if late is None else timed.withWatermark("_ts", late))
         .groupBy(F.window("_ts", window), F.col(run).alias("run_id"), F.col(event).alias("event"))
         .agg(F.count(F.lit(1)).alias("n"), F.max_by("score", "_ts").alias("last_score"))
         .select("run_id", "event", F.col("window.start").alias("window_start"), "n", "last_score")

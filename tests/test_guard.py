@@ -3,24 +3,21 @@
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.functions.sqltext import lint_reason
+from auditlake.functions.sqltext import lint_reason, resolve_names
 from auditlake.operators import tables as T
-from auditlake.operators.cube import CubeSpec, Measure, data_cube
+from auditlake.operators.cube import CubeSpec, Measure, Rule, data_cube, filtered_aggregates, scorecard
 from auditlake.operators.guard import guarded_sql, run_sql
 
 ACCEPTED = [
-    "SELECT * FROM loans", "select a, b from loans where policy = 1", 'SELECT "log.annual.inc" FROM loans LIMIT 100',
-    "SELECT purpose, AVG(x) FROM loans GROUP BY purpose;", "SELECT 1 -- ; drop table t", "SELECT 1 /* read_csv(\n) */ WHERE 2 > 1",
-    "WITH a AS (SELECT 1 AS x) SELECT * FROM a", "SELECT ';' AS semicolon", "(SELECT 1)",
+    "SELECT 'a -- b', 'c /* d */' FROM x", "VALUES (1), (2)", "FROM x", "\tselect 'drop'", 'SELECT "a;b" FROM x ;', "SELECT reflection(a) FROM x",
+    "SELECT 'reflect(' FROM x", "SELECT 1 /* ; insert */", "WITH w AS (SELECT 'insert' AS i) SELECT i FROM w", "SELECT `x--y` FROM x",
 ]
 REJECTED = {
-    "SELECT 1; SELECT 2": "many statements", "SELECT * FROM t; DROP TABLE t": "many statements", "INSERT INTO t VALUES (1)": "not a select",
-    "DROP TABLE t": "not a select", "delete from t": "not a select", "UPDATE t SET a = 1": "not a select", "CREATE TABLE t (a INT)": "not a select",
-    "ALTER TABLE t ADD COLUMN b INT": "not a select", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a": "not a select",
-    "SELECT * FROM information_schema.tables": "catalog", "SELECT * FROM SQLITE_MASTER": "catalog", "SELECT * FROM duckdb_columns": "catalog",
-    "SELECT * FROM pg_catalog.x": "catalog", "SELECT * FROM read_csv(x)": "function", "SELECT Read_Parquet(x)": "function",
-    "SELECT getenv(x)": "function", "SELECT system(x)": "function", "SELECT * FROM t WHERE a = 'x.csv'": "location",
-    "SELECT 'https://x.org'": "location", 'SELECT "s3://b/k"': "location", "": "empty", "   ": "empty", "-- only": "no statement", ";;": "no statement",
+    "SELECT 'a' ; SELECT 'b'": "many statements", "MERGE INTO x USING y ON 1 = 1": "not a select", "with w as (select 1) delete from x": "not a select",
+    "TRUNCATE TABLE x": "not a select", "SELECT a FROM pg_tables": "catalog", "SELECT a FROM Information_Schema.columns": "catalog",
+    "SELECT * FROM parquet_scan(a)": "function", "SELECT glob(a)": "function", "SELECT reflect\t('a', 'b')": "function",
+    "SELECT `reflect` ('a')": "function", 'SELECT "java_method"(a)': "function", "SELECT reflect/* */('a')": "function", "SELECT input_file_name()": "function",
+    "SELECT a FROM x WHERE b = 'd.json'": "location", 'SELECT "http://h/p"': "location", "\n\t": "empty", "/* nothing */ ;": "no statement",
 }
 
 
@@ -44,7 +41,11 @@ def test_guarded_sql_caps_and_keeps_order(spark, numbers):
 
 
 @pytest.mark.parametrize(
-    "sql", ["DROP VIEW numbers", "SELECT 1; SELECT 2", "SELECT * FROM text.`/etc/hostname`", "SELECT reflect('java.lang.System', 'lineSeparator')", "SHOW TABLES"]
+    "sql",
+    [
+        "DROP VIEW numbers", "SELECT 1; SELECT 2", "SELECT * FROM text.`/etc/hostname`", "SELECT reflect\t('java.lang.Math', 'max', 1, 2)",
+        "SELECT `reflect`('java.lang.Math', 'max', 1, 2)", "SHOW TABLES", "SELECT FROM WHERE ((", "SELECT 1 + FROM",
+    ],
 )
 def test_guarded_sql_refuses(spark, numbers, sql):
     with pytest.raises(Exception):
@@ -52,6 +53,10 @@ def test_guarded_sql_refuses(spark, numbers, sql):
     assert spark.catalog.tableExists("numbers")
 
 
+def test_guard_leaves_literals_alone(spark):
+    assert tuple(guarded_sql(spark, "SELECT 'a/*1*/b' AS x, 'a -- b' AS y -- end").first()) == ("a/*1*/b", "a -- b")
+
+
 def test_run_sql_restores_settings(spark, numbers):
     before = spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers")
     assert run_sql(spark, 'SELECT max("int.rate") AS m FROM numbers').first().m == 499
@@ -62,7 +67,22 @@ def test_cube_limits_and_dotted_names(numbers):
     spec = CubeSpec([Measure("SUM", "`int.rate`", "s"), Measure("COUNT", "*", "n")], ["g"], "`int.rate` < 10", [("s", True)], 2)
     assert [tuple(r) for r in data_cube(numbers, spec).collect()] == [(0, 18, 4), (2, 15, 3)]
     with pytest.raises(ValueError):
-        Measure("MEDIAN", "x", "m").column()
+        Measure("MEDIAN", "x", "m").column([])
+
+
+def test_names_with_dots_and_double_quotes(numbers):
+    assert T.select_table(numbers, None, 'int.rate < 3 AND "g" = 1').count() == 1
+    assert T.update_rows(numbers, {"g": F.lit(7)}, "int.rate > 497.5").filter("g = 7").count() == 2
+    spec = CubeSpec([Measure("MAX", "int.rate", "hi"), Measure("SUM", '"int.rate" * 2', "s")], ["g"], '"int.rate" < 6', [("g", False)])
+    assert [tuple(r) for r in data_cube(numbers, spec).collect()] == [(0, 3, 6), (1, 4, 10), (2, 5, 14)]
+    assert scorecard(numbers, [Rule("high", "int.rate > 489", "major")], []).first()["violations"] == 10
+    assert filtered_aggregates(numbers, ["g"], "int.rate", '"int.rate" = 0').filter("flagged_records = 1").count() == 1
+
+
+def test_resolve_names():
+    names = ["log.annual.inc", "int.rate", "x", "a b"]
+    assert resolve_names("log.annual.inc * 12 + int.rate", names) == "`log.annual.inc` * 12 + `int.rate`"
+    assert resolve_names("coalesce(int.rate, 'int.rate', \"a b\", `x`)", names) == "coalesce(`int.rate`, 'int.rate', `a b`, `x`)"
 
 
 def test_table_operations(spark):

@@ -107,8 +107,28 @@ def test_tree_and_reading_back(spark):
 
 
 def test_formulas_over_dotted_names(spark):
-    assert M.quote_names("log.annual.inc * 12 + int.rate", ["log.annual.inc", "int.rate", "x"]) == "`log.annual.inc` * 12 + `int.rate`"
-    assert M.quote_names("coalesce(int.rate, 'int.rate')", ["int.rate"]) == "coalesce(`int.rate`, 'int.rate')"
     df = spark.createDataFrame([(1, 2.0, 3.0)], ["id", "int.rate", "log.annual.inc"])
     row = M.semantic_view(df, [("income", ["log.annual.inc"], "log.annual.inc * 12"), ("rate", ["int.rate"], "")], ["id"]).first()
     assert list(row) == [1, 36.0, 2.0]
+
+
+def test_names_sharing_one_word_do_not_all_meet(spark):
+    left = M._name_sets(spark.createDataFrame([(f"deliveredBy{i}x",) for i in range(300)], "n string"), "n", "l")
+    right = M._name_sets(spark.createDataFrame([(f"delivered.by{i}x",) for i in range(300)], "n string"), "n", "r")
+    rarity = right.select(F.explode("r_set").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    assert M.name_pairs(left, right, rarity, 0.5).count() == 300
+
+
+def test_rare_words_lose_no_match(spark):
+    import random
+
+    rnd = random.Random(4)
+    names = [" ".join(rnd.sample("abcdefgh", rnd.randint(1, 5))) for _ in range(120)]
+    sides = [M._name_sets(spark.createDataFrame([(n,) for n in half], "n string"), "n", p) for half, p in ((names[:60], "l"), (names[60:], "r"))]
+    rarity = sides[1].select(F.explode("r_set").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    met = {(r.l_key, r.r_key) for r in M.name_pairs(*sides, rarity, 0.5).collect()}
+    sets = [{r[0] for r in side.select(f"{p}_key").collect()} for side, p in zip(sides, "lr")]
+    for a in sets[0]:
+        for b in sets[1]:
+            x, y = set(a.split()), set(b.split())
+            assert len(x & y) < 0.5 * len(x | y) or (a, b) in met

@@ -47,6 +47,16 @@ def test_condense(spark):
     assert len(first.split("\n")) == 33 and len(second.split("\n")) == 33
 
 
+def test_condense_goes_on_and_keeps_something(spark):
+    many = "\n".join(f"line {i}" for i in range(30000))
+    wide = "\n".join(["long " * 400 + str(i) for i in range(600)])
+    mixed = "\n".join(["long " * 400] + [f"short {i}" for i in range(599)])
+    docs = spark.createDataFrame([(1, many), (2, wide), (3, mixed)], "i int, t string")
+    got = {r.i: r.t.split("\n") for r in X.condense(docs, "t", threshold=500, words=200).collect()}
+    assert all(0 < len(x) < 500 for x in got.values())
+    assert got[1][0] == "line 0" and got[2][0] == " ".join(["long"] * 100) and "short 0" in got[3]
+
+
 def loop_deltas(texts):
     out, acc = [], ""
     for i, t in enumerate(texts):

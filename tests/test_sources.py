@@ -141,3 +141,20 @@ def test_event_counts_over_two_runs(spark, tmp_path):
         df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(source)
         got = R.event_counts(R.stream_parquet(spark, source), "run", "e", "ts", out, mark).collect()
     assert [(r.run_id, r.event, r.n, r.last_score) for r in got] == [("r", "score", 3, 3.0)]
+
+
+def test_late_events_count(spark, tmp_path):
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    for day in ("2024-03-01", "2024-01-01", "2024-02-01"):
+        df = spark.createDataFrame([("r", "e", f"{day} 10:00:00", 1.0)], "run string, e string, ts string, score double")
+        df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(source)
+        got = R.event_counts(R.stream_parquet(spark, source), "run", "e", "ts", out, mark).collect()
+    assert sorted(r.n for r in got) == [1, 1, 1]
+
+
+def test_a_new_checkpoint_knows_what_is_done(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for mark, keys in (("m1", [1, 2]), ("m2", [3])):
+        spark.createDataFrame([(k,) for k in keys], "k int").coalesce(1).write.mode("append").parquet(source)
+        R.process_new(R.stream_parquet(spark, source), "k", lambda rows: rows.withColumn("n", F.lit(1)), out, str(tmp_path / mark))
+    assert sorted(r.k for r in spark.read.parquet(out).collect()) == [1, 2, 3]
