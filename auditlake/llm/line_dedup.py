@@ -5,6 +5,8 @@ A line is boilerplate of a site if the share of the site's pages that contain it
 the map side first, so a hot site or a line of every page is a few rows per task. A site has
 at most (mean distinct lines of a page) / ratio boilerplate lines.
 
+A page that would have no line left stays as it is: it is a copy of others, not their frame.
+
 Defined cases: blank lines are neither counted nor dropped; a null text stays null; pages
 with a null site belong to no site and stay as they are; a repeated row is a page of its own;
 an empty table gives an empty table; all other columns pass through.
@@ -71,7 +73,7 @@ def drop_boilerplate(
 
     def both(lines: Column) -> Column:
         return bind(
-            cut(lines),
+            bind(cut(lines), lambda kept: F.when(F.exists(kept, lambda x: x.rlike(WORD)), kept).otherwise(lines)),
             lambda kept: F.struct(F.array_join(kept, "\n").alias("text"), (F.size(lines) - F.size(kept)).alias("n")),
         )
 

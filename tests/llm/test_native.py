@@ -114,11 +114,12 @@ def test_classifier_uses_context(spark):
 
 def test_lines_of_sites(spark):
     pages = [(i, "a" if i < 12 else "b", f"menu\n\nonly {i}\nmenu" + ("\nrare" if i == 3 else "")) for i in range(30)]
-    pages += [(30, None, "menu\nx"), (31, "a", None), (32, "a", ""), (33, "c", "menu"), (None, "b", "menu\nlast")]
+    pages += [(30, None, "menu\nx"), (31, "a", None), (32, "a", ""), (33, "c", "menu"), (None, "b", "menu\nlast"), (34, "b", "menu\n")]
     df = spark.createDataFrame(pages, "page_id long, host string, text string")
     got = {(r.page_id, r.text): r.n for r in line_dedup.drop_boilerplate(df, "host", n_dropped="n").collect()}
     assert got[0, "\nonly 0"] == 2 and got[3, "\nonly 3\nrare"] == 2 and got[30, "menu\nx"] == 0
     assert got[31, None] == 0 and got[32, ""] == 0 and got[33, "menu"] == 0 and got[None, "last"] == 1
+    assert got[34, "menu\n"] == 0  # nothing would be left
     assert line_dedup.drop_boilerplate(df, "host").columns == df.columns
     assert line_dedup.drop_boilerplate(df.limit(0), "host").count() == 0
 
