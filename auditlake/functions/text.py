@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,21 @@ def strip(c: str | Column) -> Column:
     return F.btrim(_col(c), F.lit(SPACES))
 
 
+def replace_each(text: Column, pattern: str, group: int, by: Callable[[Column], Column]) -> Column:
+    """Every match replaced by what ``by`` makes of one of its groups."""
+    pieces = F.split(text, pattern, -1)
+    made = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), by)
+    joined = F.array_join(F.zip_with(pieces, made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(text.rlike(pattern), joined).otherwise(text)
+
+
+def character(digits: Column, base: int) -> Column:
+    """Character of a code point in decimal or hexadecimal digits; what is none gives the replacement character."""
+    code = F.conv(digits, base, 10).cast("bigint")
+    fine = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(fine, code).otherwise(F.lit(0xFFFD).cast("bigint"))), 8, "0")), "UTF-32")
+
+
 def normalize_name(c: str | Column) -> Column:
     """Concept-name slug: lower case, ``&`` spelled out, words joined by single hyphens."""
     slug = F.replace(F.lower(_col(c)), F.lit("&"), F.lit("and"))

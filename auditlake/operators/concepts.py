@@ -112,7 +112,8 @@ def classify(segments: DataFrame, key: str, text: str, classes: DataFrame, name:
     known = materialize(vocabulary.unionByName(anchor), "vocabulary")
     found = F.concat(F.array_distinct(tokens(text)), F.array(F.lit("")))
     words = segments.select(F.col(key).alias("segment_id"), F.explode(found).alias("token"))
-    # Placed by segment once; its scores add up and are compared there.
+    # Words that no class has stay behind; the others are placed by segment once, and scores add up there.
+    words = lookup_join(words, known.select("token").distinct(), ["token"], "left_semi")
     scores = (
         lookup_join(placed_by(words, "segment_id"), known, ["token"])
         .groupBy("segment_id", "concept_type")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_KEY_ROWS = 1_000_000
-SALTS = 32
 
 
 def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
@@ -28,7 +27,6 @@ def lookup_join(
     on: list[str],
     how: str = "inner",
     hot_rows: int = HOT_KEY_ROWS,
-    salts: int = SALTS,
     max_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Equi-join ``big`` with ``side``: broadcast below the bound, salted shuffle beyond it.
@@ -37,7 +35,7 @@ def lookup_join(
     """
     if is_small(side, max_rows):
         return big.join(F.broadcast(side), on, how)
-    return salted_join(big, side, on, how, hot_rows, salts)
+    return salted_join(big, side, on, how, hot_rows)
 
 
 def placed_by(df: DataFrame, *columns: str) -> DataFrame:
@@ -59,9 +57,9 @@ def spread_small(df: DataFrame) -> DataFrame:
 
 
 def salted_join(
-    big: DataFrame, side: DataFrame, on: list[str], how: str, hot_rows: int = HOT_KEY_ROWS, salts: int = SALTS
+    big: DataFrame, side: DataFrame, on: list[str], how: str, hot_rows: int = HOT_KEY_ROWS
 ) -> DataFrame:
-    """Shuffle join that spreads keys with more than ``hot_rows`` rows over ``salts`` partitions.
+    """Shuffle join that spreads a key with more than ``hot_rows`` rows over as many salts as it has times that.
 
     There are at most ``rows / hot_rows`` hot keys, so Spark may broadcast that list by its own size check.
     """
@@ -69,22 +67,24 @@ def salted_join(
         big.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > hot_rows)
-        .select(*on, F.lit(True).alias("_hot"))
+        .select(*on, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_salts"))
     )
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int")
+    # Maps have no hash; rows that differ in them only share a salt.
+    hashed = [F.col(f"`{c}`") for c, kind in big.dtypes if "map<" not in kind and kind != "variant"]
+    spread = F.pmod(F.xxhash64(*hashed), F.col("_salts")).cast("int")
     left = (
         big.join(hot, on, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
-        .drop("_hot")
+        .withColumn("_salt", F.when(F.col("_salts").isNotNull(), spread).otherwise(F.lit(0)))
+        .drop("_salts")
     )
     right = (
         side.join(hot, on, "left")
         .withColumn(
             "_salt",
             F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+                F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.lit(0)))
             ),
         )
-        .drop("_hot")
+        .drop("_salts")
     )
     return left.join(right, [*on, "_salt"], how).drop("_salt")

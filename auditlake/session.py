@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FALLBACK: dict[str, str] = {}
+_LOCAL_FALLBACK: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def local_session(cpus: str = "8", app: str = "auditlake") -> SparkSession:
@@ -28,7 +28,7 @@ def local_session(cpus: str = "8", app: str = "auditlake") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
-    Only a local master may fall back to a temporary folder.
+    Only a local master may fall back to a temporary folder; it goes when the process ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -37,8 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FALLBACK:
-        _LOCAL_FALLBACK[app] = tempfile.mkdtemp(prefix="auditlake-")
-    return _LOCAL_FALLBACK[app]
+        _LOCAL_FALLBACK[app] = tempfile.TemporaryDirectory(prefix="auditlake-", ignore_cleanup_errors=True)
+    return _LOCAL_FALLBACK[app].name
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

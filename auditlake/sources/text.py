@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.functions.text import SPACE, strip, strip_fence
+from auditlake.functions.text import SPACE, character, replace_each, strip, strip_fence
 
 
 def read_documents(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
@@ -21,6 +23,37 @@ def read_documents(spark: SparkSession, folder: str, pattern: str = "*.md") -> D
 
 # Entities of HTML text, the ampersand last so that none is decoded twice.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+# Names of further characters; letters with an accent follow a rule.
+NAMED = {
+    "apos": "'", "szlig": "ß", "aelig": "æ", "AElig": "Æ", "oslash": "ø", "Oslash": "Ø", "euro": "€", "pound": "£", "copy": "©", "reg": "®",
+    "trade": "™", "hellip": "…", "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«",
+    "raquo": "»", "middot": "·", "bull": "•", "deg": "°", "sect": "§", "iexcl": "¡", "iquest": "¿", "times": "×",
+}
+ACCENTS = {"grave": "\u0300", "acute": "\u0301", "circ": "\u0302", "tilde": "\u0303", "uml": "\u0308", "ring": "\u030a", "cedil": "\u0327"}
+
+
+def _entity_names() -> dict[str, str]:
+    """Characters by entity name."""
+    names = {e[1:-1]: c for e, c in ENTITIES if not e.startswith("&#")} | NAMED
+    for letter in "AEIOUYNCaeiouync":
+        for accent, mark in ACCENTS.items():
+            whole = unicodedata.normalize("NFC", letter + mark)
+            if len(whole) == 1 and ord(whole) < 256:
+                names[letter + accent] = whole
+    return names
+
+
+def _decode_entities(text: Column) -> Column:
+    """Numeric and named entities as characters, each once; unknown names stay."""
+    known = F.create_map(*[F.lit(x) for pair in _entity_names().items() for x in pair])
+
+    def one(body: Column) -> Column:
+        number = F.when(body.rlike("^#[xX]"), character(F.substring(body, 3, 6), 16)).otherwise(character(F.substring(body, 2, 7), 10))
+        return F.when(F.startswith(body, F.lit("#")), number).otherwise(F.coalesce(F.element_at(known, body), F.concat(F.lit("&"), body, F.lit(";"))))
+
+    return replace_each(text, "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});", 1, one)
+
+
 BLOCK_TAGS = "p|div|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|br|head|body"
 
 
@@ -31,9 +64,7 @@ def html_text(html: str | Column) -> Column:
     text = F.regexp_replace(text, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>", "")
     text = F.regexp_replace(text, rf"(?i)</?({BLOCK_TAGS})\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.regexp_replace(text, r"[ \t]+", " ")
+    text = F.regexp_replace(_decode_entities(text), r"[ \t]+", " ")
     return F.array_join(F.filter(F.transform(F.split(text, "[\r\n]"), strip), lambda l: l != ""), "\n")
 
 
@@ -42,19 +73,35 @@ _LITERAL = r'"((?:[^"\\]|\\.)*)"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?'
 TRIPLE = rf"^[{SPACE}]*(?:{_IRI}|(_:\S+))\s+{_IRI}\s+(?:{_IRI}|(_:\S+)|{_LITERAL})\s*\.\s*$"
 
 
+# Escapes of one letter.
+_ESCAPED, _PLAIN = "tbnrf", "\t\b\n\r\f"
+
+
+def _unescape(text: Column) -> Column:
+    """Backslash escapes of N-Triples as characters."""
+
+    def one(body: Column) -> Column:
+        return F.when(F.length(body) > 1, character(F.substring(body, 2, 8), 16)).otherwise(F.translate(body, _ESCAPED, _PLAIN))
+
+    return replace_each(text, r"""\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|[tbnrf"'\\])""", 1, one)
+
+
+def rejected_triples(rows: DataFrame, line: str) -> DataFrame:
+    """Lines that are neither a triple nor blank nor a comment."""
+    return rows.filter(~F.col(line).rlike(TRIPLE) & ~F.col(line).rlike(rf"^[{SPACE}]*(#.*)?$"))
+
+
 def parse_triples(rows: DataFrame, source: str, line: str) -> DataFrame:
-    """N-Triples lines as ``source_file, subject, predicate, object, is_iri``; other lines are skipped."""
+    """N-Triples lines as ``source_file, subject, predicate, object, is_iri``; see :func:`rejected_triples` for the others."""
 
     def group(i: int) -> Column:
-        return F.nullif(F.regexp_extract(line, TRIPLE, i), F.lit(""))
+        return _unescape(F.nullif(F.regexp_extract(line, TRIPLE, i), F.lit("")))
 
-    literal = F.regexp_extract(line, TRIPLE, 6)
-    for escaped, char in [("\\\\", "\x00"), ('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\x00", "\\")]:
-        literal = F.replace(literal, F.lit(escaped), F.lit(char))
+    literal = _unescape(F.regexp_extract(line, TRIPLE, 6))
     return rows.filter(F.col(line).rlike(TRIPLE)).select(
         F.col(source).alias("source_file"),
         F.coalesce(group(1), group(2)).alias("subject"),
-        F.regexp_extract(line, TRIPLE, 3).alias("predicate"),
+        _unescape(F.regexp_extract(line, TRIPLE, 3)).alias("predicate"),
         F.coalesce(group(4), group(5), literal).alias("object"),
         group(4).isNotNull().alias("is_iri"),
     )

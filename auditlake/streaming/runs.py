@@ -98,31 +98,55 @@ def event_counts(
     )
 
 
+#: A key that expires is idle for a day.
+IDLE_MS = 86_400_000
+# Fixed value: a prime modulo which a text, as a number, stands for itself.
+_PRIME = (1 << 127) - 1
+
+
+def _joined(length: int, mark: int, more: bytes) -> tuple[int, int]:
+    """Length and mark of a text with more bytes at its end; the mark is the text as a number modulo a prime."""
+    return length + len(more), (mark * pow(256, len(more), _PRIME) + int.from_bytes(more, "big")) % _PRIME
+
+
 def _deltas(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    emitted = state.get[0] if state.exists else ""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    length, mark = (state.get[0], int(state.get[1])) if state.exists else (0, 0)
     new = pd.concat(list(batches)).sort_values("seq")
     seqs, deltas = [], []
     for seq, text in zip(new["seq"], new["text"]):
-        delta = text[len(emitted):] if text.startswith(emitted) else text
+        raw = text.encode("utf-8")
+        grows = len(raw) >= length and _joined(0, 0, raw[:length])[1] == mark
+        delta = raw[length:] if grows else raw
         if delta:
-            emitted += delta
+            length, mark = _joined(length, mark, delta)
             seqs.append(seq)
-            deltas.append(delta)
-    state.update((emitted,))
+            deltas.append(delta.decode("utf-8"))
+    state.update((length, str(mark)))
     yield pd.DataFrame({"key": [key[0]] * len(seqs), "seq": seqs, "delta": deltas})
 
 
-def text_delta_stream(snapshots: DataFrame, key: str, seq: str, text: str) -> DataFrame:
-    """Stream of new text per key; the state is the text emitted so far.
+def _deltas_expiring(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    yield from _deltas(key, batches, state)
+    if state.exists:
+        state.setTimeoutDuration(IDLE_MS)
+
+
+def text_delta_stream(snapshots: DataFrame, key: str, seq: str, text: str, expire: bool = False) -> DataFrame:
+    """Stream of new text per key; the state is the length and a 127-bit mark of the text emitted so far.
 
     Within a micro-batch a key's new snapshots are put in order of ``seq``; the source's
-    files-per-trigger or bytes-per-trigger option bounds how many those are.
+    files-per-trigger or bytes-per-trigger option bounds how many those are. With ``expire``
+    a key without snapshots for ``IDLE_MS`` is forgotten, and what still comes counts as new.
     """
     rows = snapshots.select(
         F.col(key).cast("string").alias("key"), F.col(seq).cast("bigint").alias("seq"), F.col(text).alias("text")
     )
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
     return rows.groupBy("key").applyInPandasWithState(
-        _deltas, "key string, seq bigint, delta string", "emitted string", "append", GroupStateTimeout.NoTimeout
+        _deltas_expiring if expire else _deltas, "key string, seq bigint, delta string", "length bigint, mark string", "append", timeout
     )
 
 

@@ -158,3 +158,17 @@ def test_a_new_checkpoint_knows_what_is_done(spark, tmp_path):
         spark.createDataFrame([(k,) for k in keys], "k int").coalesce(1).write.mode("append").parquet(source)
         R.process_new(R.stream_parquet(spark, source), "k", lambda rows: rows.withColumn("n", F.lit(1)), out, str(tmp_path / mark))
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_entities_of_all_kinds(spark):
+    page = "<p>caf&eacute; &#8217;x&#x1F642; &Uuml;ber &amp;lt; &nope; &#0; &lt;b&gt; &ntilde;&ccedil;</p>"
+    got = spark.createDataFrame([(page,)], "html string").select(S.html_text("html")).first()[0]
+    assert got == "café ’x\U0001f642 Über &lt; &nope; \ufffd <b> ñç"
+
+
+def test_triple_escapes_and_rejects(spark):
+    lines = [r'<a:s> <a:p> "caf\u00e9 \U0001F642 \t\"q\" \\n" .', "# note", "", "<a:s> <a:p> .", r"<a:\u00e9> <a:p> <a:o> ."]
+    rows = spark.createDataFrame([("f", x) for x in lines], "f string, line string")
+    got = [(r.subject, r.object) for r in S.parse_triples(rows, "f", "line").collect()]
+    assert got == [("a:s", 'café \U0001f642 \t"q" \\n'), ("a:é", "a:o")]
+    assert [r.line for r in S.rejected_triples(rows, "line").collect()] == ["<a:s> <a:p> ."]
