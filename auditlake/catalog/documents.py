@@ -9,7 +9,7 @@ from auditlake.catalog.registry import query, table
 from auditlake.functions import text as X
 from auditlake.operators import context, documents, intervals
 from auditlake.operators.guard import lint
-from auditlake.sources.text import html_text, validate_records
+from auditlake.sources.text import entity_names, html_text, validate_records
 
 # Lines of the documents, the last empty element after a final break dropped.
 LINES = r"""
@@ -197,6 +197,14 @@ def tokenize_stats(spark, sf_dir):
 _BLOCKS = "p|div|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|br|head|body"
 
 
+def _decoded(column: str) -> str:
+    """Named entities replaced one by one, the ampersand last so that none is decoded twice."""
+    names = sorted(entity_names().items(), key=lambda n: n[0] == "amp")
+    for name, char in [("#39", "'"), *names]:
+        column = "replace({}, '&{};', '{}')".format(column, name, char.replace("'", "''"))
+    return column
+
+
 @query(
     "page_text_lines",
     rf"""
@@ -204,8 +212,7 @@ _BLOCKS = "p|div|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|titl
     b AS (SELECT page_id, regexp_replace(x, '<(script|style)\b[^>]*>.*?</(script|style)>', '', 'gis') AS x FROM a),
     c AS (SELECT page_id, regexp_replace(x, '</?({_BLOCKS})\b[^>]*>', chr(10), 'gi') AS x FROM b),
     d AS (SELECT page_id, regexp_replace(x, '<[^>]*>', '', 'g') AS x FROM c),
-    e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
-                 '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS x FROM d),
+    e AS (SELECT page_id, {_decoded('x')} AS x FROM d),
     f AS (SELECT page_id, string_split(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '\r\n?', chr(10), 'g'), chr(10)) AS x FROM e),
     g AS (SELECT page_id, list_filter([trim(regexp_replace(z, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')) for z in x], lambda z: z <> '') AS x FROM f)
     SELECT page_id, unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS line FROM g

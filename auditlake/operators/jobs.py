@@ -15,7 +15,7 @@ from auditlake.operators import ranking as R
 from auditlake.operators import runlog as L
 from auditlake.operators.context import budget_prefix
 from auditlake.operators.cube import CubeSpec, data_cube
-from auditlake.plans.scan import bucket_of, ordinal
+from auditlake.plans.scan import bucket_of, prior, range_bucketed
 from auditlake.session import materialize
 from auditlake.sources.sinks import Store
 
@@ -55,12 +55,17 @@ def mapping_report(store: Store, columns: DataFrame, base: str = "/") -> DataFra
     return M.mapping_export(store.mapped(), "created_at", columns, base)
 
 
+def _is_number(df: DataFrame, column: str) -> bool:
+    return dict(df.dtypes)[column] in ("tinyint", "smallint", "int", "bigint")
+
+
 def ingest_documents(
     docs: DataFrame, classes: DataFrame, name: str, class_text: list[str], store: Store, chunk_size: int = 100, max_lines: int = 10
 ) -> DataFrame:
-    """Documents (``filename`` integer key, ``text``) to segments, concepts and their mapping; returns the report.
+    """Documents (``filename``, a name or number, and ``text``) to segments, concepts and their mapping; returns the report.
 
-    Concepts of earlier runs stay and are matched first.
+    Concepts of earlier runs stay and are matched first. Arrival order is that of the
+    file names, by number where they are numbers, then of the places in a document.
     """
     store.create()
     totals = docs.select("filename", line_count("text").cast("bigint").alias("total_lines"))
@@ -71,20 +76,26 @@ def ingest_documents(
     store.rebuild("text_segments", cut)
     segments = store.read("text_segments")
     typed = C.classify(segments, "segment_id", "segment_text", classes, name, class_text)
-    # Arrival order: by document, then by place in it.
-    part = F.split("segment_id", "-")
-    placed = segments.select(
-        "*", *[part[i].cast("bigint").alias(c) for i, c in enumerate(["_doc", "_chunk", "_seg"])]
-    ).withColumn("_all", F.lit(0))
-    ordered = ordinal(placed, ["_all"], bucket_of("_doc", 1_000), ["_doc", "_chunk", "_seg"], "seq")
-    title = F.trim(F.split("segment_text", "\n")[0])
+    # Only titles travel from here. Documents are counted and their counts added up in order; places are numbered in each.
+    slim = segments.select(
+        "segment_id",
+        "filename",
+        F.trim(F.substring_index("segment_text", "\n", 1)).alias("title"),
+        *[F.regexp_extract("segment_id", r"-([0-9]+)-([0-9]+)$", i).cast("bigint").alias(c) for i, c in ((1, "_chunk"), (2, "_seg"))],
+    )
+    order = F.col("filename").cast("bigint") if _is_number(docs, "filename") else F.col("filename")
+    sizes = slim.groupBy("filename").agg(F.count(F.lit(1)).alias("_n")).select("filename", "_n", order.alias("_order"), F.lit(0).alias("_all"))
+    sizes = range_bucketed(sizes, ["_all"], ["_order"], "_bucket")
+    offsets = prior(sizes, ["_all"], F.col("_bucket"), ["_order"], F.sum, F.col("_n"), "_before").select("filename", "_before")
+    inside = F.row_number().over(Window.partitionBy("filename").orderBy("_chunk", "_seg"))
+    ordered = slim.withColumn("_place", inside).join(offsets, "filename")
     candidates = ordered.join(typed, "segment_id").select(
         "segment_id",
-        F.col("seq").cast("bigint").alias("seq"),
+        (F.coalesce("_before", F.lit(0)) + F.col("_place")).cast("bigint").alias("seq"),
         "concept_type",
-        title.alias("concept_name"),
+        F.col("title").alias("concept_name"),
         F.format_string("token weight %.4f", "score").alias("rationale"),
-        title.alias("summary"),
+        F.col("title").alias("summary"),
         F.create_map(F.lit("filename"), F.col("filename")).alias("attributes_and_values"),
     )
     merged, mapping = C.reconcile(materialize(candidates, "candidates"), store.read("concepts"))
@@ -115,10 +126,13 @@ def document_context(
         .select("query_id", F.col("pos").alias("concept_name"), "rank"),
         "chosen",
     )
-    sources = C.source_segments(mapping, segments, chosen).withColumn("_doc", F.col("filename").cast("bigint"))
-    texts = C.concept_text(
-        sources, bucket_of("_doc"), ["_doc", "segment_start_line_no_global", "segment_id"]
-    )
+    sources = C.source_segments(mapping, segments, chosen)
+    if _is_number(segments, "filename"):
+        bucket, order = bucket_of("filename"), "filename"
+    else:
+        sources = range_bucketed(sources, ["concept_name"], ["filename"], "_place")
+        bucket, order = F.col("_place"), "filename"
+    texts = C.concept_text(sources, bucket, [order, "segment_start_line_no_global", "segment_id"])
     return chosen.join(texts, "concept_name").select("query_id", "rank", "concept_name", "part_no", "segment_text")
 
 

@@ -32,7 +32,7 @@ NAMED = {
 ACCENTS = {"grave": "\u0300", "acute": "\u0301", "circ": "\u0302", "tilde": "\u0303", "uml": "\u0308", "ring": "\u030a", "cedil": "\u0327"}
 
 
-def _entity_names() -> dict[str, str]:
+def entity_names() -> dict[str, str]:
     """Characters by entity name."""
     names = {e[1:-1]: c for e, c in ENTITIES if not e.startswith("&#")} | NAMED
     for letter in "AEIOUYNCaeiouync":
@@ -45,7 +45,7 @@ def _entity_names() -> dict[str, str]:
 
 def _decode_entities(text: Column) -> Column:
     """Numeric and named entities as characters, each once; unknown names stay."""
-    known = F.create_map(*[F.lit(x) for pair in _entity_names().items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in entity_names().items() for x in pair])
 
     def one(body: Column) -> Column:
         number = F.when(body.rlike("^#[xX]"), character(F.substring(body, 3, 6), 16)).otherwise(character(F.substring(body, 2, 7), 10))

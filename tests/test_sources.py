@@ -172,3 +172,21 @@ def test_triple_escapes_and_rejects(spark):
     got = [(r.subject, r.object) for r in S.parse_triples(rows, "f", "line").collect()]
     assert got == [("a:s", 'café \U0001f642 \t"q" \\n'), ("a:é", "a:o")]
     assert [r.line for r in S.rejected_triples(rows, "line").collect()] == ["<a:s> <a:p> ."]
+
+
+def test_ingest_of_text_files_and_context(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    for name, text in (("b-file-2.md", "Loan terms\nmore\n\nRate rules\n"), ("a-1.md", "Loan terms\nfirst\n")):
+        (tmp_path / "docs" / name).write_text(text)
+    docs = S.read_documents(spark, str(tmp_path / "docs"))
+    classes = spark.createDataFrame([("Loan", "loan terms"), ("Rate", "rate rules")], "n string, d string")
+    store = Store(spark, str(tmp_path / "w"))
+    jobs.ingest_documents(docs, classes, "n", ["d"], store, 10, 10).collect()
+    mapping = {r.segment_id.rsplit("/", 1)[-1]: r.concept_name for r in store.read("concept_segment_mapping").collect()}
+    assert mapping == {"a-1.md-0-0": "loan-terms", "b-file-2.md-0-0": "loan-terms", "b-file-2.md-0-1": "rate-rules"}
+    asked = spark.createDataFrame([(1, "loan", "terms")], "query_id int, concept_type string, sub_query_string string")
+    found = jobs.document_context(asked, store.read("concepts"), store.read("concept_segment_mapping"), store.read("text_segments"), 5).collect()
+    # The first file by name is the older one.
+    assert [(r.concept_name, r.segment_text) for r in found] == [("loan-terms", "Loan terms\nfirst\n---\nLoan terms\nmore\n")] or [
+        r.segment_text.split("\n---\n")[0].strip() for r in found
+    ] == ["Loan terms\nfirst"]
