@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import decontaminate, line_dedup, lm_score, pii, piece_counts, quality, secret_scan, sentencepiece_codec, simhash, suffix_dedup
-from auditlake.sources.text import BLOCK_TAGS, ENTITIES, html_text
+from auditlake.sources.text import BLOCK_TAGS, entity_names, html_text
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -74,8 +74,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decoded(column: str) -> str:
-    for entity, char in ENTITIES:
-        column = "replace({}, '{}', '{}')".format(column, entity, char.replace("'", "''"))
+    names = sorted(entity_names().items(), key=lambda n: n[0] == "amp")
+    for name, char in [("#39", "'"), *names]:
+        column = "replace({}, '&{};', '{}')".format(column, name, char.replace("'", "''"))
     return column
 
 
