@@ -372,9 +372,9 @@ def similar_links(texts: DataFrame, similarity: float, words_: int = WORDS, tile
     sizes = classed.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("subs"))
     sizes = settled(sizes, "size-classes")  # one row per size class: few, whatever the input
     piece = sizes.select("c", "subs", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
-    left, right = piece.alias("l"), piece.alias("r")
+    left, right = piece.withColumn("partner", F.explode(F.array("c", F.col("c") + 1))).alias("l"), piece.alias("r")
     same = (F.col("l.c") == F.col("r.c")) & (F.col("l.sub") <= F.col("r.sub"))
-    meets = left.join(right, F.col("r.c").between(F.col("l.c"), F.col("l.c") + 1) & (same | (F.col("r.c") == F.col("l.c") + 1)))
+    meets = left.join(right, (F.col("l.partner") == F.col("r.c")) & (same | (F.col("l.c") != F.col("r.c"))))
     alone = same & (F.col("l.sub") == F.col("r.sub"))
     sides = F.when(alone, F.array(F.struct(F.col("l.c").alias("c"), F.col("l.sub").alias("sub"), F.lit(0).alias("side")))).otherwise(
         F.array(
