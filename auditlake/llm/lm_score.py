@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.llm.packing import cuts, pack, pack_sorted, unpack, unpack_sorted
-from auditlake.session import materialize
+from auditlake.llm.settle import settled
 
 ORDER = 2
 MU = 500.0
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 #: Blocks whose requests meet in one shard, about.
 BLOCKS_PER_SHARD = 8
 # Tokens that no word can be: words hold no white space.
@@ -62,7 +62,7 @@ class _Block:
         rows = []
         for t in texts:
             words = [] if t is None else t.encode("utf-8").lower().split()
-            rows.append(np.fromiter(map(ids.__getitem__, [START, *words, END]), dtype=np.int64, count=len(words) + 2))
+            rows.append(np.fromiter(map(ids.__getitem__, [START, *words, END]), dtype=np.int32, count=len(words) + 2))
         self.sizes = np.array([len(r) for r in rows], dtype=np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])).astype(np.int64)
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in ids), dtype=np.uint64, count=len(ids))
@@ -70,10 +70,11 @@ class _Block:
         ranked = sorted(zip(hashes[1:].tolist(), list(ids)[1:], range(1, len(ids)), strict=True))
         self.words = [w for _, w, _ in ranked]
         self.word_hashes = np.array([h for h, _, _ in ranked], dtype=np.uint64)
-        place = np.zeros(len(ids), dtype=np.int64)
+        place = np.zeros(len(ids), dtype=np.int32)
         place[[i for *_, i in ranked]] = np.arange(1, len(ids))
         # 0 is the start, i + 1 the i-th word.
         self.stream = place[np.concatenate(rows)] if rows else np.empty(0, dtype=np.int64)
+        del rows, ranked
         self.end = self.words.index(END) + 1
         by_place = np.concatenate((hashes[:1], self.word_hashes))
         within = np.arange(len(self.stream)) - np.repeat(self.starts, self.sizes)
@@ -84,7 +85,7 @@ class _Block:
             rolling = _joined(np.concatenate((rolling[:1], rolling[:-1])), by_place[self.stream])
             whole = within >= n - 1
             values, first, number = np.unique(rolling[whole], return_index=True, return_inverse=True)
-            at = np.full(len(self.stream), -1, dtype=np.int64)
+            at = np.full(len(self.stream), -1, dtype=np.int32)
             spots = np.flatnonzero(whole)
             at[spots] = number
             self.grams.append((values, at, spots[first]))
@@ -133,7 +134,7 @@ class Automaton:
             last_level = level + 1 == len(block.grams)
             own = np.arange(len(values)) + offset[-1] + len(history)
             follow = last + offset[-1] if last_level else own
-            keys.append(((before + offset[-1]) << 32 | block.stream[spot])[seen])
+            keys.append(((before + offset[-1]).astype(np.int64) << 32 | block.stream[spot])[seen])
             logs.append(np.log10(np.maximum(chance, 1e-300))[seen])
             nexts.append(follow[seen])
             suffix_state = last + offset[-1]
@@ -264,7 +265,7 @@ def lm_score(
         F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in carry], body), F.lit(blocks)).cast("int").alias("block"),
     )
     asked = docs.select("block", "text", "train").groupBy("block").applyInPandas(_requests(order, shards), _PACKED)
-    answered = materialize(asked.groupBy("shard").applyInPandas(_answers, _ANSWER), "lm-counts")
+    answered = settled(asked.groupBy("shard").applyInPandas(_answers, _ANSWER), "lm-counts")
     total = answered.agg(
         F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n_types"), F.lit(0)).alias("types")
     ).first()
