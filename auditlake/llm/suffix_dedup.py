@@ -43,12 +43,12 @@ from auditlake.llm.settle import settled
 
 MATCH = 50
 ANCHOR = 24
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 BLOCKS_PER_SHARD = 4
 #: Occurrences of an anchor above which its strings are spread.
 HOT = 10_000
 #: Entries sorted at a time.
-CHUNK = 32_768
+CHUNK = 16_384
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _ASKED = "block int, shard int, kind int, data binary, numbers binary"
 _ANSWER = "block int, shard int, kind int, data binary"
