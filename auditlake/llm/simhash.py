@@ -1,7 +1,8 @@
 """SimHash near duplicates by tiled exact comparison of fingerprints.
 
 A fingerprint has a bit for each bit of a 64-bit hash: it is set if over half of the text's
-shingles have it set. Fingerprints are compared exactly, by exclusive-or and bit counts over
+shingles have it set. ``link_groups`` counts a repeated shingle each time, ``near_dedup``, which
+compares sets, once. Fingerprints are compared exactly, by exclusive-or and bit counts over
 numpy tiles. Tiles are sorted by population count; what differs in it beyond the radius is skipped.
 
 Two ways lead to tiles:
@@ -87,6 +88,30 @@ def fingerprint(text: str | None, size: int, n_words: int = 1) -> list[int]:
     return np.packbits(ones * 2 > total, axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
+def set_fingerprint(hashes: np.ndarray, n_words: int) -> np.ndarray:
+    """Fingerprint words of a set of shingle hashes, each counted once, as signed longs."""
+    ones = np.zeros((n_words, 64), dtype=np.int64)
+    for at in range(0, len(hashes), SLICE):
+        h = np.ascontiguousarray(hashes[at : at + SLICE]).view(np.uint64)
+        for k in range(n_words):
+            ones[k] += np.unpackbits(_mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view("<i8").ravel()
+
+
+def set_fingerprints(df: DataFrame, carry: Sequence[str], hashes: str, n_words: int) -> DataFrame:
+    """The ``carry`` columns with ``n``, the size of the set ``hashes``, and its ``fp0``, ``fp1`` .. as signed longs."""
+    names = [f"fp{k}" for k in range(n_words)]
+    schema = T.StructType([*[df.schema[c] for c in carry], T.StructField("n", T.IntegerType()), *[T.StructField(n, T.LongType()) for n in names]])
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sets = [np.asarray(s, dtype=np.int64) for s in frame.pop(hashes)]
+            values = np.array([set_fingerprint(s, n_words) for s in sets], dtype=np.int64).reshape(len(sets), n_words)
+            yield frame.assign(n=np.array([len(s) for s in sets], dtype=np.int32), **{n: values[:, k] for k, n in enumerate(names)})
+
+    return df.select(*carry, hashes).mapInPandas(run, schema)
+
+
 def fingerprints(df: DataFrame, carry: Sequence[str], text: str = "text", size: int = 3, n_words: int = 1) -> DataFrame:
     """The ``carry`` columns with ``fp0``, ``fp1`` .. as signed longs."""
     names = [f"fp{k}" for k in range(n_words)]
@@ -405,9 +430,8 @@ def near_dedup(df: DataFrame, identity: str, text: str = "text", size: int = 5,
     key = free_name(df, "_text_key")
     keyed = df.withColumn(key, F.md5(_normal(F.col(f"`{text}`"))))
     slim = keyed.select(F.col(key).alias("key"), F.col(f"`{identity}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    sized = slim.withColumn("n", F.size(_shingle_set(_normal(F.col("text")), size)))
-    marks = fingerprints(sized, ["key", "id", "n"], "text", size, WORDS)
-    marks = settled(marks, "fingerprints")
+    hashed = slim.select("key", "id", _shingle_set(_normal(F.col("text")), size).alias("s"))
+    marks = settled(set_fingerprints(hashed, ["key", "id"], "s", WORDS), "fingerprints")
     names = [f"fp{k}" for k in range(WORDS)]
     # A null id is the largest; a repeated id is counted, to keep one of its rows.
     order = F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"))

@@ -214,6 +214,18 @@ def test_near_copies_by_similarity(spark):
     assert set(similar_groups(rows, 5, 0.8).values()) <= kept <= set(similar_groups(rows, 5, 0.82).values())
 
 
+def test_near_copies_with_a_repeated_line(spark):
+    """A line repeated adds few shingles to the set, however often it is there."""
+    rows = []
+    for origin in range(6):
+        text, line = prose(200 + origin, 300), prose(300 + origin, 12)
+        rows += [(2 * origin, text), (2 * origin + 1, text + f" {line}" * (5 + origin))]
+    groups = similar_groups(rows, 5, 0.8)
+    assert set(groups.values()) == {0, 2, 4, 6, 8, 10}
+    kept = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
+    assert kept == {0, 2, 4, 6, 8, 10}
+
+
 def test_forest_spans_with_least_distance():
     rnd = np.random.default_rng(2)
     for _ in range(30):
