@@ -13,9 +13,10 @@ Two ways lead to tiles:
   pieces are compared pair by pair.
 * ``near_dedup`` (similarity of shingle sets): texts whose numbers of shingles are too far apart
   can't be similar enough, so tiles are made per size class, and neighbouring classes are
-  compared. Longer fingerprints find the links; of each tile pair ``LAYERS`` minimum spanning
-  forests are kept, and each of their links is held against the whole shingle sets. So no text goes
-  that is not similar to one of its group; fingerprints may miss links close to the threshold.
+  compared. Longer fingerprints find candidate links. The texts that have some meet in tiles once
+  more, with their shingle sets, and every candidate link is held against the whole sets, unless
+  proven links already join its ends. So no text goes that is not similar to one of its group, and
+  no candidate is dropped untested; fingerprints may miss links close to the threshold.
 
 No pairs within a group are written: a tile gives at most a few trees, and components join trees.
 
@@ -51,8 +52,8 @@ WIDE_TILE, ROWS = 16_384, 128
 #: Fingerprint words of the similarity join, bits in which the first may differ, and in which all may.
 WORDS, FIRST_RADIUS, ALL_RADIUS = 8, 18, 0.21
 
-#: Spanning forests kept of a tile pair, each of the links the ones before left: where one link fails the exact test, another may pass.
-LAYERS = 3
+#: Pairs whose whole fingerprints are compared at once, and shingles of a tile piece of the exact test.
+PAIRS, SHINGLES = 262_144, 2_000_000
 
 _MIX = [np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
@@ -330,8 +331,44 @@ def forest(i: np.ndarray, j: np.ndarray, distance: np.ndarray, n: int) -> np.nda
     return np.concatenate(chosen) if chosen else np.empty(0, dtype=np.int64)
 
 
-def _similar(words_: int, first_radius: int, all_radius: int, similarity: float):
-    names = [f"fp{k}" for k in range(words_)]
+def _candidates(rows: pd.DataFrame, names: Sequence[str], similarity: float, radii: tuple[int, int], is_open) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs (positions, distance) of a tile within the radii and similar in size, in order of the first one.
+
+    Rows are sorted by population count of the first word. ``is_open(a, b)`` says which pairs still matter.
+    """
+    first_radius, all_radius = radii
+    own = rows["side"].to_numpy() != 2
+    fps = rows[names].to_numpy(dtype=np.int64).view(np.uint64)
+    pops, sizes = rows["pop"].to_numpy(), rows["n"].to_numpy()
+    cross = not own.all()
+    first = np.ascontiguousarray(fps[:, 0])
+    starts = np.flatnonzero(own)
+    for at in range(0, len(starts), ROWS):
+        mine = starts[at : at + ROWS]
+        # Rows beyond the radius in population count are skipped as a block.
+        low, high = np.searchsorted(pops, [pops[mine[0]] - first_radius, pops[mine[-1]] + first_radius + 1])
+        theirs = np.arange(low, high)
+        theirs = theirs[~own[theirs]] if cross else theirs[theirs > mine[0]]
+        close = np.bitwise_count(first[mine][:, None] ^ first[theirs][None, :]) <= first_radius
+        a, b = np.nonzero(close)
+        a, b = mine[a], theirs[b]
+        if not cross:
+            a, b = a[a < b], b[a < b]
+        few, many = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+        fit = few >= similarity * many
+        a, b = a[fit], b[fit]
+        for part in range(0, len(a), PAIRS):
+            x, y = a[part : part + PAIRS], b[part : part + PAIRS]
+            matter = is_open(x, y)
+            x, y = x[matter], y[matter]
+            distance = np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1, dtype=np.int64)
+            near = distance <= all_radius
+            if near.any():
+                yield x[near], y[near], distance[near]
+
+
+def _per_tile(names: Sequence[str], work):
+    """``work`` on the rows of one tile after the other, sorted by population count of the first word."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -339,62 +376,86 @@ def _similar(words_: int, first_radius: int, all_radius: int, similarity: float)
         for frame in frames:
             for tile, rows in frame.groupby("tile", sort=False):
                 if tile != now and held:
-                    yield linked(pd.concat(held))
+                    yield done(held)
                     held = []
                 now = tile
                 held.append(rows)
         if held:
-            yield linked(pd.concat(held))
-
-    def linked(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows["side"].to_numpy() != 2
-        fps = rows[names].to_numpy(dtype=np.int64).view(np.uint64)
-        pops = np.bitwise_count(fps[:, 0]).astype(np.int64)
-        order = np.argsort(pops, kind="stable")
-        fps, pops, own = fps[order], pops[order], own[order]
-        sizes, keys = rows["n"].to_numpy()[order], rows["key"].to_numpy()[order]
-        cross = not own.all()
-        kept = [np.empty((0, 3), dtype=np.int64)]
-        first = np.ascontiguousarray(fps[:, 0])
-        starts = np.flatnonzero(own)
-        for at in range(0, len(starts), ROWS):
-            mine = starts[at : at + ROWS]
-            # Rows beyond the radius in population count are skipped as a block.
-            low, high = np.searchsorted(pops, [pops[mine[0]] - first_radius, pops[mine[-1]] + first_radius + 1])
-            theirs = np.arange(low, high)
-            theirs = theirs[~own[theirs]] if cross else theirs[theirs > mine[0]]
-            close = np.bitwise_count(first[mine][:, None] ^ first[theirs][None, :]) <= first_radius
-            a, b = np.nonzero(close)
-            a, b = mine[a], theirs[b]
-            if not cross:
-                a, b = a[a < b], b[a < b]
-            few, many = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-            fit = few >= similarity * many
-            a, b = a[fit], b[fit]
-            distance = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
-            near = distance <= all_radius
-            kept.append(np.stack([a[near], b[near], distance[near]], axis=1))
-            if sum(map(len, kept)) > 2_000_000:
-                kept = [reduced(np.concatenate(kept), len(fps))]
-        links = reduced(np.concatenate(kept), len(fps))
-        return pd.DataFrame({"a": keys[links[:, 0]], "b": keys[links[:, 1]]})
+            yield done(held)
 
-    def reduced(links: np.ndarray, n: int) -> np.ndarray:
-        layers = []
-        for _ in range(LAYERS):
-            picked = forest(links[:, 0], links[:, 1], links[:, 2], n)
-            layers.append(links[picked])
-            links = np.delete(links, picked, axis=0)
-        return np.concatenate(layers)
+    def done(held: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(held)
+        pops = np.bitwise_count(rows[names[0]].to_numpy(dtype=np.int64).view(np.uint64)).astype(np.int64)
+        return work(rows.assign(pop=pops).sort_values("pop", kind="stable", ignore_index=True))
 
     return run
 
 
-def similar_links(texts: DataFrame, similarity: float, words_: int = WORDS, tile: int = WIDE_TILE) -> DataFrame:
-    """Links (a, b) of ``key`` that span what fingerprints find similar; ``n`` is the number of distinct shingles."""
+def _ends(names: Sequence[str], similarity: float, radii: tuple[int, int]):
+    """Keys of a tile's rows that have a candidate link."""
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        seen = np.zeros(len(rows), dtype=bool)
+        for a, b, _ in _candidates(rows, names, similarity, radii, lambda a, b: ~(seen[a] & seen[b])):
+            seen[a] = seen[b] = True
+        return rows.loc[seen, ["key"]]
+
+    return _per_tile(names, work)
+
+
+def _proven(names: Sequence[str], similarity: float, radii: tuple[int, int]):
+    """Links that span what the whole shingle sets ``s`` of a tile prove similar.
+
+    Every candidate link is tested, unless links proven before already join its ends.
+    """
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        sizes, keys = rows["n"].to_numpy().astype(np.int64), rows["key"].to_numpy()
+        values, ids = np.unique(np.concatenate(rows.pop("s").to_list()), return_inverse=True)
+        offsets = np.cumsum(sizes) - sizes
+        held, label = np.zeros(len(values), dtype=bool), np.arange(len(rows))
+        out: list[tuple[int, int]] = []
+
+        def in_both(others: np.ndarray) -> np.ndarray:
+            n = sizes[others]
+            at = np.cumsum(n) - n
+            found = held[ids[np.repeat(offsets[others] - at, n) + np.arange(n.sum())]]
+            return np.add.reduceat(found, at, dtype=np.int64)
+
+        def test(x: int, others: np.ndarray) -> None:
+            own = ids[offsets[x] : offsets[x] + sizes[x]]
+            held[own] = True
+            step, most = 8, max(8, SHINGLES // max(1, int(sizes[others].max())))
+            while len(others := others[label[others] != label[x]]):
+                some, others = others[:step], others[step:]
+                both = in_both(some)
+                for y in some[both >= similarity * (sizes[x] + sizes[some] - both)].tolist():
+                    if label[x] != label[y]:
+                        out.append((x, y))
+                        label[label == label[y]] = label[x]
+                step = min(2 * step, most)
+            held[own] = False
+
+        for a, b, distance in _candidates(rows, names, similarity, radii, lambda a, b: label[a] != label[b]):
+            order = np.lexsort((distance, a))  # the nearest first: they are the likeliest to join
+            a, b = a[order], b[order]
+            cuts = np.flatnonzero(np.diff(a)) + 1
+            for x, others in zip(a[np.r_[0, cuts]].tolist(), np.split(b, cuts), strict=True):
+                test(x, others)
+        links = np.array(out, dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": keys[links[:, 0]], "b": keys[links[:, 1]]})
+
+    return _per_tile(names, work)
+
+
+def _tiled(texts: DataFrame, similarity: float, columns: Sequence[str], tile: int) -> DataFrame:
+    """``tile, side`` and the columns, sorted by tile: each pair of texts near enough in size ``n`` meets in one tile."""
     step = -math.log(similarity)
     classed = texts.withColumn("c", F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(step)).cast("int"))
-    sizes = classed.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("subs"))
+    weight = F.count(F.lit(1)) / F.lit(tile)
+    if "s" in columns:  # sets are held whole
+        weight = F.greatest(weight, F.sum("n") / F.lit(SHINGLES))
+    sizes = classed.groupBy("c").agg(F.ceil(weight).cast("int").alias("subs"))
     sizes = settled(sizes, "size-classes")  # one row per size class: few, whatever the input
     piece = sizes.select("c", "subs", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
     left, right = piece.withColumn("partner", F.explode(F.array("c", F.col("c") + 1))).alias("l"), piece.alias("r")
@@ -408,17 +469,29 @@ def similar_links(texts: DataFrame, similarity: float, words_: int = WORDS, tile
         )
     )
     meets = meets.select(F.concat_ws(",", "l.c", "l.sub", "r.c", "r.sub").alias("tile"), F.explode(sides).alias("p")).select("tile", "p.*")
-    names = [f"fp{k}" for k in range(words_)]
     placed = (
         classed.join(F.broadcast(sizes), "c")
         .withColumn("sub", F.pmod(F.xxhash64("key"), F.col("subs")).cast("int"))
         .join(meets, ["c", "sub"])
-        .select("tile", "side", "key", "n", *names)
+        .select("tile", "side", *columns)
     )
-    placed = placed.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tile").sortWithinPartitions("tile")
-    limit = int(ALL_RADIUS * 64 * words_)
+    return placed.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tile").sortWithinPartitions("tile")
+
+
+def similar_ends(texts: DataFrame, similarity: float, words_: int = WORDS, tile: int = WIDE_TILE) -> DataFrame:
+    """``key``, repeated, of the texts whose fingerprint is near another one; ``n`` is the number of distinct shingles."""
+    names = [f"fp{k}" for k in range(words_)]
+    radii = (FIRST_RADIUS, int(ALL_RADIUS * 64 * words_))
+    return _tiled(texts, similarity, ["key", "n", *names], tile).mapInPandas(_ends(names, similarity, radii), T.StructType([texts.schema["key"]]))
+
+
+def similar_links(texts: DataFrame, similarity: float, words_: int = WORDS, tile: int = WIDE_TILE) -> DataFrame:
+    """Links (a, b) of ``key`` that span what fingerprints find near and the sets of shingles ``s`` prove similar."""
+    names = [f"fp{k}" for k in range(words_)]
+    radii = (FIRST_RADIUS, int(ALL_RADIUS * 64 * words_))
     key_type = dict(texts.dtypes)["key"]
-    return placed.mapInPandas(_similar(words_, FIRST_RADIUS, limit, similarity), f"a {key_type}, b {key_type}")
+    tiles = _tiled(texts, similarity, ["key", "n", *names, "s"], tile)
+    return tiles.mapInPandas(_proven(names, similarity, radii), f"a {key_type}, b {key_type}")
 
 
 def near_dedup(df: DataFrame, identity: str, text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -438,18 +511,11 @@ def near_dedup(df: DataFrame, identity: str, text: str = "text", size: int = 5,
     texts = settled(
         marks.groupBy("key", "n", *names).agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("copies")), "distinct-texts"
     )
-    links = settled(similar_links(texts.select("key", "n", *names), similarity), "candidate-links").distinct()
-    ends = links.select(F.col("a").alias("key")).unionAll(links.select("b")).distinct()
+    ends = settled(similar_ends(texts.select("key", "n", *names), similarity), "candidates").distinct()
     sets = slim.join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    sets = settled(sets.select("key", _shingle_set(_normal(F.col("text")), size).alias("s")), "shingle-sets")
-    proven = (
-        links.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
-        .join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-        .withColumn("both", F.size(F.array_intersect("sa", "sb")))
-        .filter(F.col("both") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("both")))
-        .select("a", "b")
-    )
-    roots = components(proven)
+    sets = sets.select("key", _shingle_set(_normal(F.col("text")), size).alias("s"))
+    whole = settled(texts.select("key", "n", *names).join(sets, "key"), "shingle-sets")
+    roots = components(settled(similar_links(whole, similarity), "proven-links"))
     member = texts.join(roots, texts["key"] == roots["node"], "left").select("key", "least", "copies", F.coalesce("root", "key").alias("root"))
     member = settled(member, "members")
     winner = member.groupBy("root").agg(F.min(F.struct("least", "key")).alias("w"))
