@@ -43,15 +43,24 @@ CLASSES = (
     CharClass("base32", r"^[0-9A-Z]+$", DIGITS + UPPER, 3.5),
     CharClass("base64", r"^[A-Za-z0-9+/_=-]+$", DIGITS + LOWER + UPPER + "+/_=-", 3.7),
 )
-#: A candidate that matches one of these is no secret.
+#: A candidate that is one of these is no secret.
 ALLOWED = (
     ("uuid", r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"),
     ("digest", r"^(sha|SHA)(1|224|256|384|512)[-=]"),
-    ("path", r"^/?([A-Za-z_-]+/)+[A-Za-z0-9_-]*$"),
     ("words", r"^[A-Za-z]{2,}([_=-][A-Za-z]{2,})*[_=-][0-9]{1,4}$"),
+)
+#: A candidate that matches one of these is none, unless a segment of it is.
+ALLOWED_AROUND = (
+    ("path", r"^/?([A-Za-z_-]+/)+[A-Za-z0-9_-]*$"),
     ("date", r"[12][0-9]{3}-[01][0-9]-[0-3][0-9]"),
     ("placeholder", r"(?i)(example|sample|dummy|placeholder|xxxx|0123456789|abcdefgh)"),
 )
+#: What parts segments: a secret may itself hold ``-`` or ``_``, so all three cuts are tried.
+CUTS = ("[/=]", "[/=-]", "[/=_-]")
+#: A segment of plain words and short numbers, or with no digit or no letter, is no secret either.
+_PART = r"([A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]{1,4}"
+PLAIN = rf"^(({_PART})([_-]({_PART}))*|[^0-9]*|[^A-Za-z]*)$"
+
 WINDOW = 20
 
 
@@ -96,14 +105,27 @@ def window_entropy(candidate: Column, alphabet: str, window: int = WINDOW) -> Co
     return F.when(F.length(candidate) >= window, bind(F.struct(ids.alias("ids"), f.alias("f")), run))
 
 
-def _is_secret(candidate: Column, window: int) -> Column:
-    allowed = F.lit(False)
-    for _, pattern in ALLOWED:
-        allowed = allowed | candidate.rlike(pattern)
+def _any(candidate: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
+    found = F.lit(False)
+    for _, pattern in patterns:
+        found = found | candidate.rlike(pattern)
+    return found
+
+
+def _high(candidate: Column, window: int) -> Column:
     high = F.lit(False)
     for c in reversed(CLASSES):
         high = F.when(candidate.rlike(c.pattern), window_entropy(candidate, c.alphabet, window) >= c.bits).otherwise(high)
-    return ~allowed & high
+    return high
+
+
+def _is_secret(candidate: Column, window: int) -> Column:
+    segments = F.array_distinct(F.concat(*[F.split(candidate, cut, -1) for cut in CUTS]))
+    inside = F.exists(
+        F.filter(segments, lambda s: F.length(s) >= window),
+        lambda s: ~(s.rlike(PLAIN) | _any(s, ALLOWED) | _any(s, ALLOWED_AROUND[1:])) & _high(s, window),
+    )
+    return ~_any(candidate, ALLOWED) & F.when(_any(candidate, ALLOWED_AROUND), inside).otherwise(_high(candidate, window))
 
 
 def _named(spans: Column, kind: str) -> Column:

@@ -64,6 +64,22 @@ def test_entropy_adds_random_strings_only(spark):
     assert secret_scan.secret_spans(df.limit(0)).count() == 0
 
 
+EXCUSED = [
+    "docs/how-to-configure-server-2", "src/my_module_name_for_testing_utils2", "backup-2024-01-15-nightly-of-server-3", "sample_db_key=abc12345-abc12345",
+    "docs/iso-8859-1-to-utf-8-converter", "usr/local/share/ABCDEFGHJKLMNOPQRSTUVW",
+]
+HIDDEN = [
+    "auth/Zk9Qm3Xr7Tw2Lp8Vb4NcHd6s", "api/services/Zk9Qm3Xr7Tw2Lp8Vb4Nc", "AbCdEf/Zk9Qm3Xr7Tw2Lp8Vb4NcHd6s", "auth/Zk9Qm3Xr7-Tw2Lp8Vb4NcHd6s",
+    "backup-2024-01-15-Zk9Qm3Xr7Tw2Lp8Vb4Nc", "sample_db_key=Zk9Qm3Xr7Tw2Lp8Vb4NcHd6s", "sample_db_key_Zk9Qm3Xr7Tw2Lp8Vb4NcHd6s",
+]
+
+
+def test_allow_rules_excuse_no_random_segment(spark):
+    df = spark.createDataFrame(list(enumerate(EXCUSED + HIDDEN)), "doc_id long, text string")
+    found = [s.match for r in secret_scan.secret_spans(df).orderBy("doc_id").collect() for s in r.secret_spans]
+    assert found == HIDDEN
+
+
 def test_window_entropy(spark):
     rnd = random.Random(2)
     for kind in secret_scan.CLASSES:
