@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import decontaminate, line_dedup, lm_score, pii, piece_counts, quality, secret_scan, sentencepiece_codec, simhash, suffix_dedup
+from auditlake.llm import (
+    decontaminate, fill_middle, line_dedup, lm_score, pii, piece_counts, quality, resample, secret_scan, sentencepiece_codec, simhash,
+    suffix_dedup, warc,
+)
+from auditlake.llm.settle import settled
+from auditlake.session import fresh_path
 from auditlake.sources.text import BLOCK_TAGS, entity_names, html_text
 
 QUERIES: dict = {}
@@ -141,3 +146,83 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_suffix_dedup")
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), "doc_id", keep_bytes=False)
+
+
+_DRAW = ", ".join(f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT) AS h{k + 1}" for k in range(4))
+OP11_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{fill_middle.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS us, {_DRAW} FROM t),
+c AS (SELECT *, len(us) AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS b,
+             CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= {fill_middle.FIM_PERCENT} THEN 'plain'
+                  WHEN h4 % 100 < {fill_middle.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(us[1:a], '') AS p, array_to_string(us[a + 1:b], '') AS m, array_to_string(us[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END)
+         AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+@query("op11_fill_middle", OP11_SQL)
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    again = fill_middle.restored(F.col("fim_text"), F.col("form"))
+    return done.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("fim_text", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256")
+    )
+
+
+OP12_SQL = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+r AS (SELECT *, row_number() OVER w AS k, first_value(page_id) OVER w AS first FROM p WINDOW w AS (PARTITION BY d ORDER BY page_id NULLS LAST))
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= {warc.LEAST_BYTES} AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= {warc.LEAST_BYTES} AND k > 1 THEN first END AS refers_to
+FROM r
+"""
+
+
+@query("op12_warc", OP12_SQL)
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = settled(warc.as_records(_table(spark, sf_dir, "pages"), "page_id", "url", "html"), "warc-records")
+    path = warc.write_archive(warc.deduplicated(pages), fresh_path(spark, "warc"))
+    heads = settled(warc.read_archive(spark, path, payloads=False), "warc-heads")
+    return warc.resolved(heads).select(
+        F.col("identity").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("original").cast("bigint").alias("refers_to")
+    )
+
+
+# The checksum of each different word, byte by byte, and the rest as the contract says it.
+OP13_SQL = rf"""
+WITH RECURSIVE tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+w AS MATERIALIZED (SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+       FROM documents UNION ALL
+       SELECT 'b', item_id, 0,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+       FROM benchmark),
+o AS MATERIALIZED (SELECT side, id, r, unnest(ws) AS word FROM w),
+v AS (SELECT DISTINCT word FROM o),
+bytes AS (SELECT word, hex(encode(word)) AS x FROM v),
+sums AS MATERIALIZED (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda k: CAST('0x' || substr(x, 2 * k + 1, 2) AS BIGINT))),
+           lambda c, y: xor(c >> 8, list_extract(tab.t, xor(c & 255, y) + 1))), 4294967295) % {resample.BUCKETS} AS bucket FROM bytes, tab),
+f AS MATERIALIZED (SELECT side, id, r, bucket FROM o JOIN sums USING (word)),
+n AS (SELECT bucket, count(*) FILTER (WHERE side = 'd') AS s, count(*) FILTER (WHERE side = 'b') AS t FROM f GROUP BY bucket),
+a AS (SELECT count(*) FILTER (WHERE side = 'd') AS s, count(*) FILTER (WHERE side = 'b') AS t FROM f),
+g AS (SELECT bucket, CAST(floor(1000 * ln((CAST(n.t AS DOUBLE) + 1) * (a.s + {resample.BUCKETS}) / ((CAST(n.s AS DOUBLE) + 1) * (a.t + {resample.BUCKETS})))) AS BIGINT) AS gain
+      FROM n, a),
+m AS (SELECT r, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM f JOIN g USING (bucket) WHERE side = 'd' GROUP BY r),
+d AS (SELECT w.id AS doc_id, w.r, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             CAST('0x' || substr(sha256('{resample.SEED}:' || coalesce(CAST(w.id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+      FROM w LEFT JOIN m USING (r) WHERE side = 'd'),
+e AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS all_fit FROM e WHERE n_words >= {resample.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= {resample.PERCENT} * all_fit // 100 THEN place END AS rank FROM e LEFT JOIN k USING (r)
+"""
+
+
+@query("op13_resample", OP13_SQL)
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, _table(spark, sf_dir, "benchmark"), "doc_id").select("doc_id", "n_features", "weight", "score", "rank")
