@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.text import name_parts, normalize_name, tokens
 from auditlake.operators.naming import unique_names
+from auditlake.operators.similar import leaders
 from auditlake.plans.scan import ordered_parts
 from auditlake.plans.sized import lookup_join, placed_by
 from auditlake.session import materialize
@@ -128,16 +129,33 @@ def match_key(name: Column) -> Column:
     return F.array_join(name_parts(normalize_name(name)), "-")
 
 
-def reconcile(candidates: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _folded(keyed: DataFrame, existing: DataFrame) -> DataFrame:
+    """``keyed`` with the key of the concept each name leads to; similar names share it."""
+    known = existing.select("concept_type", match_key(F.col("concept_name")).alias("key"), "concept_name").groupBy("concept_type", "key").agg(
+        F.min("concept_name").alias("name")
+    )
+    names = keyed.groupBy("concept_type", F.col("match_key").alias("key")).agg(
+        F.min("seq").alias("seq"), normalize_name(F.min_by("concept_name", "seq")).alias("name")
+    )
+    names = materialize(names.join(known, ["concept_type", "key"], "left_anti"), "new-names")
+    lead = leaders(names, known).withColumnRenamed("key", "match_key")
+    found = lookup_join(keyed, lead, ["concept_type", "match_key"], "left")
+    return found.withColumn("match_key", F.coalesce("lead_key", "match_key")).drop("lead_key")
+
+
+def reconcile(candidates: DataFrame, existing: DataFrame, similar: bool = False) -> tuple[DataFrame, DataFrame]:
     """Fold classified segments into concepts: returns ``(concepts, concept_segment_mapping)``.
 
     ``candidates``: segment_id, seq (unique arrival order), concept_type, concept_name,
     rationale, summary, attributes_and_values. Candidates of one type whose names have
     the same words are one concept: an existing one if it matches, else a new one named
     after the earliest candidate. The latest candidate updates the record; attributes of all
-    candidates and of the existing concept are merged.
+    candidates and of the existing concept are merged. With ``similar``, misspelt and extended
+    names join the earliest concept they resemble (:mod:`auditlake.operators.similar`).
     """
     keyed = candidates.withColumn("match_key", match_key(F.col("concept_name")))
+    if similar:
+        keyed = materialize(_folded(keyed, existing), "folded")
     known = (
         existing.select("concept_type", match_key(F.col("concept_name")).alias("match_key"), "concept_name")
         .groupBy("concept_type", "match_key")
