@@ -184,7 +184,7 @@ FROM r
 
 @query("op12_warc", OP12_SQL)
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = settled(warc.as_records(_table(spark, sf_dir, "pages"), "page_id", "url", "html"), "warc-records")
+    pages = warc.as_records(_table(spark, sf_dir, "pages"), "page_id", "url", "html")
     path = warc.write_archive(warc.deduplicated(pages), fresh_path(spark, "warc"))
     heads = settled(warc.read_archive(spark, path, payloads=False), "warc-heads")
     return warc.resolved(heads).select(

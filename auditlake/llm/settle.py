@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.session import materialize
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """As :func:`materialize`; the rows are in the shared folder, so what was shuffled for them is dropped."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, None)
-    conf.set(_CLEANUP, "true")
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is shuffled for a write inside is dropped when the write has ended."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
     try:
-        return materialize(df, label)
+        yield
     finally:
         if before is None:
-            conf.unset(_CLEANUP)
+            spark.conf.unset(_CLEANUP)
         else:
-            conf.set(_CLEANUP, before)
+            spark.conf.set(_CLEANUP, before)
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """As :func:`materialize`; the rows are in the shared folder, so what was shuffled for them is dropped."""
+    with shuffles_dropped(df.sparkSession):
+        return materialize(df, label)

@@ -26,7 +26,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.llm.settle import settled, shuffles_dropped
 from auditlake.plans.sized import is_small, salted_join
+from auditlake.session import fresh_path
 
 LEAST_BYTES = 100
 #: Bytes of payload for each file of an archive, and of records for each frame that a reader hands on.
@@ -46,9 +48,9 @@ _KIND = (
 
 
 def as_records(df: DataFrame, identity: str, url: str, payload: str, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """A response per row, with a fresh ``record_id``. Write the result before using it twice: the identities are random."""
+    """A response per row, with a fresh ``record_id``; written to the shared folder, for the identities are random."""
     body = F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit(""))
-    return df.select(
+    made = df.select(
         F.concat(F.lit("urn:uuid:"), F.uuid()).alias("record_id"),
         F.col(f"`{identity}`").alias("identity"),
         F.lit("response").alias("record_type"),
@@ -59,6 +61,9 @@ def as_records(df: DataFrame, identity: str, url: str, payload: str, date: str =
         F.lit(None).cast("string").alias("refers_to"),
         body.alias("payload"),
     )
+    path = fresh_path(df.sparkSession, "warc-records")
+    made.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(made.schema).parquet(path)
 
 
 def originals(records: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -77,7 +82,7 @@ def deduplicated(records: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFram
     """The records with each payload kept once, dealt out evenly for :func:`write_archive`."""
     size = records.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("n")).first()["n"]
     files = max(1, -(-size // FILE_BYTES))
-    found = originals(records, least_bytes).withColumnRenamed("refers_to", "_original")
+    found = settled(originals(records, least_bytes).withColumnRenamed("refers_to", "_original"), "warc-revisits")
     # A record identity is met once on both sides, so the shuffle is even; few revisits go to the records instead.
     if is_small(found):
         joined = records.join(F.broadcast(found), "record_id", "left")
@@ -121,7 +126,8 @@ def write_archive(records: DataFrame, path: str) -> str:
         _header("Content-Length", F.octet_length("_block").cast("string")),
     )
     # Spark ends each row with the separator, which is the end of a record.
-    made.select(F.concat(head, line, line, F.col("_block")).alias("value")).write.option("lineSep", BREAK * 2).option("compression", "gzip").text(path)
+    with shuffles_dropped(records.sparkSession):
+        made.select(F.concat(head, line, line, F.col("_block")).alias("value")).write.option("lineSep", BREAK * 2).option("compression", "gzip").text(path)
     return path
 
 
