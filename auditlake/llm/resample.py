@@ -116,7 +116,7 @@ def bucket_counts(df: DataFrame, text: str = "text", order: int = ORDER, buckets
         yield pd.DataFrame({"bucket": there, "n": total[there]})
 
     counted = df.select(F.col(f"`{text}`").cast("binary").alias("t")).mapInPandas(run, "bucket bigint, n bigint")
-    return counted.groupBy("bucket").agg(F.sum("n").alias("n"))
+    return settled(counted.groupBy("bucket").agg(F.sum("n").alias("n")), "bucket-counts")
 
 
 def bucket_gains(source: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
