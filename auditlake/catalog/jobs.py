@@ -85,7 +85,7 @@ def class_checkpoints(spark, sf_dir):
     "create_mapping_job",
     f"""
     WITH {_CLASSES},
-    co AS (SELECT 'delivered.by' || s_suppkey AS n FROM supplier WHERE s_acctbal > 2000 UNION SELECT 'has_' || lower(l_returnflag) || 'f' FROM lineitem),
+    co AS (SELECT 'delivered.by' || s_suppkey AS n FROM supplier UNION SELECT 'has_' || lower(l_returnflag) || 'f' FROM lineitem),
     ma AS (SELECT cls.*, property, CASE WHEN property LIKE 'delivered%' THEN 'delivered.by' || property[12:] ELSE 'has_' || lower(property[4:]) END AS n
            FROM cls JOIN prop USING (p_partkey)),
     us AS (SELECT * FROM ma WHERE n IN (SELECT n FROM co)),
@@ -98,7 +98,7 @@ def class_checkpoints(spark, sf_dir):
     """,
 )
 def create_mapping_job(spark, sf_dir):
-    suppliers = table(spark, sf_dir, "supplier").filter("s_acctbal > 2000").select(
+    suppliers = table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("delivered.by"), F.col("s_suppkey").cast("string")).alias("column_name")
     )
     flags = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("has_"), F.lower("l_returnflag"), F.lit("f")).alias("column_name")).distinct()

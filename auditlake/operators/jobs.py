@@ -14,16 +14,19 @@ from auditlake.operators import ontology as O
 from auditlake.operators import ranking as R
 from auditlake.operators import runlog as L
 from auditlake.operators.context import budget_prefix
+from auditlake.operators.cover import cover_match
 from auditlake.operators.cube import CubeSpec, data_cube
 from auditlake.plans.scan import bucket_of, prior, range_bucketed
 from auditlake.session import materialize
 from auditlake.sources.sinks import Store
 
 
-def create_mapping(triples: DataFrame, columns: DataFrame, store: Store, base: str = "/") -> DataFrame:
+def create_mapping(triples: DataFrame, columns: DataFrame, store: Store, base: str = "/", combine: bool = False) -> DataFrame:
     """Map the attributes of classes not processed yet, store them, return the export lines.
 
-    ``columns``: file, ordinal, column_name.
+    ``columns``: file, ordinal, column_name. With ``combine``, an attribute may be made of several
+    columns of one file, or of one of another period, by a formula (:mod:`auditlake.operators.cover`);
+    a boolean column ``number`` then tells which columns may be added up.
     """
     store.create()
     found = O.unprocessed(O.classes(triples), store.read("processed_classes"), "class_uri")
@@ -38,6 +41,10 @@ def create_mapping(triples: DataFrame, columns: DataFrame, store: Store, base: s
         ),
         "attributes",
     )
+    if combine:
+        number = "number" if "number" in columns.columns else None
+        store.save_classes(once, cover_match(attributes, "attribute_name", columns, "column_name", "file", number).drop("similarity"))
+        return mapping_report(store, columns, base)
     matched = M.schema_match(attributes, "attribute_name", columns, "column_name")
     rows = matched.select(
         *attributes.columns,
