@@ -72,45 +72,48 @@ def ingest_documents(
     """Documents (``filename``, a name or number, and ``text``) to segments, concepts and their mapping; returns the report.
 
     Concepts of earlier runs stay and are matched first. Arrival order is that of the
-    file names, by number where they are numbers, then of the places in a document.
+    file names, by number where they are numbers, then of the places in a document. All tables
+    become visible together, once every mapped concept is known to exist; until then, and after a
+    failure, readers see those of the run before.
     """
-    store.create()
-    totals = docs.select("filename", line_count("text").cast("bigint").alias("total_lines"))
-    store.rebuild(
-        "file_line_sequence", D.chunk_ranges(totals, "filename", "total_lines", chunk_size)
-    )
-    cut = D.segments(docs, "filename", "text", chunk_size, max_lines)
-    store.rebuild("text_segments", cut)
-    segments = store.read("text_segments")
-    typed = C.classify(segments, "segment_id", "segment_text", classes, name, class_text)
-    # Only titles travel from here. Documents are counted and their counts added up in order; places are numbered in each.
-    slim = segments.select(
-        "segment_id",
-        "filename",
-        F.trim(F.substring_index("segment_text", "\n", 1)).alias("title"),
-        *[F.regexp_extract("segment_id", r"-([0-9]+)-([0-9]+)$", i).cast("bigint").alias(c) for i, c in ((1, "_chunk"), (2, "_seg"))],
-    )
-    order = F.col("filename").cast("bigint") if _is_number(docs, "filename") else F.col("filename")
-    sizes = slim.groupBy("filename").agg(F.count(F.lit(1)).alias("_n")).select("filename", "_n", order.alias("_order"), F.lit(0).alias("_all"))
-    sizes = range_bucketed(sizes, ["_all"], ["_order"], "_bucket")
-    offsets = prior(sizes, ["_all"], F.col("_bucket"), ["_order"], F.sum, F.col("_n"), "_before").select("filename", "_before")
-    inside = F.row_number().over(Window.partitionBy("filename").orderBy("_chunk", "_seg"))
-    ordered = slim.withColumn("_place", inside).join(offsets, "filename")
-    candidates = ordered.join(typed, "segment_id").select(
-        "segment_id",
-        (F.coalesce("_before", F.lit(0)) + F.col("_place")).cast("bigint").alias("seq"),
-        "concept_type",
-        F.col("title").alias("concept_name"),
-        F.format_string("token weight %.4f", "score").alias("rationale"),
-        F.col("title").alias("summary"),
-        F.create_map(F.lit("filename"), F.col("filename")).alias("attributes_and_values"),
-    )
-    merged, mapping = C.reconcile(materialize(candidates, "candidates"), store.read("concepts"))
-    merged = materialize(merged, "concepts")
-    store.rebuild("concept_segment_mapping", mapping)
-    store.rebuild("concepts", merged)
-    known, mapped = store.read("concepts"), store.read("concept_segment_mapping")
-    C.verify_mapping(known, mapped)
+    with store.transaction() as save:
+        save.create()
+        totals = docs.select("filename", line_count("text").cast("bigint").alias("total_lines"))
+        save.rebuild(
+            "file_line_sequence", D.chunk_ranges(totals, "filename", "total_lines", chunk_size)
+        )
+        cut = D.segments(docs, "filename", "text", chunk_size, max_lines)
+        save.rebuild("text_segments", cut)
+        segments = save.read("text_segments")
+        typed = C.classify(segments, "segment_id", "segment_text", classes, name, class_text)
+        # Only titles travel from here. Documents are counted and their counts added up in order; places are numbered in each.
+        slim = segments.select(
+            "segment_id",
+            "filename",
+            F.trim(F.substring_index("segment_text", "\n", 1)).alias("title"),
+            *[F.regexp_extract("segment_id", r"-([0-9]+)-([0-9]+)$", i).cast("bigint").alias(c) for i, c in ((1, "_chunk"), (2, "_seg"))],
+        )
+        order = F.col("filename").cast("bigint") if _is_number(docs, "filename") else F.col("filename")
+        sizes = slim.groupBy("filename").agg(F.count(F.lit(1)).alias("_n")).select("filename", "_n", order.alias("_order"), F.lit(0).alias("_all"))
+        sizes = range_bucketed(sizes, ["_all"], ["_order"], "_bucket")
+        offsets = prior(sizes, ["_all"], F.col("_bucket"), ["_order"], F.sum, F.col("_n"), "_before").select("filename", "_before")
+        inside = F.row_number().over(Window.partitionBy("filename").orderBy("_chunk", "_seg"))
+        ordered = slim.withColumn("_place", inside).join(offsets, "filename")
+        candidates = ordered.join(typed, "segment_id").select(
+            "segment_id",
+            (F.coalesce("_before", F.lit(0)) + F.col("_place")).cast("bigint").alias("seq"),
+            "concept_type",
+            F.col("title").alias("concept_name"),
+            F.format_string("token weight %.4f", "score").alias("rationale"),
+            F.col("title").alias("summary"),
+            F.create_map(F.lit("filename"), F.col("filename")).alias("attributes_and_values"),
+        )
+        merged, mapping = C.reconcile(materialize(candidates, "candidates"), save.read("concepts"))
+        merged = materialize(merged, "concepts")
+        save.rebuild("concept_segment_mapping", mapping)
+        save.rebuild("concepts", merged)
+        known, mapped = save.read("concepts"), save.read("concept_segment_mapping")
+        C.verify_mapping(known, mapped)
     coverage = I.line_coverage(segments, totals.withColumn("filename", F.col("filename").cast("string")), "filename", "total_lines")
     return L.coverage_report(C.multi_segment_by_type(known, mapped), coverage)
 
