@@ -25,12 +25,21 @@ def strip(c: str | Column) -> Column:
     return F.btrim(_col(c), F.lit(SPACES))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def replace_each(text: Column, pattern: str, group: int, by: Callable[[Column], Column]) -> Column:
     """Every match replaced by what ``by`` makes of one of its groups."""
-    pieces = F.split(text, pattern, -1)
-    made = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), by)
-    joined = F.array_join(F.zip_with(pieces, made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.when(text.rlike(pattern), joined).otherwise(text)
+
+    def replaced(t: Column) -> Column:
+        pieces = F.split(t, pattern, -1)
+        made = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(group)), by)
+        joined = F.array_join(F.zip_with(pieces, made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.when(t.rlike(pattern), joined).otherwise(t)
+
+    return once(text, replaced)
 
 
 def character(digits: Column, base: int) -> Column:
