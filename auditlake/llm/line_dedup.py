@@ -5,7 +5,8 @@ A line is boilerplate of a site if the share of the site's pages that contain it
 the map side first, so a hot site or a line of every page is a few rows per task. A site has
 at most (mean distinct lines of a page) / ratio boilerplate lines.
 
-A page that would have no line left stays as it is: it is a copy of others, not their frame.
+With ``keep_whole`` a page that would have no line left stays as it is: it may be a copy of others,
+which a later step can judge as a whole.
 
 Defined cases: blank lines are neither counted nor dropped; a null text stays null; pages
 with a null site belong to no site and stay as they are; a repeated row is a page of its own;
@@ -57,9 +58,13 @@ def boilerplate(df: DataFrame, host: str, text: str, ratio: float = RATIO, min_p
 
 
 def drop_boilerplate(
-    df: DataFrame, host: str, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, n_dropped: str | None = None
+    df: DataFrame, host: str, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, n_dropped: str | None = None,
+    keep_whole: bool = False,
 ) -> DataFrame:
-    """The rows with boilerplate lines taken out of ``text``; ``n_dropped`` names a column for their number."""
+    """The rows with boilerplate lines taken out of ``text``; ``n_dropped`` names a column for their number.
+
+    The rows are read twice, so give a table that is cheap to read. ``keep_whole``: see above.
+    """
     sites = boilerplate(df, host, text, ratio, min_pages).groupBy("_site").agg(F.collect_set("_key").alias("_keys"))
     sites = materialize(sites, "boilerplate")
     site, keys = free_name(df, "_join_site"), free_name(df, "_join_keys")
@@ -71,9 +76,14 @@ def drop_boilerplate(
     def cut(lines: Column) -> Column:
         return F.filter(lines, lambda x: ~(x.rlike(WORD) & F.array_contains(F.col(keys), _key(x))))
 
+    def left_of(lines: Column) -> Column:
+        if not keep_whole:
+            return cut(lines)
+        return bind(cut(lines), lambda kept: F.when(F.exists(kept, lambda x: x.rlike(WORD)), kept).otherwise(lines))
+
     def both(lines: Column) -> Column:
         return bind(
-            bind(cut(lines), lambda kept: F.when(F.exists(kept, lambda x: x.rlike(WORD)), kept).otherwise(lines)),
+            left_of(lines),
             lambda kept: F.struct(F.array_join(kept, "\n").alias("text"), (F.size(lines) - F.size(kept)).alias("n")),
         )
 
@@ -83,7 +93,7 @@ def drop_boilerplate(
     columns = [
         F.when(F.col(result).isNotNull(), F.col(result)["text"]).otherwise(F.col(f"`{text}`")).alias(text) if c == text else F.col(f"`{c}`")
         for c in df.columns
-        if c != n_dropped
+        if not n_dropped or c.lower() != n_dropped.lower()
     ]
     if n_dropped:
         columns.append(F.coalesce(F.col(result)["n"], F.lit(0)).cast("bigint").alias(n_dropped))

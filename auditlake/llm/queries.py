@@ -97,8 +97,7 @@ g AS (SELECT page_id, lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*
 n AS (SELECT host, count(*) AS pages FROM g GROUP BY host),
 w AS (SELECT host, line, count(*) AS has FROM (SELECT host, unnest(list_distinct(ls)) AS line FROM g) GROUP BY host, line),
 bad AS (SELECT host, list(line) AS lines FROM w JOIN n USING (host) WHERE has >= {line_dedup.MIN_PAGES} AND has > {line_dedup.RATIO} * pages GROUP BY host),
-c0 AS (SELECT page_id, host, ls, list_filter(ls, lambda z: bad.lines IS NULL OR NOT list_contains(bad.lines, z)) AS cut FROM g LEFT JOIN bad USING (host)),
-k AS (SELECT page_id, host, ls, CASE WHEN len(cut) = 0 THEN ls ELSE cut END AS kept FROM c0)
+k AS (SELECT page_id, host, ls, list_filter(ls, lambda z: bad.lines IS NULL OR NOT list_contains(bad.lines, z)) AS kept FROM g LEFT JOIN bad USING (host))
 SELECT page_id, host, len(ls) AS n_lines, len(ls) - len(kept) AS n_dropped, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM k
 """
 
@@ -108,7 +107,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = html_text("html")
     pages = _table(spark, sf_dir, "pages").select("page_id", line_dedup.url_host(F.col("url")).alias("host"), text.alias("text"))
     sized = pages.withColumn("n_lines", F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n", -1))).cast("bigint"))
-    left = line_dedup.drop_boilerplate(sized, "host", n_dropped="n_dropped")
+    # Written once: the lines are read twice, for the counts and for the cut.
+    left = line_dedup.drop_boilerplate(settled(sized, "page-lines"), "host", n_dropped="n_dropped")
     return left.select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

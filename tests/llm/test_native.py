@@ -135,9 +135,14 @@ def test_lines_of_sites(spark):
     got = {(r.page_id, r.text): r.n for r in line_dedup.drop_boilerplate(df, "host", n_dropped="n").collect()}
     assert got[0, "\nonly 0"] == 2 and got[3, "\nonly 3\nrare"] == 2 and got[30, "menu\nx"] == 0
     assert got[31, None] == 0 and got[32, ""] == 0 and got[33, "menu"] == 0 and got[None, "last"] == 1
-    assert got[34, "menu\n"] == 0  # nothing would be left
+    assert got[34, ""] == 1  # nothing is left
+    whole = {(r.page_id, r.text): r.n for r in line_dedup.drop_boilerplate(df, "host", n_dropped="n", keep_whole=True).collect()}
+    assert {k: n for k, n in whole.items() if k[0] != 34} == {k: n for k, n in got.items() if k[0] != 34} and whole[34, "menu\n"] == 0
     assert line_dedup.drop_boilerplate(df, "host").columns == df.columns
     assert line_dedup.drop_boilerplate(df.limit(0), "host").count() == 0
+    named = df.withColumns({"N": F.lit("old"), "_join_site": F.lit("s"), "_join_keys": F.lit("k"), "_left": F.lit("l"), "_site": F.lit("t")})
+    same = line_dedup.drop_boilerplate(named, "host", n_dropped="n")
+    assert {(r.page_id, r.text) for r in same.collect()} == set(got) and [c for c in same.columns if c.lower() != "n"] == [c for c in named.columns if c != "N"]
 
 
 def test_lines_with_salted_sites(spark, monkeypatch):
