@@ -14,8 +14,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source."""
-    return line_dedup.drop_boilerplate(docs, "source")
+    """Documents without the boilerplate lines of their source; those of nothing else stay whole, as they may be copies."""
+    return line_dedup.drop_boilerplate(docs, "source", keep_whole=True)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
