@@ -1,24 +1,15 @@
 """SimHash near duplicates by tiled exact comparison of fingerprints.
 
 A fingerprint has a bit for each bit of a 64-bit hash: it is set if over half of the text's
-shingles have it set. ``link_groups`` counts a repeated shingle each time, ``near_dedup``, which
-compares sets, once. Fingerprints are compared exactly, by exclusive-or and bit counts over
-numpy tiles. Tiles are sorted by population count; what differs in it beyond the radius is skipped.
+shingles, repeats included, have it set. Fingerprints are compared exactly, by exclusive-or and bit
+counts over numpy tiles. Tiles are sorted by population count; what differs in it beyond the radius
+is skipped.
 
-Two ways lead to tiles:
-
-* ``link_groups`` (small radius r): two fingerprints within r bits agree on at least b - r of b
-  bands, so tiles are made per choice of b - r bands and their value. It takes distinct
-  fingerprints only. Tiles over ``TILE`` rows are cut by population count and hash, and their
-  pieces are compared pair by pair.
-* ``near_dedup`` (similarity of shingle sets): texts whose numbers of shingles are too far apart
-  can't be similar enough, so tiles are made per size class, and neighbouring classes are
-  compared. Longer fingerprints find candidate links. The texts that have some meet in tiles once
-  more, with their shingle sets, and every candidate link is held against the whole sets, unless
-  proven links already join its ends. So no text goes that is not similar to one of its group, and
-  no candidate is dropped untested; fingerprints may miss links close to the threshold.
-
-No pairs within a group are written: a tile gives at most a few trees, and components join trees.
+Two fingerprints within r bits agree on at least b - r of b bands, so tiles are made per choice of
+b - r bands and their value; no pair is lost. Only distinct fingerprints meet, so copies cost
+nothing. Tiles over ``TILE`` rows are cut by population count and hash, and their pieces are compared
+pair by pair. No pairs within a group are written: a tile gives at most a tree for each component,
+and components join trees.
 
 Defined cases: a text with fewer words than a shingle is one shingle; one without words, or null,
 has the fingerprint zero, linked like any other; repeated rows are copies; ids may be null or
@@ -28,7 +19,6 @@ are read whole, in slices.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator, Sequence
 from functools import partial
 from itertools import combinations, islice
@@ -40,35 +30,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.llm.columns import BLANK, bind, free_name, words
+from auditlake.llm.columns import free_name
 from auditlake.llm.groups import components
 from auditlake.llm.settle import settled
 
 SEED = 42
 SLICE = 65_536
 TILE = 4_096
-#: Rows of a tile of the similarity join, and rows compared with such a tile at once.
-WIDE_TILE, ROWS = 16_384, 128
-#: Fingerprint words of the similarity join, bits in which the first may differ, and in which all may.
-WORDS, FIRST_RADIUS, ALL_RADIUS = 8, 18, 0.21
-
-#: Pairs whose whole fingerprints are compared at once, and shingles of a tile piece of the exact test.
-PAIRS, SHINGLES = 262_144, 2_000_000
-
-_MIX = [np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """Further hashes from the first one."""
-    if k == 0:
-        return h
-    x = h ^ _MIX[k]
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 def shingles(text: str | None, size: int) -> Iterator[bytes]:
     """Shingles of lower-cased (A-Z) words, repeats included."""
     found = [] if text is None else text.encode("utf-8").lower().split()
@@ -78,55 +49,24 @@ def shingles(text: str | None, size: int) -> Iterator[bytes]:
         yield from map(b" ".join, zip(*[islice(found, k, None) for k in range(size)], strict=False))
 
 
-def fingerprint(text: str | None, size: int, n_words: int = 1) -> list[int]:
-    """Fingerprint words of a text as signed longs."""
-    ones, total, source = np.zeros((n_words, 64), dtype=np.int64), 0, shingles(text, size)
+def fingerprint(text: str | None, size: int) -> int:
+    """Fingerprint of a text as a signed long."""
+    ones, total, source = np.zeros(64, dtype=np.int64), 0, shingles(text, size)
     while part := list(islice(source, SLICE)):
         h = np.fromiter(map(_hash, part), dtype="<u8", count=len(part))
         total += len(part)
-        for k in range(n_words):
-            ones[k] += np.unpackbits(_mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > total, axis=1, bitorder="little").view("<i8").ravel().tolist()
-
-
-def set_fingerprint(hashes: np.ndarray, n_words: int) -> np.ndarray:
-    """Fingerprint words of a set of shingle hashes, each counted once, as signed longs."""
-    ones = np.zeros((n_words, 64), dtype=np.int64)
-    for at in range(0, len(hashes), SLICE):
-        h = np.ascontiguousarray(hashes[at : at + SLICE]).view(np.uint64)
-        for k in range(n_words):
-            ones[k] += np.unpackbits(_mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view("<i8").ravel()
-
-
-def set_fingerprints(df: DataFrame, carry: Sequence[str], hashes: str, n_words: int) -> DataFrame:
-    """The ``carry`` columns with ``n``, the size of the set ``hashes``, and its ``fp0``, ``fp1`` .. as signed longs."""
-    names = [f"fp{k}" for k in range(n_words)]
-    schema = T.StructType([*[df.schema[c] for c in carry], T.StructField("n", T.IntegerType()), *[T.StructField(n, T.LongType()) for n in names]])
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sets = [np.asarray(s, dtype=np.int64) for s in frame.pop(hashes)]
-            values = np.array([set_fingerprint(s, n_words) for s in sets], dtype=np.int64).reshape(len(sets), n_words)
-            yield frame.assign(n=np.array([len(s) for s in sets], dtype=np.int32), **{n: values[:, k] for k, n in enumerate(names)})
-
-    return df.select(*carry, hashes).mapInPandas(run, schema)
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > total, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(df: DataFrame, carry: Sequence[str], text: str = "text", size: int = 3, n_words: int = 1) -> DataFrame:
-    """The ``carry`` columns with ``fp0``, ``fp1`` .. as signed longs."""
-    names = [f"fp{k}" for k in range(n_words)]
-    carry = [c for c in carry if c not in names]
-    schema = T.StructType([*[df.schema[c] for c in carry], *[T.StructField(n, T.LongType()) for n in names]])
-    source = free_name(df, "_hashed_text")
+def fingerprints(df: DataFrame, name: str, text: str = "text", size: int = 3) -> DataFrame:
+    """Add the fingerprint as a signed long; all columns stay in Spark but the text, which is lent to the worker."""
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = [fingerprint(t, size, n_words) for t in frame.pop(source)]
-            values = np.array(made, dtype=np.int64).reshape(len(made), n_words)
-            yield frame.assign(**{n: values[:, k] for k, n in enumerate(names)})
+    def run(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in frames:
+            yield pd.Series([fingerprint(t, size) for t in texts], dtype="int64")
 
-    return df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").alias(source)).mapInPandas(run, schema)
+    return df.withColumn(name, F.pandas_udf(run, T.LongType())(F.col(f"`{text}`")))
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -270,260 +210,43 @@ def fingerprint_links(fps: DataFrame, radius: int, bands: int, tile: int = TILE)
     return placed.mapInPandas(_compare(radius), "a bigint, b bigint")
 
 
-def link_groups(df: DataFrame, identity: str, text: str = "text", size: int = 3, radius: int = 3) -> DataFrame:
-    """``identity, fingerprint, component_id``: the smallest id reachable over fingerprints within the radius."""
-    docs = df.select(F.col(f"`{identity}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    docs = settled(fingerprints(docs, ["id"], "text", size).withColumnRenamed("fp0", "fp"), "fingerprints")
-    distinct = settled(docs.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+def _members(docs: DataFrame, radius: int) -> DataFrame:
+    """``fp, least, root`` of the distinct fingerprints of ``docs`` (id, fp): its smallest id, and the component."""
+    order = F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"))
+    distinct = settled(docs.groupBy("fp").agg(F.min(order).alias("least")), "distinct-fingerprints")
     links = fingerprint_links(distinct.select("fp"), radius, tile_count(distinct.count(), radius))
     roots = components(links)
     member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    member = settled(member, "members")
-    named = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return docs.join(named, "fp").select(F.col("id").alias(identity), hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
-
-
-# --- groups of similar shingle sets
-
-
-def _normal(text: Column) -> Column:
-    """Lower-cased (A-Z) words joined by single spaces."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.btrim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), upper, lower), f"[{BLANK}]+", " "), F.lit(" "))
-
-
-def _shingle_set(normal: Column, size: int) -> Column:
-    """Distinct hashes of the shingles of a normalised text."""
-
-    def of(w: Column) -> Column:
-        last = F.greatest(F.size(w) - F.lit(size - 1), F.when(F.size(w) > 0, 1).otherwise(0))
-        grams = F.transform(
-            F.slice(w, F.lit(1), last), lambda x, i: F.xxhash64(F.concat_ws(" ", *[F.get(w, i + F.lit(k)) for k in range(size)]))
-        )
-        return F.array_distinct(grams)
+    return settled(member, "members")
 
-    return bind(words(normal), of)
 
-
-def forest(i: np.ndarray, j: np.ndarray, distance: np.ndarray, n: int) -> np.ndarray:
-    """Positions of the links of a minimum spanning forest (Boruvka)."""
-    label = np.arange(n)
-    rank = np.empty(len(i), dtype=np.int64)
-    rank[np.argsort(distance, kind="stable")] = np.arange(len(i))
-    at, by_rank = np.arange(len(i)), np.argsort(rank)
-    chosen: list[np.ndarray] = []
-    while True:
-        a, b = label[i[at]], label[j[at]]
-        apart = a != b
-        at, a, b = at[apart], a[apart], b[apart]
-        if not len(at):
-            break
-        best = np.full(n, len(i), dtype=np.int64)
-        np.minimum.at(best, a, rank[at])
-        np.minimum.at(best, b, rank[at])
-        picked = by_rank[np.unique(best[best < len(i)])]
-        chosen.append(picked)
-        parent = np.arange(n)
-        for x, y in zip(label[i[picked]].tolist(), label[j[picked]].tolist(), strict=True):
-            x, y = _root(parent, x), _root(parent, y)
-            parent[max(x, y)] = min(x, y)
-        label = _flat(parent)[label]
-    return np.concatenate(chosen) if chosen else np.empty(0, dtype=np.int64)
-
-
-def _candidates(rows: pd.DataFrame, names: Sequence[str], similarity: float, radii: tuple[int, int], is_open) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs (positions, distance) of a tile within the radii and similar in size, in order of the first one.
-
-    Rows are sorted by population count of the first word. ``is_open(a, b)`` says which pairs still matter.
-    """
-    first_radius, all_radius = radii
-    own = rows["side"].to_numpy() != 2
-    fps = rows[names].to_numpy(dtype=np.int64).view(np.uint64)
-    pops, sizes = rows["pop"].to_numpy(), rows["n"].to_numpy()
-    cross = not own.all()
-    first = np.ascontiguousarray(fps[:, 0])
-    starts = np.flatnonzero(own)
-    for at in range(0, len(starts), ROWS):
-        mine = starts[at : at + ROWS]
-        # Rows beyond the radius in population count are skipped as a block.
-        low, high = np.searchsorted(pops, [pops[mine[0]] - first_radius, pops[mine[-1]] + first_radius + 1])
-        theirs = np.arange(low, high)
-        theirs = theirs[~own[theirs]] if cross else theirs[theirs > mine[0]]
-        close = np.bitwise_count(first[mine][:, None] ^ first[theirs][None, :]) <= first_radius
-        a, b = np.nonzero(close)
-        a, b = mine[a], theirs[b]
-        if not cross:
-            a, b = a[a < b], b[a < b]
-        few, many = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-        fit = few >= similarity * many
-        a, b = a[fit], b[fit]
-        for part in range(0, len(a), PAIRS):
-            x, y = a[part : part + PAIRS], b[part : part + PAIRS]
-            matter = is_open(x, y)
-            x, y = x[matter], y[matter]
-            distance = np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1, dtype=np.int64)
-            near = distance <= all_radius
-            if near.any():
-                yield x[near], y[near], distance[near]
-
-
-def _per_tile(names: Sequence[str], work):
-    """``work`` on the rows of one tile after the other, sorted by population count of the first word."""
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        now = None
-        for frame in frames:
-            for tile, rows in frame.groupby("tile", sort=False):
-                if tile != now and held:
-                    yield done(held)
-                    held = []
-                now = tile
-                held.append(rows)
-        if held:
-            yield done(held)
-
-    def done(held: list[pd.DataFrame]) -> pd.DataFrame:
-        rows = pd.concat(held)
-        pops = np.bitwise_count(rows[names[0]].to_numpy(dtype=np.int64).view(np.uint64)).astype(np.int64)
-        return work(rows.assign(pop=pops).sort_values("pop", kind="stable", ignore_index=True))
-
-    return run
-
-
-def _ends(names: Sequence[str], similarity: float, radii: tuple[int, int]):
-    """Keys of a tile's rows that have a candidate link."""
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        seen = np.zeros(len(rows), dtype=bool)
-        for a, b, _ in _candidates(rows, names, similarity, radii, lambda a, b: ~(seen[a] & seen[b])):
-            seen[a] = seen[b] = True
-        return rows.loc[seen, ["key"]]
-
-    return _per_tile(names, work)
+def link_groups(df: DataFrame, identity: str, text: str = "text", size: int = 3, radius: int = 3) -> DataFrame:
+    """``identity, fingerprint, component_id``: the smallest id reachable over fingerprints within the radius."""
+    docs = df.select(F.col(f"`{identity}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    docs = settled(fingerprints(docs, "fp", "text", size).select("id", "fp"), "fingerprints")
+    member = _members(docs, radius)
+    named = member.join(member.groupBy("root").agg(F.min("least")["id"].alias("component_id")), "root").select("fp", "component_id")
+    return docs.join(named, "fp").select(F.col("id").alias(identity), hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def _proven(names: Sequence[str], similarity: float, radii: tuple[int, int]):
-    """Links that span what the whole shingle sets ``s`` of a tile prove similar.
+def near_dedup(df: DataFrame, identity: str, text: str = "text", size: int = 3, radius: int = 3) -> DataFrame:
+    """One row of each group of :func:`link_groups`, with all columns: the one with the smallest id.
 
-    Every candidate link is tested, unless links proven before already join its ends.
+    A null id is the largest. Where several rows of a group have the smallest id, one of them stays.
     """
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        sizes, keys = rows["n"].to_numpy().astype(np.int64), rows["key"].to_numpy()
-        values, ids = np.unique(np.concatenate(rows.pop("s").to_list()), return_inverse=True)
-        offsets = np.cumsum(sizes) - sizes
-        held, label = np.zeros(len(values), dtype=bool), np.arange(len(rows))
-        out: list[tuple[int, int]] = []
-
-        def in_both(others: np.ndarray) -> np.ndarray:
-            n = sizes[others]
-            at = np.cumsum(n) - n
-            found = held[ids[np.repeat(offsets[others] - at, n) + np.arange(n.sum())]]
-            return np.add.reduceat(found, at, dtype=np.int64)
-
-        def test(x: int, others: np.ndarray) -> None:
-            own = ids[offsets[x] : offsets[x] + sizes[x]]
-            held[own] = True
-            step, most = 8, max(8, SHINGLES // max(1, int(sizes[others].max())))
-            while len(others := others[label[others] != label[x]]):
-                some, others = others[:step], others[step:]
-                both = in_both(some)
-                for y in some[both >= similarity * (sizes[x] + sizes[some] - both)].tolist():
-                    if label[x] != label[y]:
-                        out.append((x, y))
-                        label[label == label[y]] = label[x]
-                step = min(2 * step, most)
-            held[own] = False
-
-        for a, b, distance in _candidates(rows, names, similarity, radii, lambda a, b: label[a] != label[b]):
-            order = np.lexsort((distance, a))  # the nearest first: they are the likeliest to join
-            a, b = a[order], b[order]
-            cuts = np.flatnonzero(np.diff(a)) + 1
-            for x, others in zip(a[np.r_[0, cuts]].tolist(), np.split(b, cuts), strict=True):
-                test(x, others)
-        links = np.array(out, dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": keys[links[:, 0]], "b": keys[links[:, 1]]})
-
-    return _per_tile(names, work)
-
-
-def _tiled(texts: DataFrame, similarity: float, columns: Sequence[str], tile: int) -> DataFrame:
-    """``tile, side`` and the columns, sorted by tile: each pair of texts near enough in size ``n`` meets in one tile."""
-    step = -math.log(similarity)
-    classed = texts.withColumn("c", F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(step)).cast("int"))
-    weight = F.count(F.lit(1)) / F.lit(tile)
-    if "s" in columns:  # sets are held whole
-        weight = F.greatest(weight, F.sum("n") / F.lit(SHINGLES))
-    sizes = classed.groupBy("c").agg(F.ceil(weight).cast("int").alias("subs"))
-    sizes = settled(sizes, "size-classes")  # one row per size class: few, whatever the input
-    piece = sizes.select("c", "subs", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
-    left, right = piece.withColumn("partner", F.explode(F.array("c", F.col("c") + 1))).alias("l"), piece.alias("r")
-    same = (F.col("l.c") == F.col("r.c")) & (F.col("l.sub") <= F.col("r.sub"))
-    meets = left.join(right, (F.col("l.partner") == F.col("r.c")) & (same | (F.col("l.c") != F.col("r.c"))))
-    alone = same & (F.col("l.sub") == F.col("r.sub"))
-    sides = F.when(alone, F.array(F.struct(F.col("l.c").alias("c"), F.col("l.sub").alias("sub"), F.lit(0).alias("side")))).otherwise(
-        F.array(
-            F.struct(F.col("l.c").alias("c"), F.col("l.sub").alias("sub"), F.lit(1).alias("side")),
-            F.struct(F.col("r.c").alias("c"), F.col("r.sub").alias("sub"), F.lit(2).alias("side")),
-        )
-    )
-    meets = meets.select(F.concat_ws(",", "l.c", "l.sub", "r.c", "r.sub").alias("tile"), F.explode(sides).alias("p")).select("tile", "p.*")
-    placed = (
-        classed.join(F.broadcast(sizes), "c")
-        .withColumn("sub", F.pmod(F.xxhash64("key"), F.col("subs")).cast("int"))
-        .join(meets, ["c", "sub"])
-        .select("tile", "side", *columns)
+    fp, least, often = (free_name(df, n) for n in ("_fp", "_least", "_often"))
+    # Whole rows are written once, with their fingerprints; they move once more, by fingerprint and id, and few share both.
+    marked = settled(fingerprints(df, fp, text, size), "marked")
+    member = _members(marked.select(F.col(f"`{identity}`").alias("id"), F.col(fp).alias("fp")), radius)
+    best = member.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("b")).select(
+        F.col("b.fp").alias(fp), F.col("b.least.id").alias(least)
     )
-    return placed.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tile").sortWithinPartitions("tile")
-
-
-def similar_ends(texts: DataFrame, similarity: float, words_: int = WORDS, tile: int = WIDE_TILE) -> DataFrame:
-    """``key``, repeated, of the texts whose fingerprint is near another one; ``n`` is the number of distinct shingles."""
-    names = [f"fp{k}" for k in range(words_)]
-    radii = (FIRST_RADIUS, int(ALL_RADIUS * 64 * words_))
-    return _tiled(texts, similarity, ["key", "n", *names], tile).mapInPandas(_ends(names, similarity, radii), T.StructType([texts.schema["key"]]))
-
-
-def similar_links(texts: DataFrame, similarity: float, words_: int = WORDS, tile: int = WIDE_TILE) -> DataFrame:
-    """Links (a, b) of ``key`` that span what fingerprints find near and the sets of shingles ``s`` prove similar."""
-    names = [f"fp{k}" for k in range(words_)]
-    radii = (FIRST_RADIUS, int(ALL_RADIUS * 64 * words_))
-    key_type = dict(texts.dtypes)["key"]
-    tiles = _tiled(texts, similarity, ["key", "n", *names, "s"], tile)
-    return tiles.mapInPandas(_proven(names, similarity, radii), f"a {key_type}, b {key_type}")
-
-
-def near_dedup(df: DataFrame, identity: str, text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group of near duplicates, with all columns: the one with the smallest id.
-
-    Links join texts whose sets of ``size``-word shingles have a Jaccard similarity of at least
-    ``similarity``; equal word sequences are one text.
-    """
-    key = free_name(df, "_text_key")
-    keyed = df.withColumn(key, F.md5(_normal(F.col(f"`{text}`"))))
-    slim = keyed.select(F.col(key).alias("key"), F.col(f"`{identity}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    hashed = slim.select("key", "id", _shingle_set(_normal(F.col("text")), size).alias("s"))
-    marks = settled(set_fingerprints(hashed, ["key", "id"], "s", WORDS), "fingerprints")
-    names = [f"fp{k}" for k in range(WORDS)]
-    # A null id is the largest; a repeated id is counted, to keep one of its rows.
-    order = F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"))
-    texts = settled(
-        marks.groupBy("key", "n", *names).agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("copies")), "distinct-texts"
+    again = marked.groupBy(fp, F.col(f"`{identity}`").alias(least)).agg((F.count(F.lit(1)) > 1).alias(often)).filter(F.col(often))
+    best = best.join(again, (best[fp] == again[fp]) & best[least].eqNullSafe(again[least]), "left").select(
+        best[fp], best[least], F.coalesce(F.col(often), F.lit(False)).alias(often)
     )
-    ends = settled(similar_ends(texts.select("key", "n", *names), similarity), "candidates").distinct()
-    sets = slim.join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    sets = sets.select("key", _shingle_set(_normal(F.col("text")), size).alias("s"))
-    whole = settled(texts.select("key", "n", *names).join(sets, "key"), "shingle-sets")
-    roots = components(settled(similar_links(whole, similarity), "proven-links"))
-    member = texts.join(roots, texts["key"] == roots["node"], "left").select("key", "least", "copies", F.coalesce("root", "key").alias("root"))
-    member = settled(member, "members")
-    winner = member.groupBy("root").agg(F.min(F.struct("least", "key")).alias("w"))
-    winner = winner.select(F.col("w.key").alias(key), F.col("w.least.id").alias("least_id"))
-    repeated = marks.groupBy("key", "id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias(key), F.col("id").alias("r_id"))
-    kept = keyed.join(winner, [key]).filter(F.col(f"`{identity}`").eqNullSafe(F.col("least_id"))).drop("least_id")
-    again = repeated.select(key, F.col("r_id").alias("_r"), F.lit(True).alias("_again"))
-    flagged = kept.join(again, (kept[key] == again[key]) & kept[identity].eqNullSafe(again["_r"]), "left").drop(again[key]).drop("_r")
-    single = flagged.filter(F.col("_again").isNull())
-    rest = flagged.filter(F.col("_again")).dropDuplicates([key])
-    return single.unionAll(rest).select(*[F.col(f"`{c}`") for c in df.columns])
+    best = settled(best, "kept")
+    kept = marked.join(best, (marked[fp] == best[fp]) & marked[identity].eqNullSafe(best[least])).drop(best[fp], best[least])
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    once = kept.filter(~F.col(often)).select(*columns)
+    return once.unionAll(kept.filter(F.col(often)).dropDuplicates([fp]).select(*columns))

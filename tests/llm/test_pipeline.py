@@ -48,11 +48,8 @@ def without_boilerplate(docs):
 
 
 def one_of_each(docs):
-    sets = []
-    for _, t, _ in docs:
-        ws = (t or "").encode().lower().split()
-        sets.append({tuple(ws[k : k + 5]) for k in range(len(ws) - 4)} or {tuple(ws)})
-    group = brute.groups(range(len(docs)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    fps = [brute.simhash(t, 3) for _, t, _ in docs]
+    group = brute.groups(range(len(docs)), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
     best = {}
     for k, (i, _, _) in enumerate(docs):
         rank = (i is None, i or 0, k)
@@ -114,9 +111,9 @@ def test_rows_are_those_of_the_plain_version(spark, corpus):
     assert all(r.parity and r.round_trip and r.n_tokens == len(r.ids) for r in got)
     kept = {r.doc_id for r in got}
     assert set(range(24)) | {130} <= kept and not kept & {131, 132, 133}
-    assert sorted(map(str, kept & {None, 100, 101, 102, 110, 120, 121, 122, 123, 124, 125})) == []
+    assert 100 in kept and sorted(map(str, kept & {None, 102, 110, 120, 121, 122, 123, 124, 125})) == []
 
 
 def test_queries_are_registered():
     names = list(entry.queries())
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
