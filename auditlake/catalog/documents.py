@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from auditlake.catalog.registry import query, table
 from auditlake.functions import text as X
-from auditlake.operators import context, documents, intervals
+from auditlake.operators import cohesion, context, documents, intervals
 from auditlake.operators.guard import lint
 from auditlake.sources.text import entity_names, html_text, validate_records
 
@@ -93,6 +93,49 @@ def segments(spark, sf_dir):
     return segments_of(spark, sf_dir)
 
 
+# Word sets around each gap, valleys by runs that fall towards them, and cuts at deep ones.
+TOPICS = rf"""
+    m AS (SELECT l.doc_id, chunk_no, start_line_no, line_no, line, line_no - start_line_no AS i,
+                 list_distinct(list_filter(regexp_extract_all(lower(line), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= {cohesion.LETTERS})) AS ws
+          FROM l JOIN c ON l.doc_id = c.doc_id AND line_no BETWEEN start_line_no AND end_line_no),
+    e AS (SELECT doc_id, chunk_no, i, unnest(ws) AS w FROM m),
+    sa AS (SELECT DISTINCT doc_id, chunk_no, gap, w FROM (SELECT *, unnest(range(i, i + {cohesion.WINDOW})) AS gap FROM e)),
+    sb AS (SELECT DISTINCT doc_id, chunk_no, gap, w FROM (SELECT *, unnest(range(i - {cohesion.WINDOW}, i)) AS gap FROM e)),
+    na AS (SELECT doc_id, chunk_no, gap, count(*) AS a FROM sa GROUP BY ALL), nb AS (SELECT doc_id, chunk_no, gap, count(*) AS b FROM sb GROUP BY ALL),
+    ab AS (SELECT doc_id, chunk_no, gap, count(*) AS x FROM sa JOIN sb USING (doc_id, chunk_no, gap, w) GROUP BY ALL),
+    v AS (SELECT m.doc_id, m.chunk_no, m.i AS gap, CASE WHEN x > 0 THEN CAST(floor(1000 * x / sqrt(CAST(a AS DOUBLE) * b) + 1e-9) AS BIGINT) ELSE 0 END AS s
+          FROM m JOIN m AS nx ON nx.doc_id = m.doc_id AND nx.chunk_no = m.chunk_no AND nx.i = m.i + 1
+          LEFT JOIN ab ON ab.doc_id = m.doc_id AND ab.chunk_no = m.chunk_no AND ab.gap = m.i
+          LEFT JOIN na ON na.doc_id = m.doc_id AND na.chunk_no = m.chunk_no AND na.gap = m.i
+          LEFT JOIN nb ON nb.doc_id = m.doc_id AND nb.chunk_no = m.chunk_no AND nb.gap = m.i),
+    rn AS (SELECT *, sum(CASE WHEN ps >= s THEN 0 ELSE 1 END) OVER o AS lr, sum(CASE WHEN xs >= s THEN 0 ELSE 1 END) OVER r AS rr
+           FROM (SELECT *, lag(s) OVER o AS ps, lead(s) OVER o AS xs FROM v WINDOW o AS (PARTITION BY doc_id, chunk_no ORDER BY gap))
+           WINDOW o AS (PARTITION BY doc_id, chunk_no ORDER BY gap), r AS (PARTITION BY doc_id, chunk_no ORDER BY gap DESC)),
+    dp AS (SELECT *, max(s) OVER (PARTITION BY doc_id, chunk_no, rr) AS rise, max(s) OVER (PARTITION BY doc_id, chunk_no, lr) + rise - 2 * s AS depth FROM rn),
+    ct AS (SELECT doc_id, chunk_no, gap + 1 AS i FROM (SELECT *, sum(depth) OVER (PARTITION BY doc_id, chunk_no) AS total,
+                  count(*) OVER (PARTITION BY doc_id, chunk_no) AS n FROM dp)
+           WHERE ps > s AND rise > s AND depth >= {cohesion.LEAST_DEPTH} AND depth * n > total),
+    f AS (SELECT m.*, sum(CASE WHEN i = 0 OR regexp_matches(line, '^#{{1,6}}\s') OR ct.i IS NOT NULL THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY m.doc_id, m.chunk_no ORDER BY line_no) AS block FROM m LEFT JOIN ct USING (doc_id, chunk_no, i)),
+    p AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, chunk_no, block ORDER BY line_no) - 1) // 12 AS piece FROM f),
+    g AS (SELECT doc_id, chunk_no, block, piece, min(line_no) AS first_no, max(line_no) AS last_no, string_agg(line, chr(10) ORDER BY line_no) AS segment_text
+          FROM p GROUP BY ALL)
+"""
+
+
+@query(
+    "topic_segments",
+    f"""
+    WITH {LINES}, {CHUNKS}, {TOPICS}
+    SELECT doc_id || '-' || chunk_no || '-' || (row_number() OVER (PARTITION BY doc_id, chunk_no ORDER BY block, piece) - 1) AS segment_id, segment_text,
+           doc_id AS filename, first_no AS segment_start_line_no_global, last_no AS segment_end_line_no_global FROM g
+    """,
+)
+def topic_segments(spark, sf_dir):
+    """Segments cut where neighbouring lines share fewest words."""
+    return documents.segments(table(spark, sf_dir, "documents"), "doc_id", "text", CHUNK_SIZE, 12, cohesion.cohesive_starts())
+
+
 @query(
     "global_lines",
     f"""
@@ -423,3 +466,41 @@ _CONDENSE = r"""
 def condense_lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return context.condense(docs, "text", threshold=12, words=300, chunk_lines=10)
+
+
+# One round; each step of a chunk takes the line with most new weight per word that still fits.
+_COVERED = r"""
+    WITH RECURSIVE r0 AS (SELECT doc_id, text, string_split(CASE WHEN ends_with(x, chr(10)) THEN x[:-2] ELSE x END, chr(10)) AS ls
+                FROM (SELECT doc_id, text, regexp_replace(text, '\r\n?', chr(10), 'g') AS x FROM documents) WHERE x <> ''),
+    z AS (SELECT doc_id, pos, (pos - 1) // 10 AS ch, ceil(n / 10.0) AS chunks, regexp_replace(line, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS line
+          FROM (SELECT doc_id, len(ls) AS n, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM r0 WHERE len(ls) >= 12)),
+    y AS (SELECT doc_id, ch, chunks, line, min(pos) AS pos, regexp_extract_all(lower(line), '[\p{L}\p{N}_]+') AS ws FROM z GROUP BY ALL),
+    k AS (SELECT doc_id, ch, chunks, line, pos, len(ws) AS n, list_distinct(list_filter(ws, lambda w: length(w) >= 4)) AS ts FROM y),
+    wt AS (SELECT doc_id, ch, t, count(*) AS w FROM (SELECT doc_id, ch, unnest(ts) AS t FROM k) GROUP BY ALL),
+    kt AS (SELECT doc_id, ch, pos, list({'t': t, 'w': w}) AS tw FROM (SELECT doc_id, ch, pos, unnest(ts) AS t FROM k) JOIN wt USING (doc_id, ch, t) GROUP BY ALL),
+    cs AS MATERIALIZED (SELECT doc_id, ch, any_value(chunks) AS chunks, count(*) AS c, list({'pos': pos, 'n': n, 'tw': coalesce(tw, [])} ORDER BY pos) AS cs
+           FROM k LEFT JOIN kt USING (doc_id, ch, pos) GROUP BY 1, 2),
+    g(doc_id, ch, step, covered, picked, room, most) AS (
+        SELECT doc_id, ch, 0, CAST([] AS VARCHAR[]), CAST([] AS BIGINT[]), CAST(greatest(50, floor(120 / chunks)) AS BIGINT), CAST(ceil(c / 2.0) AS BIGINT) FROM cs
+        UNION ALL
+        SELECT doc_id, ch, step + 1, list_concat(covered, list_transform(best.tw, lambda x: x.t)), list_append(picked, best.pos), room - best.n, most
+        FROM (SELECT g.*, list_sort(list_transform(list_filter(cs.cs, lambda x: x.n <= g.room AND NOT list_contains(g.picked, x.pos)), lambda x: {
+                'score': -(coalesce(list_sum(list_transform(list_filter(x.tw, lambda y: NOT list_contains(g.covered, y.t)), lambda y: y.w)), 0) * 1000 // greatest(x.n, 1)),
+                'pos': x.pos, 'n': x.n, 'tw': x.tw}))[1] AS best
+              FROM g JOIN cs USING (doc_id, ch) WHERE len(g.picked) < g.most)
+        WHERE best.score < 0),
+    e AS (SELECT doc_id, ch, picked, room FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, ch ORDER BY step DESC) = 1),
+    few AS (SELECT doc_id, ch, line AS line, CAST(greatest(50, floor(120 / chunks)) AS BIGINT) AS share FROM k
+            QUALIFY row_number() OVER (PARTITION BY doc_id, ch ORDER BY n, pos) = 1),
+    part AS (SELECT e.doc_id, e.ch, CASE WHEN len(picked) > 0 THEN string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (WHERE list_contains(picked, k.pos))
+                    ELSE any_value(array_to_string(string_split(few.line, ' ')[1:share], ' ')) END AS part
+             FROM e JOIN k USING (doc_id, ch) JOIN few USING (doc_id, ch) GROUP BY e.doc_id, e.ch, picked),
+    j AS (SELECT doc_id, string_agg(part, chr(10) || chr(10) ORDER BY ch) AS x FROM part GROUP BY 1)
+    SELECT doc_id, coalesce(x, text) AS text FROM documents LEFT JOIN j USING (doc_id)
+"""
+
+
+@query("condense_by_weight", _COVERED)
+def condense_by_weight(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return context.condense_by_weight(docs, "text", threshold=12, words=120, chunk_lines=10, rounds=1)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.text import chunk_word_limit, lines, strip, tokens
+from auditlake.functions.text import chunk_word_limit, line_count, lines, strip, tokens
 from auditlake.plans.scan import bucket_of, prior
 from auditlake.session import materialize
 
@@ -117,6 +120,82 @@ def condense(docs: DataFrame, text: str, threshold: int = 500, words: int = 10_0
     return docs.withColumn(text, F.coalesce(done, F.col(text)))
 
 
+#: Letters of a word that a condensed text should keep.
+_LETTERS = 4
+_TOKEN = re.compile(r"\w+")
+
+
+def covering_lines(body: list[str], limit: int) -> list[int]:
+    """Positions of lines that cover most of a text's words, in ``limit`` words and half of the lines at most.
+
+    A word weighs as many as the lines that hold it; it counts once. The line with most new weight
+    per word is taken next, the earliest of equals. Gains only fall as lines are taken, so a line is
+    weighed anew only when it comes to the top.
+    """
+    spoken = [_TOKEN.findall(x.lower()) for x in body]
+    held = [{w for w in s if len(w) >= _LETTERS} for s in spoken]
+    weight = Counter(w for h in held for w in h)
+    covered: set[str] = set()
+
+    def score(k: int) -> int:
+        return sum(weight[w] for w in held[k] - covered) * 1000 // max(1, len(spoken[k]))
+
+    queue = [(-score(k), k) for k in range(len(body))]
+    heapq.heapify(queue)
+    taken: list[int] = []
+    while queue and len(taken) < (len(body) + 1) // 2:
+        told, k = heapq.heappop(queue)
+        if told == 0:
+            break
+        if len(spoken[k]) > limit:
+            continue
+        now = -score(k)
+        if now != told:
+            heapq.heappush(queue, (now, k))
+            continue
+        taken.append(k)
+        covered |= held[k]
+        limit -= len(spoken[k])
+    return sorted(taken)
+
+
+def _covered(body: list[str], words: int, chunk_lines: int) -> list[str]:
+    """One round over the chunks of a text, a blank line between them."""
+    chunks, out = -(-len(body) // chunk_lines), []
+    limit = max(50, words // chunks)
+    for at in range(0, len(body), chunk_lines):
+        part = list(dict.fromkeys(x.strip() for x in body[at : at + chunk_lines]))
+        kept = covering_lines(part, limit)
+        chosen = [part[k] for k in kept] or [" ".join(min(part, key=lambda x: len(_TOKEN.findall(x))).split(" ")[:limit])]
+        out += ([""] if out else []) + chosen
+    return out
+
+
+def condense_by_weight(
+    docs: DataFrame, text: str, threshold: int = 500, words: int = 10_000, chunk_lines: int = CHUNK_LINES, rounds: int | None = None
+) -> DataFrame:
+    """As :func:`condense`, keeping in each chunk the lines that cover most of its words (:func:`covering_lines`).
+
+    ``rounds`` bounds the number of rounds; without it they go on until the text is below ``threshold`` lines.
+    Only long texts leave Spark; each is worked on alone.
+    """
+    if threshold < 2 or chunk_lines < 6:
+        raise ValueError("a threshold of 2 lines and chunks of 6 lines at least")
+
+    def shorter(value: str) -> str:
+        body, done = value.replace("\r\n", "\n").replace("\r", "\n").removesuffix("\n").split("\n"), 0
+        while len(body) >= threshold and (rounds is None or done < rounds):
+            body, done = _covered(body, words, chunk_lines), done + 1
+        return "\n".join(body)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: None if t is None else shorter(t))
+
+    long = F.when(line_count(text) >= threshold, F.col(text))
+    return docs.withColumn(text, F.coalesce(F.pandas_udf(run, "string")(long), F.col(text)))
+
+
 def column_listing(columns: DataFrame) -> DataFrame:
     """Listing lines of dataset columns by file: ``file, ordinal, line``; ordinal 0 is the heading."""
     heads = columns.select("file").distinct().select(

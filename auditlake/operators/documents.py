@@ -6,6 +6,8 @@ until the final explode: no shuffle of text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,10 +105,13 @@ def segment_bounds(blocks: Column, count: Column, max_lines: int) -> Column:
     return F.flatten(F.transform(blocks, cut))
 
 
-def segments(docs: DataFrame, key: str, text: str, size: int, max_lines: int) -> DataFrame:
+def segments(
+    docs: DataFrame, key: str, text: str, size: int, max_lines: int, starts: Callable[[Column], Column] = block_starts
+) -> DataFrame:
     """Cut every chunk of every document into segments with global line numbers.
 
-    A segment begins where a block does and holds at most ``max_lines`` lines.
+    A segment begins where a block does and holds at most ``max_lines`` lines. ``starts`` tells of an
+    array of lines where blocks begin, the first line being one (:mod:`auditlake.operators.cohesion` cuts by topic).
     """
     step = _step(size)
     body = docs.select(key, lines(text).alias("_lines"))
@@ -115,7 +120,7 @@ def segments(docs: DataFrame, key: str, text: str, size: int, max_lines: int) ->
         "_lines",
         F.explode(F.sequence(F.lit(0).cast("bigint"), _last_chunk(F.size("_lines"), size))).alias("chunk_no"),
     ).select(key, "chunk_no", F.slice("_lines", (F.col("chunk_no") * step + 1).cast("int"), size).alias("_part"))
-    blocks = chunked.select(key, "chunk_no", "_part", block_starts(F.col("_part")).alias("_starts"))
+    blocks = chunked.select(key, "chunk_no", "_part", starts(F.col("_part")).alias("_starts"))
     bounds = segment_bounds(F.col("_starts"), F.size("_part"), max_lines)
     cut = blocks.select(key, "chunk_no", "_part", F.posexplode(bounds).alias("segment_no", "_b"))
     start = F.lit(1) + F.col("chunk_no") * step
