@@ -9,7 +9,8 @@ from auditlake.catalog.registry import query, table
 from auditlake.functions import text as X
 from auditlake.operators import cohesion, context, documents, intervals
 from auditlake.operators.guard import lint
-from auditlake.sources.text import entity_names, html_text, validate_records
+from auditlake.session import fresh_path
+from auditlake.sources.text import entity_names, html_text, read_lines, validate_records
 
 # Lines of the documents, the last empty element after a final break dropped.
 LINES = r"""
@@ -58,6 +59,26 @@ def _ranges(spark, sf_dir):
     return documents.chunk_ranges(totals, "doc_id", "total_lines", CHUNK_SIZE)
 
 
+@query(
+    "file_lines",
+    r"""
+    WITH p AS (SELECT source, doc_id % 16 AS slot, doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS a FROM documents),
+    l AS (SELECT source, slot, doc_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS line FROM p)
+    SELECT source, slot, row_number() OVER (PARTITION BY source, slot ORDER BY doc_id, i) AS line_no, line FROM l
+    """,
+)
+def file_lines(spark, sf_dir):
+    """Documents written to text files, sixteen for each source, and their lines read from splits."""
+    docs = table(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 16).alias("slot"), "doc_id", "text")
+    folder = fresh_path(spark, "text-files")
+    placed = docs.repartition("source", "slot").sortWithinPartitions("source", "slot", "doc_id")
+    placed.select("source", "slot", "text").write.partitionBy("source", "slot").text(folder)
+    path = r"/source=([^/]*)/slot=([0-9]+)/"
+    return read_lines(spark, folder, "*.txt").select(
+        F.regexp_extract("filename", path, 1).alias("source"), F.regexp_extract("filename", path, 2).cast("bigint").alias("slot"), "line_no", "line"
+    )
+
+
 @query("chunk_ranges", f"WITH {LINES}, {CHUNKS} SELECT doc_id, chunk_no, start_line_no, end_line_no FROM c")
 def chunk_ranges(spark, sf_dir):
     return _ranges(spark, sf_dir)

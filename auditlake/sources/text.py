@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.functions.text import SPACE, character, replace_each, strip, strip_fence
+from auditlake.plans.sized import lookup_join
+from auditlake.session import materialize
 
 
 def read_documents(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
@@ -21,6 +23,27 @@ def read_documents(spark: SparkSession, folder: str, pattern: str = "*.md") -> D
     )
 
 
+def read_lines(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
+    """Numbered lines of all text files below a folder: ``filename, line_no, line``, as of :func:`doc_lines`.
+
+    A file may be of any size: it is read in splits, lines are counted per split, and the sums of the splits
+    before it give the number of its first line. Files are read twice and must not change meanwhile.
+    """
+    rows = (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
+        .select(
+            F.col("_metadata.file_path").alias("filename"), F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"),
+        )
+    )
+    # Ids rise by one along a split, whichever task reads it; a file has as many splits as blocks.
+    counted = rows.groupBy("filename", "split").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("filename").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    starts = materialize(counted.select("filename", "split", (F.col("first") - F.coalesce(before, F.lit(0))).alias("zero")), "line-starts")
+    placed = lookup_join(rows, starts, ["filename", "split"])
+    return placed.select("filename", (F.col("id") - F.col("zero") + 1).alias("line_no"), "line")
+
+
 # Entities of HTML text, the ampersand last so that none is decoded twice.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 # Names of further characters; letters with an accent follow a rule.

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -43,13 +43,43 @@ def _table(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Parts of the index of processed keys.
+KEY_BUCKETS = 64
+
+
+def _batches(spark: SparkSession, path: str) -> set[str]:
+    """Names of the batch folders of a result table."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+    return {n.removeprefix("batch=") for n in names if n.startswith("batch=")}
+
+
+def processed_keys(spark: SparkSession, out: str, key: str, buckets: list[int], but: str) -> DataFrame | None:
+    """Keys in ``out`` of some buckets, other than those of one batch; None where there are none.
+
+    They come from the index beside the table, a narrow table of keys in which only these buckets
+    are read. Batches that the index lacks, as of an older run, are read from the table itself.
+    """
+    listed, written = _batches(spark, f"{out}_keys"), _batches(spark, out)
+    found = []
+    if listed - {but}:
+        rows = spark.read.option("basePath", f"{out}_keys").parquet(*[f"{out}_keys/batch={n}" for n in sorted(listed - {but})])
+        found.append(rows.filter(F.col("bucket").isin(buckets)).select(key))
+    if written - listed - {but}:
+        rows = spark.read.parquet(*[f"{out}/batch={n}" for n in sorted(written - listed - {but})])
+        found.append(rows.select(key))
+    return reduce(DataFrame.unionByName, found).distinct() if found else None
+
+
 def process_new(source: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
     """Run ``work`` once per unseen key and append its rows to ``out``.
 
     A key counts as processed once a row of it is in ``out``, whatever run wrote it; ``work``
     keeps the key column. Each batch of a checkpoint writes its own folder, so a batch that is
     run again after a failure replaces what it wrote before, and a new checkpoint adds to what
-    is there. Of rows with the same key the one with the smallest hash is taken.
+    is there. Of rows with the same key the one with the smallest hash is taken. Keys are kept once
+    more in ``out`` + ``_keys``, by bucket: a batch reads those of its own buckets, not the results.
     """
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
@@ -57,45 +87,48 @@ def process_new(source: DataFrame, key: str, work: Callable[[DataFrame], DataFra
         spark, name = rows.sparkSession, f"{run}-{number}"
         whole = F.struct(F.xxhash64(*rows.columns), *rows.columns)
         fresh = rows.groupBy(F.col(key).alias("_key")).agg(F.min(whole).alias("_row")).select("_row.*").select(*rows.columns)
-        if _exists(spark, out):
-            done = spark.read.parquet(out).filter(F.col("batch") != name).select(key).distinct()
+        bucket = F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int").alias("bucket")
+        buckets = sorted(r["bucket"] for r in rows.select(bucket).distinct().collect())  # at most KEY_BUCKETS
+        done = processed_keys(spark, out, key, buckets, name)
+        if done is not None:
             fresh = fresh.join(done, key, "left_anti")
         work(fresh).write.mode("overwrite").parquet(f"{out}/batch={name}")
+        kept = spark.read.parquet(f"{out}/batch={name}").select(key).distinct().select(key, bucket)
+        kept.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}_keys/batch={name}")
 
     _finish(source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint))
 
 
+def _merged(parts: DataFrame) -> DataFrame:
+    """Counts of parts added up; the last value is that of the latest time, the largest of equals."""
+    whole = parts.groupBy("run_id", "event", "window_start").agg(F.sum("n").alias("n"), F.max(F.struct("last_ts", "last_score")).alias("l"))
+    return whole.select("run_id", "event", "window_start", "n", "l.last_ts", "l.last_score")
+
+
 def event_counts(
-    events: DataFrame, run: str, event: str, ts: str, out: str, checkpoint: str, window: str = "1 day", late: str | None = None
+    events: DataFrame, run: str, event: str, ts: str, out: str, checkpoint: str, window: str = "1 day"
 ) -> DataFrame:
     """Counts and last value per run, event and time window, kept up to date.
 
-    ``events`` is a stream with a ``score`` column. Every batch appends only the changed
-    counters; the newest counter per key is the state. Every event counts, however late; a
-    bound ``late`` forgets windows that old and so drops what still comes for them.
+    ``events`` is a stream with a ``score`` column. A batch adds its own counts to the table, where those of
+    a window add up: nothing is held between batches, no window is ever closed, and an event counts
+    however late it comes. A batch that is run again replaces what it wrote. Batches of other
+    checkpoints count as well, so each event must reach one checkpoint only.
     """
     plain = dict(events.dtypes)[ts] == "timestamp_ntz"
     # A time without zone counts as UTC, whatever the session's zone.
-    timed = events.withColumn("_ts", F.to_timestamp(F.concat(F.col(ts).cast("string"), F.lit("Z"))) if plain else F.col(ts))
-    counted = (
-        (timed if late is None else timed.withWatermark("_ts", late))
-        .groupBy(F.window("_ts", window), F.col(run).alias("run_id"), F.col(event).alias("event"))
-        .agg(F.count(F.lit(1)).alias("n"), F.max_by("score", "_ts").alias("last_score"))
-        .select("run_id", "event", F.col("window.start").alias("window_start"), "n", "last_score")
+    time = F.to_timestamp(F.concat(F.col(ts).cast("string"), F.lit("Z"))) if plain else F.col(ts)
+    single = events.select(
+        F.col(run).alias("run_id"), F.col(event).alias("event"), F.window(time, window)["start"].alias("window_start"),
+        F.lit(1).cast("bigint").alias("n"), time.alias("last_ts"), F.col("score").alias("last_score"),
     )
+    schema, name = single.schema, hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def batch(rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    _finish(counted.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint))
-    spark = events.sparkSession
-    schema = counted.schema.add("batch", IntegerType())
-    return (
-        _table(spark, out, schema)
-        .groupBy("run_id", "event", "window_start")
-        .agg(F.max_by(F.struct("n", "last_score"), F.col("batch")).alias("s"))
-        .select("run_id", "event", "window_start", "s.*")
-    )
+        _merged(rows).write.mode("overwrite").parquet(f"{out}/batch={name}-{number}")
+
+    _finish(single.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint))
+    return _merged(_table(events.sparkSession, out, schema)).drop("last_ts")
 
 
 #: A key that expires is idle for a day.

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.operators import jobs
+from auditlake.operators import documents, jobs
 from auditlake.operators.decide import decided_records
 from auditlake.operators import ontology as O
 from auditlake.sources import csv as C
@@ -160,6 +160,63 @@ def test_a_new_checkpoint_knows_what_is_done(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == [1, 2, 3]
 
 
+def test_second_batch_reads_the_index_not_the_results(spark, tmp_path, monkeypatch):
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    plans = []
+
+    def run(keys, checkpoint=mark):
+        spark.createDataFrame([(k, f"text {k}") for k in keys], "k int, t string").coalesce(1).write.mode("append").parquet(source)
+
+        def work(rows):
+            plans.append(sorted(f.rsplit("/", 1)[0] for f in rows.inputFiles()))
+            return rows.withColumn("n", F.length("t"))
+
+        R.process_new(R.stream_parquet(spark, source), "k", work, out, checkpoint)
+        return sorted(r.k for r in spark.read.parquet(out).collect())
+
+    assert run(range(300)) == list(range(300)) and run([7, 300]) == list(range(301))
+    read = [p for p in plans[1] if str(tmp_path / "out") in p]
+    buckets = {p.rsplit("=", 1)[1] for p in read}
+    assert read and all("/out_keys/" in p for p in read) and len(buckets) <= R.KEY_BUCKETS
+    # A batch run again after its results were written, but not its keys, writes the same anew.
+    name = next(n for n in R._batches(spark, out) if n.endswith("-1"))
+    done = R.processed_keys(spark, out, "k", list(range(R.KEY_BUCKETS)), name)
+    assert sorted(r.k for r in done.collect()) == list(range(300))
+    for path in sorted((tmp_path / "out_keys" / f"batch={name}").rglob("*"), reverse=True):
+        path.unlink() if path.is_file() else path.rmdir()
+    (tmp_path / "out_keys" / f"batch={name}").rmdir()
+    assert run([300, 301], str(tmp_path / "other")) == list(range(302))
+
+
+def test_late_events_need_no_state(spark, tmp_path):
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    days = [("2024-03-01 09:00:00", 5.0), ("2024-01-01 10:00:00", 1.0), ("2024-03-01 08:00:00", 9.0), ("2024-01-01 12:00:00", 3.0), ("2024-01-01 12:00:00", 2.0)]
+    for day, value in days:
+        df = spark.createDataFrame([("r", "e", day, value)], "run string, e string, ts string, score double")
+        df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(source)
+        got = R.event_counts(R.stream_parquet(spark, source), "run", "e", "ts", out, mark)
+    assert sorted((str(r.window_start)[:10], r.n, r.last_score) for r in got.collect()) == [("2024-01-01", 3, 3.0), ("2024-03-01", 2, 5.0)]
+    assert not (tmp_path / "mark" / "state").exists()
+
+
+@pytest.mark.parametrize("size", ["40", "1000000"])
+def test_lines_of_files_in_splits(spark, tmp_path, size):
+    texts = {"a.md": "one\ntwo\r\nthree\rfour\n", "b.md": "", "c.md": "\n\nx", "d.md": "".join(f"line {k} é\n" for k in range(400)) + "end", "e.md": "\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = S.read_lines(spark, str(tmp_path))
+        got = sorted((r.filename.rsplit("/", 1)[1], r.line_no, r.line) for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    df = spark.createDataFrame(list(texts.items()), "name string, text string")
+    assert got == sorted((r.name, r.line_no, r.line) for r in documents.doc_lines(df, "name", "text").collect())
+
+
 def test_entities_of_all_kinds(spark):
     page = "<p>caf&eacute; &#8217;x&#x1F642; &Uuml;ber &amp;lt; &nope; &#0; &lt;b&gt; &ntilde;&ccedil;</p>"
     got = spark.createDataFrame([(page,)], "html string").select(S.html_text("html")).first()[0]
