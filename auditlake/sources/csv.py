@@ -48,18 +48,42 @@ def load_csv_folder(
     return tables
 
 
+#: Bytes up to which a file is read as a whole for its header, in one scan with all others of that kind.
+SMALL_FILE = 16 * 1024 * 1024
+
+
+def _sizes(spark: SparkSession, folder: str) -> dict[str, int]:
+    """CSV files directly below a folder with their bytes; outputs, which are folders, count by their first file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        raise FileNotFoundError(f"Dataset folder '{folder}' not found.")
+    found = {}
+    for status in fs.listStatus(path):
+        if status.getPath().getName().endswith(".csv"):
+            found[status.getPath().toString()] = SMALL_FILE + 1 if status.isDirectory() else status.getLen()
+    return found
+
+
 def csv_columns(spark: SparkSession, folder: str) -> DataFrame:
-    """Header columns of every CSV file: ``file, ordinal, column_name``.
+    """Header columns of every CSV file: ``file, ordinal, column_name``; blank names are dropped.
 
-    Only the first line of each file is read; blank names are dropped.
+    However many small files there are, one scan reads them; of a large file only the first line is read.
     """
-    kind = "file string, ordinal bigint, column_name string"
-    heads = []
-    for path in list_csv(spark, folder):
-        heads += [(path.rstrip("/").rsplit("/", 1)[-1], r["value"]) for r in spark.read.text(path).take(1)]
-    if not heads:
-        return spark.createDataFrame([], kind)
-    rows = spark.createDataFrame(heads, "file string, value string")
+    sizes = _sizes(spark, folder)
+    kind = "file string, value string"
+    large = sorted(f for f, size in sizes.items() if size > SMALL_FILE)
+    heads = [(f.rstrip("/").rsplit("/", 1)[-1], r["value"]) for f in large for r in spark.read.text(f).take(1)]
+    rows = spark.createDataFrame(heads, kind)
+    small = sorted(f for f, size in sizes.items() if 0 < size <= SMALL_FILE)
+    if small:
+        # Ids rise along a file, so the smallest one of its first block is that of its first line. A scan gives names as in URLs.
+        scan = spark.read.text(small).filter("_metadata.file_block_start = 0")
+        first = scan.select(F.col("_metadata.file_name").alias("url"), "value", F.monotonically_increasing_id().alias("id"))
+        paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in small]
+        names = spark.createDataFrame([(p.toUri().getRawPath().rsplit("/", 1)[-1], p.getName()) for p in paths], "url string, file string")
+        found = first.groupBy("url").agg(F.min_by("value", "id").alias("value")).join(names, "url")
+        rows = rows.unionByName(found.select("file", "value"))
     return rows.select("file", F.posexplode(clean_header(_cells())).alias("p", "column_name")).select(
         "file", (F.col("p") + 1).cast("bigint").alias("ordinal"), "column_name"
     )

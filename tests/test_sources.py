@@ -38,6 +38,24 @@ def test_csv_columns(spark, tmp_path):
     assert got == [("a.csv", 1, "id"), ("a.csv", 2, "name"), ("a.csv", 3, "x, y"), ("b.csv", 1, "col1")]
 
 
+def test_many_headers_in_one_job(spark, tmp_path, monkeypatch):
+    for k in range(300):
+        (tmp_path / f"t {k:03d}.csv").write_text(f"id,name {k}\n" + "1,2\n" * (k % 7))
+    (tmp_path / "big.csv").write_text("a,b\n" + "1,2\n" * 40_000)
+    spark.range(1).selectExpr("1 AS x", "2 AS y").write.option("header", True).csv(str(tmp_path / "out.csv"))
+    monkeypatch.setattr(C, "SMALL_FILE", 100_000)
+    group = "headers"
+    spark.sparkContext.setJobGroup(group, "")
+    rows = C.csv_columns(spark, str(tmp_path)).collect()
+    jobs_run = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("rest", "")
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.file, r.ordinal)):
+        got.setdefault(r.file, []).append(r.column_name)
+    assert got == {f"t {k:03d}.csv": ["id", f"name {k}"] for k in range(300)} | {"big.csv": ["a", "b"], "out.csv": ["x", "y"]}
+    assert jobs_run <= 8
+
+
 def test_documents_and_triples_from_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.md").write_text("one\ntwo\n")
