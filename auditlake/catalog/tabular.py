@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditlake.catalog.registry import query, table
-from auditlake.operators import runlog, tables
+from auditlake.operators import runlog, sketches, tables
 from auditlake.operators.cube import CubeSpec, Measure, Rule, data_cube, filtered_aggregates, scorecard
 from auditlake.operators.guard import guarded_sql, run_sql
 from auditlake.operators.mapping import semantic_view
 from auditlake.plans.sized import lookup_join
+from auditlake.session import materialize
 
 
 @query(
@@ -367,6 +368,90 @@ def schema_sketch(spark, sf_dir):
     return tables.profile(table(spark, sf_dir, "lineitem"), "lineitem")
 
 
+# Exact figures in SQL; the query compares its estimates with the same figures and tells whether each keeps to its bound.
+_SKETCHED = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"]
+
+
+@query(
+    "sketch_profile",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS n, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS exact_distinct, true AS distinct_within, "
+        f"{'NULL' if c in ('l_returnflag', 'l_shipdate') else 'true'} AS median_within FROM lineitem"
+        for c in _SKETCHED
+    ),
+)
+def sketch_profile(spark, sf_dir):
+    """Sketches of line items by supplier parts, written and merged, with the bounds checked against exact figures."""
+    rows = table(spark, sf_dir, "lineitem").select(*_SKETCHED)
+    parts = materialize(sketches.sketch_parts(rows, F.pmod(F.col("l_suppkey"), F.lit(8))), "column-sketches")
+    found = sketches.estimates(sketches.merged(parts), (0.5,))
+    median = F.col("quantile_estimates")[0]
+    asked = found.select("column_name", "n", "nulls", "distinct_estimate", median.alias("median"))
+    plain = F.lit(None).cast("double")
+    values = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v"),
+                (F.col(c).cast("double") if sketches.is_number(t) else plain).alias("x"),
+            )
+            for c, t in rows.dtypes
+        ]
+    )
+    # Exact distinct values, and how many numbers lie below and up to the estimated median: one scan, a join with few rows.
+    pairs = rows.select(F.explode(values).alias("c")).select("c.*")
+    distinct = pairs.select("column_name", "v").distinct().groupBy("column_name").agg(F.count("v").alias("exact_distinct"))
+    ranks = pairs.join(F.broadcast(asked.select("column_name", "median")), "column_name").groupBy("column_name").agg(
+        F.count("x").alias("numbers"), F.count_if(F.col("x") < F.col("median")).alias("below"), F.count_if(F.col("x") <= F.col("median")).alias("upto")
+    )
+    joined = asked.join(distinct, "column_name").join(ranks, "column_name")
+    slack = F.col("numbers") * F.lit(sketches.RANK_ERROR)
+    near = (F.col("below") - slack <= F.col("numbers") / 2) & (F.col("upto") + slack >= F.col("numbers") / 2)
+    return joined.select(
+        "column_name", "n", "nulls", "exact_distinct",
+        (F.abs(F.col("distinct_estimate") - F.col("exact_distinct")) <= F.lit(sketches.HLL_ERROR) * F.col("exact_distinct") + 1).alias("distinct_within"),
+        F.when(F.col("median").isNotNull(), near).alias("median_within"),
+    )
+
+
+_REFERENCES = [("o_custkey", "c_custkey"), ("c_custkey", "o_custkey"), ("o_orderkey", "c_custkey"), ("c_nationkey", "o_custkey")]
+
+
+@query(
+    "sketch_references",
+    "SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{a}' AS child_column, '{b}' AS parent_column, count(*) AS exact_values, count(*) FILTER (WHERE v IN (SELECT {b} FROM {pb})) AS exact_shared, "
+        f"true AS within FROM (SELECT DISTINCT {a} AS v FROM {pa})"
+        for (a, b), (pa, pb) in zip(_REFERENCES, [("orders", "customer"), ("customer", "orders"), ("orders", "customer"), ("customer", "orders")])
+    ) + ")",
+)
+def sketch_references(spark, sf_dir):
+    """Shares of a column's values that another column has, from theta sketches, with the bounds checked."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    parts = [sketches.sketch_parts(df, F.pmod(F.xxhash64(df.columns[0]), F.lit(4))) for df in (orders, customer)]
+    both = [sketches.merged(materialize(p, "column-sketches")) for p in parts]
+    every = materialize(both[0].unionByName(both[1]), "merged-sketches")
+    wanted = F.lit(False)
+    for child, parent in _REFERENCES:
+        wanted = wanted | ((F.col("child.column_name") == child) & (F.col("parent.column_name") == parent))
+    found = sketches.inclusion(every, every, wanted)
+
+    def distinct_values(df):
+        cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in df.columns])
+        return df.select(F.explode(cells).alias("x")).select("x.*").distinct()
+
+    known = materialize(distinct_values(orders).unionByName(distinct_values(customer)), "values")
+    exact = found.select("child_column", "parent_column").join(known.withColumnRenamed("c", "child_column"), "child_column")
+    parents = known.select(F.col("c").alias("parent_column"), "v", F.lit(1).alias("hit"))
+    counted = exact.join(parents, ["parent_column", "v"], "left").groupBy("child_column", "parent_column").agg(
+        F.count(F.lit(1)).alias("exact_values"), F.count("hit").alias("exact_shared")
+    )
+    joined = found.join(counted, ["child_column", "parent_column"])
+    slack = F.lit(sketches.THETA_ERROR) * F.greatest("exact_values", F.lit(2**sketches.THETA_BITS))
+    near = F.abs(F.col("shared_values") - F.col("exact_shared")) <= slack
+    return joined.select("child_column", "parent_column", "exact_values", "exact_shared", near.alias("within"))
+
+
 @query(
     "key_checks",
     """

@@ -8,7 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditlake.operators import cover
+from auditlake.operators import ontology as O
+from auditlake.operators.jobs import create_mapping
 from auditlake.operators.mapping import Catalog, sanitize, semantic_view
+from auditlake.sources.sinks import Store
 from test_similar import distance
 
 
@@ -119,3 +122,21 @@ def test_deletions_meet_within_the_bound(spark):
     df = spark.createDataFrame([(w,) for w in words], "word string")
     got = {(r.word, r.other) for r in cover.word_pairs(df, df).collect()}
     assert got == {(a, b) for a in words for b in words if quality(a, b)}
+
+
+def test_mapping_job_combines_columns(spark, tmp_path):
+    h = "http://x.org/"
+    names = ["hasApplicantAndCoapplicantIncome", "hasAnnualRent", "hasUnknownThing"]
+    rows = [("f", f"{h}C", O.RDF_TYPE, O.OWL_CLASS)] + [("f", f"{h}{n}", O.RDFS_DOMAIN, f"{h}C") for n in names]
+    triples = spark.createDataFrame(rows, "source_file string, subject string, predicate string, object string")
+    columns = spark.createDataFrame(
+        [("d.csv", 1, "applicant_income"), ("d.csv", 2, "coapplicant.income"), ("e.csv", 1, "monthly_rent"), ("e.csv", 2, "term")],
+        "file string, ordinal int, column_name string",
+    )
+    store = Store(spark, str(tmp_path / "s"))
+    lines = [r.line for r in create_mapping(triples, columns, store, combine=True).orderBy("source_file").collect()]
+    assert lines[0] == "# Coverage: 75.00% (3 out of 4 CSV columns successfully mapped)"
+    kept = {r.attribute_name: (sorted(r.mapped_columns), r.sql_formula, r.not_enough_information) for r in store.mapped().collect()}
+    assert kept["hasAnnualRent"] == (["monthly_rent"], "monthly_rent * 12", False) and kept["hasUnknownThing"] == ([], None, True)
+    assert kept["hasApplicantAndCoapplicantIncome"][0] == ["applicant_income", "coapplicant.income"]
+    assert "hasUnknownThing" not in lines[1] and '"sql_formula":"monthly_rent * 12"' in lines[1]
