@@ -7,6 +7,7 @@ Results go to tables in files, never to the driver.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -142,6 +143,14 @@ def _joined(length: int, mark: int, more: bytes) -> tuple[int, int]:
     return length + len(more), (mark * pow(256, len(more), _PRIME) + int.from_bytes(more, "big")) % _PRIME
 
 
+def _taken(length: int, mark: int, text: str) -> tuple[int, int, str]:
+    """Length and mark after a snapshot, and what it adds: its end if it goes on from the text so far, else all of it."""
+    raw = text.encode("utf-8")
+    grows = len(raw) >= length and _joined(0, 0, raw[:length])[1] == mark
+    delta = raw[length:] if grows else raw
+    return *_joined(length, mark, delta), delta.decode("utf-8")
+
+
 def _deltas(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
@@ -150,13 +159,10 @@ def _deltas(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     new = pd.concat(list(batches)).sort_values("seq")
     seqs, deltas = [], []
     for seq, text in zip(new["seq"], new["text"]):
-        raw = text.encode("utf-8")
-        grows = len(raw) >= length and _joined(0, 0, raw[:length])[1] == mark
-        delta = raw[length:] if grows else raw
+        length, mark, delta = _taken(length, mark, text)
         if delta:
-            length, mark = _joined(length, mark, delta)
             seqs.append(seq)
-            deltas.append(delta.decode("utf-8"))
+            deltas.append(delta)
     state.update((length, str(mark)))
     yield pd.DataFrame({"key": [key[0]] * len(seqs), "seq": seqs, "delta": deltas})
 
@@ -183,6 +189,41 @@ def text_delta_stream(snapshots: DataFrame, key: str, seq: str, text: str, expir
     )
 
 
+def _deltas_in_order(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Snapshots wait until the watermark has passed their time, then they are taken in the order of ``seq``."""
+    length, mark, held = (state.get[0], int(state.get[1]), json.loads(state.get[2])) if state.exists else (0, 0, [])
+    if not state.hasTimedOut:
+        for batch in batches:
+            held += [[int(s), int(t), x] for s, t, x in zip(batch["seq"], batch["at"], batch["text"])]
+    passed = state.getCurrentWatermarkMs()
+    ready, held = sorted(h for h in held if h[1] <= passed), [h for h in held if h[1] > passed]
+    seqs, deltas = [], []
+    for seq, _, text in ready:
+        length, mark, delta = _taken(length, mark, text)
+        if delta:
+            seqs.append(seq)
+            deltas.append(delta)
+    state.update((length, str(mark), json.dumps(held)))
+    if held:
+        state.setTimeoutTimestamp(max(min(h[1] for h in held), passed + 1))
+    yield pd.DataFrame({"key": [key[0]] * len(seqs), "seq": seqs, "delta": deltas})
+
+
+def ordered_delta_stream(snapshots: DataFrame, key: str, seq: str, text: str, time: str, delay: str) -> DataFrame:
+    """As :func:`text_delta_stream` for snapshots that arrive out of order, over any number of batches.
+
+    A snapshot is held until the watermark, ``delay`` behind the latest ``time`` of the stream, has passed
+    its time: by then all before it are there. Snapshots later than that are dropped. ``seq`` must rise with
+    ``time`` in each key. What is held for a key is what came within the delay.
+    """
+    rows = snapshots.withWatermark(time, delay).select(
+        F.col(key).cast("string").alias("key"), F.col(seq).cast("bigint").alias("seq"), F.col(text).alias("text"), F.col(time).alias("_time"),
+    ).withColumn("at", F.unix_millis("_time"))
+    return rows.groupBy("key").applyInPandasWithState(
+        _deltas_in_order, "key string, seq bigint, delta string", "length bigint, mark string, held string", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def write_stream(rows: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Run a stream to its end into a parquet table."""
     _finish(rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint))
