@@ -19,7 +19,7 @@ give empty results or keep all documents.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -36,51 +36,80 @@ COVERAGE = 0.6
 BLOCK_CHARS = 8_000_000
 _WORD = re.compile(r"\w+")
 _BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def tokens(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _rolling(ids: np.ndarray, size: int) -> np.ndarray:
-    """Polynomial hashes, modulo 2**64, of all windows of ``size`` ids."""
-    value = np.zeros(max(0, len(ids) - size + 1), dtype=np.uint64)
-    for j in range(size):
-        value = value * np.uint64(_BASE) + ids[j : len(ids) - size + 1 + j].astype(np.uint64) + np.uint64(1)
-    return value
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers of an odd number, modulo 2**64."""
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class _Rolling:
+    """Polynomial hashes, modulo 2**64, of the windows of any size, from sums over the words before a place (Karp-Rabin)."""
+
+    def __init__(self, ids: np.ndarray):
+        terms = (ids.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(ids))
+        self.sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(terms, dtype=np.uint64)))
+        self.back = _powers(_INVERSE, len(ids))
+
+    def windows(self, size: int) -> np.ndarray:
+        n = max(0, len(self.back) - size + 1)
+        return (self.sums[size : size + n] - self.sums[:n]) * self.back[:n]
 
 
 def greedy_tiles(doc: np.ndarray, item: np.ndarray, min_tile: int = MIN_TILE) -> list[tuple[int, int, int]]:
     """Tiles (start in document, start in item, length), longest first, none overlapping another.
 
-    Negative ids match nothing, not even each other.
+    Negative ids match nothing, not even each other. Where a window is common so are all inside it, so the
+    longest common length left is found by halving; only lengths that some tile has are gone through.
     """
     free_doc, free_item = doc >= 0, item >= 0
+    in_doc, in_item = _Rolling(doc), _Rolling(item)
     tiles: list[tuple[int, int, int]] = []
-    size = min(len(doc), len(item))
-    while size >= min_tile:
-        starts = defaultdict(list)
-        for at in _free_windows(free_item, size):
-            starts[_window_hash(item, at, size)].append(at)
-        found = 0
-        if starts:
-            open_doc = _free_windows(free_doc, size)
-            hashes = _rolling(doc, size)[open_doc]
-            hits = open_doc[np.isin(hashes, np.fromiter(starts, dtype=np.uint64, count=len(starts)))]
-            for d in hits:
-                if not free_doc[d : d + size].all():
-                    continue
-                for i in starts[_window_hash(doc, d, size)]:
-                    if free_item[i : i + size].all() and np.array_equal(doc[d : d + size], item[i : i + size]):
-                        free_doc[d : d + size] = False
-                        free_item[i : i + size] = False
-                        tiles.append((int(d), int(i), size))
-                        found += 1
-                        break
-        if not free_item.any():
+
+    def common(size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the windows of the item without a marked word, and places in the document that have one of them."""
+        ours = in_item.windows(size)[_free_windows(free_item, size)]
+        at = _free_windows(free_doc, size)
+        return ours, at[np.isin(in_doc.windows(size)[at], ours)] if len(ours) else at[:0]
+
+    low, high = min_tile, min(len(doc), len(item))
+    while high >= min_tile:
+        while low <= high:  # the longest length with a common window is at most ``high``
+            middle = (low + high + 1) // 2
+            if len(common(middle)[1]):
+                low = middle
+                if low == high:
+                    break
+            else:
+                high = middle - 1
+        if high < min_tile:
             break
-        size -= 1
+        size = high
+        _, hits = common(size)
+        hashes, doc_hashes = in_item.windows(size), in_doc.windows(size)
+        starts = defaultdict(deque)
+        for at in _free_windows(free_item, size).tolist():
+            starts[int(hashes[at])].append(at)
+        for d in hits.tolist():
+            if not free_doc[d : d + size].all():
+                continue
+            queue = starts[int(doc_hashes[d])]
+            while queue and not free_item[queue[0] : queue[0] + size].all():
+                queue.popleft()  # what is marked stays so
+            for i in queue:
+                if free_item[i : i + size].all() and np.array_equal(doc[d : d + size], item[i : i + size]):
+                    free_doc[d : d + size] = False
+                    free_item[i : i + size] = False
+                    tiles.append((d, i, size))
+                    break
+        low, high = min_tile, size - 1
     return tiles
 
 
@@ -92,11 +121,12 @@ def _free_windows(free: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(total[size:] - total[:-size] == size)
 
 
-def _window_hash(ids: np.ndarray, at: int, size: int) -> int:
-    value = 0
-    for v in ids[at : at + size].tolist():
-        value = (value * _BASE + v + 1) & _MASK
-    return value
+def _covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Which of ``n`` places are in a window of ``size`` from one of the starts."""
+    change = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, starts + size, -1)
+    return np.cumsum(change[:-1]) > 0
 
 
 class Index:
@@ -114,7 +144,7 @@ class Index:
                 ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], dtype=np.int64)
                 self.keys.append(key)
                 self.items.append(ids)
-                seeds.append(_rolling(ids, min_tile))
+                seeds.append(_Rolling(ids).windows(min_tile))
         hashes = np.concatenate(seeds) if seeds else np.empty(0, dtype=np.uint64)
         owner = np.concatenate([np.full(len(s), i) for i, s in enumerate(seeds)]) if seeds else np.empty(0, dtype=np.int64)
         place = np.concatenate([np.arange(len(s)) for s in seeds]) if seeds else np.empty(0, dtype=np.int64)
@@ -131,26 +161,24 @@ class Index:
         at = _free_windows(doc >= 0, size)
         if not len(at):
             return []
-        window = _rolling(doc, size)[at]
-        low, high = np.searchsorted(self.hashes, window, "left"), np.searchsorted(self.hashes, window, "right")
-        hit = high > low
-        if not hit.any():
+        window = _Rolling(doc).windows(size)[at]
+        distinct = np.unique(window)
+        low, high = np.searchsorted(self.hashes, distinct, "left"), np.searchsorted(self.hashes, distinct, "right")
+        n = high - low
+        if not n.any():
             return []
-        by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for p, a, b in zip(at[hit].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True):
-            for k in range(a, b):
-                by_item[int(self.owner[k])].append((p, int(self.place[k])))
+        # All seeds of the index that the document has, each once however often it is there.
+        seeds = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        order = np.argsort(self.owner[seeds], kind="stable")
+        seeds = seeds[order]
+        owners, first = np.unique(self.owner[seeds], return_index=True)
         found = []
-        for i in sorted(by_item):
+        for i, of_item in zip(owners.tolist(), np.split(seeds, first[1:]), strict=True):
             item = self.items[i]
-            under = np.zeros(len(item), dtype=bool)
-            for place in {place for _, place in by_item[i]}:
-                under[place : place + size] = True
+            under = _covered(self.place[of_item], size, len(item))
             if under.sum() < self.coverage * len(item):
                 continue  # no tiling covers more than the seeds do
-            near = np.zeros(len(doc) + 1, dtype=bool)
-            for p in {p for p, _ in by_item[i]}:
-                near[p : p + size] = True
+            near = _covered(at[np.isin(window, self.hashes[of_item])], size, len(doc))
             # Only words under seeds can be in a tile; a gap parts what is not adjacent.
             spots = np.flatnonzero(near)
             gaps = np.flatnonzero(np.diff(spots) > 1) + 1
