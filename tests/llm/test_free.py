@@ -24,6 +24,26 @@ def test_lm_scores(docs, rows, order):
     assert [g[6:] for g in got] == [pytest.approx(w[6:], abs=1e-6) for w in want]
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_long_texts_go_on_alone(monkeypatch, order):
+    texts = [prose(1, 50), prose(2, 3000), "", prose(3, 900), prose(2, 2000), None, "one"]
+    train = [k % 3 != 1 for k in range(len(texts))]
+    want = [x[-1] for x in brute.lm_scores(texts, train, order, 7.0)]
+    block = lm_score._Block(texts, order)
+    counts = block.counts(np.array(train))
+    automaton = lm_score.Automaton(block, counts, int(counts[0].sum()), int((counts[0] > 0).sum()), 7.0)
+    for few in (0, 2, 4, 100):
+        monkeypatch.setattr(lm_score, "FEW", few)
+        assert automaton.score(block) == pytest.approx(want)
+
+
+def test_words_of_one_hash_keep_their_order(monkeypatch):
+    monkeypatch.setattr(lm_score.xxhash, "xxh64_intdigest", lambda w: len(w))
+    names = [b"\t", b"bb", b"a", b"aa", b"c", b"ddd"]
+    hashes = np.array([len(n) for n in names], dtype=np.uint64)
+    assert [names[i] for i in lm_score._by_hash(hashes, names)] == [b"a", b"c", b"aa", b"bb", b"ddd"]
+
+
 def test_lm_without_training_rows(docs):
     found = lm_score.lm_score(docs, F.lit(False), ["doc_id"]).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.score == r.base_score == 0 for r in found)
@@ -65,6 +85,41 @@ def test_codec_parity_and_round_trip(spark):
     assert codec.encode(df.limit(0)).count() == 0
 
 
+def test_ids_are_the_tokenizers_own(monkeypatch):
+    """Where the libraries differ, the ids stay those of the tokenizer and the text is marked."""
+    data = codec.read_model()
+    tokenizer, _, reference = codec._loaded(data)
+    rnd = random.Random(4)
+    parts = ["river", "Stone", " ", "  ", "\n", "\t", "▁", "é", "e\u0301", "\U0001f642", "ﬁ", "\x00", "\u00a0", "don't", "123", "日本"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randrange(40))) for _ in range(400)]
+    monkeypatch.setattr(codec, "BATCH_CHARS", 500)
+    got = [(x, same) for ids, agree in codec.encode_batch(data, texts) for x, same in zip(ids, agree, strict=True)]
+    assert [x for x, _ in got] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [same for _, same in got] == [x == reference.encode(t) for (x, _), t in zip(got, texts, strict=True)]
+
+
+def greedy_bpe(word, model):
+    """Ids of a word by the merge rule alone: the best-scored pair of neighbours first, the leftmost of equals."""
+    rank = {p: (-s, i) for i, (p, s) in enumerate(zip(model.pieces, model.scores, strict=True))}
+    pieces = list(word)
+    while True:
+        offers = [(rank[a + b][0], k) for k, (a, b) in enumerate(zip(pieces, pieces[1:], strict=False)) if a + b in rank]
+        if not offers:
+            break
+        k = min(offers)[1]
+        pieces[k : k + 2] = [pieces[k] + pieces[k + 1]]
+    ids = {p: i for i, p in enumerate(model.pieces)}
+    return [i for p in pieces for i in ([ids[p]] if p in ids else [ids[f"<0x{b:02X}>"] for b in p.encode()])]
+
+
+def test_ids_are_those_of_the_merge_rule():
+    data = codec.read_model()
+    model, rnd = codec.parse_model(data), random.Random(6)
+    for _ in range(300):
+        word = "".join(rnd.choices("abcdeinorstuvé日", k=rnd.randint(1, 9)))
+        assert next(codec.encode_batch(data, [word]))[0][0] == greedy_bpe(codec.MARK + word, model), word
+
+
 def test_marker_reads_as_space_and_bad_bytes_decode():
     data = codec.read_model()
     ids = next(codec.encode_batch(data, ["a▁b"]))[0][0]
@@ -220,6 +275,26 @@ def item(seed, n):
     return " ".join(f"w{(seed * 37 + k * 11) % 997}" for k in range(n))
 
 
+def test_long_items_and_repeated_words():
+    words = [f"u{k}" for k in range(3000)]
+    changed = [f"z{k}" if k % 40 == 0 else w for k, w in enumerate(words)]
+    found = decontaminate.Index([(7, " ".join(words))], 4, 0.6).matches("x " * 500 + " ".join(changed))
+    assert found == [(7, 0.975, 75, 39)]
+    repeated = decontaminate.Index([(0, "a " * 4000), (1, "a b " * 2000)], 4, 0.6)
+    assert repeated.matches("a " * 40_000) == [(0, 1.0, 1, 4000)]
+    assert repeated.matches("b a " * 30_000)[0][:2] == (1, 1.0) and repeated.matches("a b b " * 9000) == []
+
+
+def test_window_hashes_are_those_of_equal_words():
+    rnd = random.Random(3)
+    ids = np.array([rnd.randrange(3) for _ in range(200)], dtype=np.int64)
+    for size in (1, 2, 5, 17, 200, 201):
+        got = decontaminate._Rolling(ids).windows(size)
+        windows = [tuple(ids[k : k + size]) for k in range(max(0, 201 - size))]
+        assert len(got) == len(windows)
+        assert len(set(got.tolist())) == len(set(windows)) == len(set(zip(got.tolist(), windows, strict=True)))
+
+
 def test_decontamination(spark):
     bench = spark.createDataFrame([(0, item(0, 30)), (1, item(3, 16)), (2, "too short"), (3, None), (4, item(3, 16))], "item_id long, text string")
     w = item(0, 30).split()
