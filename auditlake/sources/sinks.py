@@ -7,10 +7,11 @@ import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.operators.ontology import unprocessed
+from auditlake.operators.tables import update_rows
 from auditlake.session import materialize
 
 # Bookkeeping tables and their columns.
@@ -125,6 +126,11 @@ class Store:
         with self.transaction() as save:
             save.rebuild(table, df)
 
+    def update(self, table: str, values: dict[str, Column], condition: str = "") -> None:
+        """Set columns of the stored rows for which the condition is true; of all rows without one."""
+        with self.transaction() as save:
+            save.update(table, values, condition)
+
     def save_classes(self, classes: DataFrame, mappings: DataFrame, skip_known: bool = True) -> None:
         """Append classes together with their attribute rows.
 
@@ -213,6 +219,10 @@ class Save:
         else:
             self.tables = self.tables | {table: [*parts, self._written(table, df)]}
 
+    def update(self, table: str, values: dict[str, Column], condition: str = "") -> None:
+        """Set columns of the stored rows for which the condition is true; of all rows without one."""
+        self.rebuild(table, update_rows(self.read(table), values, condition))
+
     def rebuild(self, table: str, df: DataFrame) -> None:
         """Replace a table; the rows may come from the table itself."""
         self.tables = self.tables | {table: [self._written(table, df)]}

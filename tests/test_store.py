@@ -107,6 +107,23 @@ def test_rebuild_from_itself_parts_and_vacuum(spark, tmp_path, monkeypatch):
     assert len(os.listdir(tmp_path / "s" / "concepts")) == 1
 
 
+def test_update_of_stored_rows(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.create()
+    rows = spark.createDataFrame([("T", "a", "old"), ("T", "b", "old"), (None, "c", "old")], "concept_type string, concept_name string, summary string")
+    store.append("concepts", rows)
+    before = store.read("concepts")
+    store.update("concepts", {"summary": F.concat("concept_name", F.lit("!"))}, "concept_type = 'T' AND concept_name > 'a'")
+    assert {r.concept_name: r.summary for r in store.read("concepts").collect()} == {"a": "old", "b": "b!", "c": "old"}
+    assert {r.summary for r in before.collect()} == {"old"}
+    store.update("concepts", {"summary": F.lit("all")})
+    assert {r.summary for r in store.read("concepts").collect()} == {"all"}
+    at = store.current()
+    with pytest.raises(ValueError):
+        store.update("concepts", {"nothing": F.lit(1)})
+    assert store.current() == at
+
+
 def test_failed_ingest_keeps_the_tables_of_the_run_before(spark, tmp_path, monkeypatch):
     docs = spark.createDataFrame([(1, "Loan terms\nmore\n\nRate rules\nmore\n"), (2, "terms loan\n")], "filename bigint, text string")
     classes = spark.createDataFrame([("Loan", "loan terms"), ("Rate", "rate rules")], "n string, d string")
