@@ -42,6 +42,8 @@ MU = 500.0
 BLOCK_BYTES = 4_000_000
 #: Blocks whose requests meet in one shard, about.
 BLOCKS_PER_SHARD = 8
+#: Texts of a block below which each goes on alone: the rest of the longest ones.
+FEW = 8
 # Tokens that no word can be: words hold no white space.
 START, END = b"\t", b"\n"
 _PACKED = "block int, shard int, kind int, keys binary, counts binary"
@@ -54,6 +56,15 @@ class _Ids(dict):
         return n
 
 
+def _by_hash(hashes: np.ndarray, names: list[bytes]) -> np.ndarray:
+    """Positions from the second on in the order of hash and name, whatever the order they came in."""
+    ranked = np.argsort(hashes[1:], kind="stable") + 1
+    same = np.flatnonzero(hashes[ranked[1:]] == hashes[ranked[:-1]])
+    if len(same):  # words of one hash; hardly ever
+        ranked = np.array(sorted(range(1, len(names)), key=lambda i: (int(hashes[i]), names[i])), dtype=np.int64)
+    return ranked
+
+
 class _Block:
     """Token ids of a block of texts and the distinct n-grams in them."""
 
@@ -65,16 +76,17 @@ class _Block:
             rows.append(np.fromiter(map(ids.__getitem__, [START, *words, END]), dtype=np.int32, count=len(words) + 2))
         self.sizes = np.array([len(r) for r in rows], dtype=np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])).astype(np.int64)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in ids), dtype=np.uint64, count=len(ids))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, ids), dtype=np.uint64, count=len(ids))
         # Words in the order of their hash; the start is no token and comes first.
-        ranked = sorted(zip(hashes[1:].tolist(), list(ids)[1:], range(1, len(ids)), strict=True))
-        self.words = [w for _, w, _ in ranked]
-        self.word_hashes = np.array([h for h, _, _ in ranked], dtype=np.uint64)
+        names = list(ids)
+        ranked = _by_hash(hashes, names)
+        self.words = [names[i] for i in ranked.tolist()]
+        self.word_hashes = hashes[ranked]
         place = np.zeros(len(ids), dtype=np.int32)
-        place[[i for *_, i in ranked]] = np.arange(1, len(ids))
+        place[ranked] = np.arange(1, len(ids))
         # 0 is the start, i + 1 the i-th word.
         self.stream = place[np.concatenate(rows)] if rows else np.empty(0, dtype=np.int64)
-        del rows, ranked
+        del rows, names
         self.end = self.words.index(END) + 1
         by_place = np.concatenate((hashes[:1], self.word_hashes))
         within = np.arange(len(self.stream)) - np.repeat(self.starts, self.sizes)
@@ -148,6 +160,28 @@ class Automaton:
         self.fail_to = np.concatenate(fails)
         self.start = 1 if starts > 0 and block.grams else 0
 
+    def _walk(self, state: int, tokens: Sequence[int]) -> float:
+        """log10 probability of further tokens of one text."""
+        total, known = 0.0, {}
+        for token in tokens:
+            while True:
+                key = state << 32 | token
+                arc = known.get(key)
+                if arc is None:
+                    at = int(np.searchsorted(self.arc_key, key))
+                    if at < len(self.arc_key) and self.arc_key[at] == key:
+                        arc = (float(self.arc_log[at]), int(self.arc_next[at]), True)
+                    elif state == 0:
+                        arc = (float(self.root_log[token]), int(self.root_next[token]), True)
+                    else:
+                        arc = (float(self.fail_log[state]), int(self.fail_to[state]), False)
+                    known[key] = arc
+                total += arc[0]
+                state = arc[1]
+                if arc[2]:
+                    break
+        return total
+
     def score(self, block: _Block) -> np.ndarray:
         """log10 probability of each text of the block: all texts take their next token together, each in its own state."""
         state = np.full(len(block.sizes), self.start, dtype=np.int64)
@@ -158,6 +192,11 @@ class Automaton:
         for step in range(1, int(sizes[0]) if active else 0):
             while sizes[active - 1] <= step:
                 active -= 1
+            if active < FEW:
+                for k in range(active):
+                    at = starts[k] + step
+                    total[k] += self._walk(int(state[k]), block.stream[at : starts[k] + sizes[k]].tolist())
+                break
             word = block.stream[starts[:active] + step]
             open_ = np.arange(active)
             while len(open_):
