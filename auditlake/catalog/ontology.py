@@ -9,7 +9,7 @@ from auditlake.operators import ontology
 from auditlake.operators.ontology import (
     CMNS_DEFINITION, OWL_CLASS, OWL_ON_PROPERTY, RDF_TYPE, RDFS_DOMAIN, RDFS_LABEL, RDFS_SUBCLASS, SKOS_DEFINITION,
 )
-from auditlake.plans.sized import lookup_join, spread_small
+from auditlake.plans.sized import lookup_join, parts_for, spread_small
 from auditlake.session import materialize
 from auditlake.sources.text import parse_triples
 
@@ -34,8 +34,10 @@ def triples_of(spark, sf_dir):
         F.struct(F.lit(CMNS_DEFINITION).alias("p"), F.when(F.col("p_size") > 15, F.concat(F.lit("Part of "), "p_brand")).alias("o"), F.lit(False).alias("i")),
     )
     facts = part.select("file", _class().alias("s"), F.explode(about).alias("t")).select("file", "s", "t.*").filter("o IS NOT NULL")
+    delivered = table(spark, sf_dir, "lineitem")
     items = lookup_join(
-        spread_small(table(spark, sf_dir, "lineitem")).withColumn("p_partkey", F.col("l_partkey")), part.select("p_partkey", "file"), ["p_partkey"]
+        spread_small(delivered).withColumn("p_partkey", F.col("l_partkey")), part.select("p_partkey", "file"), ["p_partkey"],
+        parts=parts_for(spark, delivered.count()),
     )
     supplier = F.concat(F.lit(f"{BASE}/supply/deliveredBy"), F.col("l_suppkey").cast("string"))
     domains = items.select("file", supplier.alias("s"), F.lit(RDFS_DOMAIN).alias("p"), _class().alias("o"), F.lit(True).alias("i"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.text import local_name
 from auditlake.plans.scan import ordered_parts, range_bucketed
+from auditlake.plans.sized import parted, parts_for, salted_join
 
 # Vocabulary terms that describe classes.
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -19,20 +20,27 @@ SKOS_DEFINITION = "http://www.w3.org/2004/02/skos/core#definition"
 CMNS_DEFINITION = "https://www.omg.org/spec/Commons/AnnotationVocabulary/definition"
 
 
+def _parts(triples: DataFrame, *predicates: str) -> int:
+    """Partitions for the triples of some predicates, by their number."""
+    return parts_for(triples.sparkSession, triples.filter(F.col("predicate").isin(*predicates)).count())
+
+
 def classes(triples: DataFrame) -> DataFrame:
     """Named classes per source file with label and definition, in one aggregation.
 
     Blank nodes are left out. Of several values the smallest is taken; without a label
     the local name stands in.
     """
-    told = F.col("predicate").isin(RDF_TYPE, RDFS_LABEL, SKOS_DEFINITION, CMNS_DEFINITION)
+    named = triples.filter(
+        F.col("predicate").isin(RDF_TYPE, RDFS_LABEL, SKOS_DEFINITION, CMNS_DEFINITION) & F.startswith("subject", F.lit("http"))
+    )
 
     def value(predicate: str) -> Column:
         return F.nullif(F.min(F.when(F.col("predicate") == predicate, F.col("object"))), F.lit(""))
 
     is_class = F.bool_or((F.col("predicate") == RDF_TYPE) & (F.col("object") == OWL_CLASS))
     facts = (
-        triples.filter(told & F.startswith("subject", F.lit("http")))
+        parted(named, parts_for(triples.sparkSession, named.count()), "source_file", "subject")
         .groupBy("source_file", "subject")
         .agg(
             is_class.alias("is_class"),
@@ -59,31 +67,33 @@ def class_properties(triples: DataFrame) -> DataFrame:
     parents = triples.filter(F.col("predicate") == RDFS_SUBCLASS).select(
         "source_file", F.col("subject").alias("class_uri"), F.col("object").alias("node")
     )
-    limits = (
-        triples.filter(F.col("predicate") == OWL_ON_PROPERTY)
-        .groupBy("source_file", F.col("subject").alias("node"))
-        .agg(F.min("object").alias("on_property"))
-    )
-    # Left to AQE: it broadcasts a small side and splits the partitions of a much-used node.
-    restricted = parents.distinct().join(limits, ["source_file", "node"]).select(
+    parts = _parts(triples, RDFS_DOMAIN, RDFS_SUBCLASS, OWL_ON_PROPERTY)
+    node = ["source_file", "node"]
+    told = triples.filter(F.col("predicate") == OWL_ON_PROPERTY).select("source_file", F.col("subject").alias("node"), "object")
+    limits = parted(told, parts, *node).groupBy(*node).agg(F.min("object").alias("on_property"))
+    # A much-used node is salted.
+    restricted = salted_join(parents, limits, node, "inner", parts=parts).select(
         "source_file", "class_uri", local_name("on_property").alias("property")
     )
-    return domains.unionByName(restricted).distinct()
+    found = domains.unionByName(restricted)
+    return parted(found, parts, *found.columns).distinct()
 
 
 def class_records(triples: DataFrame, part_size: int = 1_000) -> DataFrame:
     """Class records with sorted property lists; very long lists come in numbered parts."""
     keys = ["source_file", "class_uri"]
+    parts = _parts(triples, RDFS_DOMAIN, RDFS_SUBCLASS)
     listed = ordered_parts(
-        range_bucketed(class_properties(triples), keys, ["property"], "_range"),
+        range_bucketed(class_properties(triples), keys, ["property"], "_range", parts),
         keys,
         F.col("_range"),
         ["property"],
         ["property"],
         "_items",
         part_size,
+        parts,
     ).select("source_file", "class_uri", "part_no", F.transform("_items", lambda i: i["property"]).alias("properties"))
-    return classes(triples).join(listed, ["source_file", "class_uri"], "left").select(
+    return parted(classes(triples), parts, *keys).join(parted(listed, parts, *keys), keys, "left").select(
         "class_name",
         "class_uri",
         "label",

@@ -55,3 +55,28 @@ def test_size_check(spark):
     assert not sized.is_small(wide, 9, 100_000)
     assert not sized.is_small(wide, 10, 5_000)
     assert sized.is_small(wide.limit(0))
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    from auditlake.operators import ontology as O
+
+    monkeypatch.setattr(sized, "TASK_ROWS", 10)
+    rows = [("f", f"http://x#C{i % 40}", O.RDFS_SUBCLASS, f"_:n{i % 90}", False) for i in range(400)]
+    rows += [("f", f"_:n{i}", O.OWL_ON_PROPERTY, f"http://x#p{i % 7}", True) for i in range(90)]
+    rows += [("f", f"http://x#d{i % 3}", O.RDFS_DOMAIN, f"http://x#C{i}", True) for i in range(50)]
+    rows += [("f", f"http://x#C{i}", O.RDF_TYPE, O.OWL_CLASS, True) for i in range(45)]
+    triples = spark.createDataFrame(rows, "source_file string, subject string, predicate string, object string, is_iri boolean")
+    nodes = {f"_:n{i}": f"p{i % 7}" for i in range(90)}
+    want = {(s, nodes[o]) for _, s, p, o, _ in rows if p == O.RDFS_SUBCLASS} | {(o, s[9:]) for _, s, p, o, _ in rows if p == O.RDFS_DOMAIN}
+    found = O.class_properties(triples)
+    assert {(r.class_uri, r.property) for r in found.collect()} == want
+    # 540 rows of 10 a task; the session's partitions alone would be 8.
+    assert found.rdd.getNumPartitions() >= 54
+    assert {r.class_uri: r.properties for r in O.class_records(triples).collect()} == {
+        f"http://x#C{i}": sorted(p for c, p in want if c == f"http://x#C{i}") for i in range(45)
+    }
+    big = spark.range(300).select((F.col("id") % 3).alias("k"), "id")
+    side = spark.createDataFrame([(0, "a"), (1, "b")], "k bigint, v string")
+    for hot in (50, 1000):
+        joined = sized.salted_join(big, side, ["k"], "left", hot, parts=5)
+        assert sorted((r.id, r.v) for r in joined.collect()) == [(i, {0: "a", 1: "b"}.get(i % 3)) for i in range(300)]
