@@ -206,11 +206,14 @@ def mapping_tree(mappings: DataFrame, seq: str, record: list[str] = RECORD, part
     """
     keys = ["source_ttl_file", "class_name", "attribute_name"]
     last = mappings.groupBy(*keys).agg(F.max_by(F.struct(*record), F.col(seq)).alias("record"))
-    placed = range_bucketed(last, keys[:2], ["attribute_name"], "_range")
-    parts = ordered_parts(
-        placed, keys[:2], F.col("_range"), ["attribute_name"], ["attribute_name", "record"], "_items", part_size
-    )
-    return parts.select(*keys[:2], "part_no", F.map_from_entries("_items").alias("attributes"))
+    return _tree(range_bucketed(last, keys[:2], ["attribute_name"], "_range"), part_size)
+
+
+def _tree(placed: DataFrame, part_size: int) -> DataFrame:
+    """Maps of the placed attributes, each there once, as of :func:`mapping_tree`."""
+    keys = ["source_ttl_file", "class_name"]
+    parts = ordered_parts(placed, keys, F.col("_range"), ["attribute_name"], ["attribute_name", "record"], "_items", part_size)
+    return parts.select(*keys, "part_no", F.map_from_entries("_items").alias("attributes"))
 
 
 def mapping_export(mappings: DataFrame, seq: str, columns: DataFrame, base: str, part_size: int = 1_000) -> DataFrame:
@@ -220,12 +223,14 @@ def mapping_export(mappings: DataFrame, seq: str, columns: DataFrame, base: str,
     """
     keys = ["source_ttl_file", "class_name", "attribute_name"]
     last = mappings.groupBy(*keys).agg(F.max_by(F.struct(*RECORD), F.col(seq)).alias("r")).select(*keys, "r.*")
-    used = mapped_only(last)
-    head = column_coverage(used, columns).select(
+    # Written once, for the coverage as for the tree.
+    used = mapped_only(last).select(*keys, F.struct(*RECORD[:3]).alias("record"))
+    placed = range_bucketed(used, keys[:2], ["attribute_name"], "_range")
+    head = column_coverage(placed.select("record.mapped_columns"), columns).select(
         F.lit("").alias("source_file"), F.lit("").alias("class_name"), F.lit(0).cast("bigint").alias("part_no"),
         F.concat(F.lit("# "), "coverage_text").alias("line"),
     )
-    tree = mapping_tree(used.withColumn("_seq", F.lit(0)), "_seq", RECORD[:3], part_size)
+    tree = _tree(placed, part_size)
     path = relative_path("source_ttl_file", base)
     body = tree.select(
         path.alias("source_file"),

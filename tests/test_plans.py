@@ -80,3 +80,15 @@ def test_partitions_follow_the_rows(spark, monkeypatch):
     for hot in (50, 1000):
         joined = sized.salted_join(big, side, ["k"], "left", hot, parts=5)
         assert sorted((r.id, r.v) for r in joined.collect()) == [(i, {0: "a", 1: "b"}.get(i % 3)) for i in range(300)]
+
+
+def test_no_key_is_counted_apart_where_none_is_hot(spark, monkeypatch):
+    big = spark.range(3000).select((F.col("id") % 1500).alias("k"), "id")
+    side = spark.range(1500).select(F.col("id").alias("k"))
+    written = []
+    keep = sized.materialize
+    monkeypatch.setattr(sized, "materialize", lambda df, label: written.append(df.columns) or keep(df, label))
+    assert sized.salted_join(big, side, ["k"], "inner", 50, parts=3).count() == 3000
+    assert written == [["_bucket"]]
+    monkeypatch.setattr(sized, "HASH_BUCKETS", 2)
+    assert sized.salted_join(big, side, ["k"], "inner", 50, parts=3).count() == 3000
