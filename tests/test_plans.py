@@ -92,3 +92,12 @@ def test_no_key_is_counted_apart_where_none_is_hot(spark, monkeypatch):
     assert written == [["_bucket"]]
     monkeypatch.setattr(sized, "HASH_BUCKETS", 2)
     assert sized.salted_join(big, side, ["k"], "inner", 50, parts=3).count() == 3000
+
+
+def test_classes_are_grouped_in_parts_by_their_rows(spark, monkeypatch):
+    from auditlake.operators import ontology as O
+
+    monkeypatch.setattr(sized, "TASK_ROWS", 10)
+    rows = [("f", f"http://x#C{i}", p, o) for i in range(100) for p, o in ((O.RDF_TYPE, O.OWL_CLASS), (O.RDFS_LABEL, f"c{i}"))]
+    found = O.classes(spark.createDataFrame(rows, "source_file string, subject string, predicate string, object string"))
+    assert found.count() == 100 and found.rdd.getNumPartitions() >= 20
