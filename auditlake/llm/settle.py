@@ -2,31 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+from auditlake.session import settled, shuffles_dropped
 
-from pyspark.sql import DataFrame, SparkSession
-
-from auditlake.session import materialize
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """What is shuffled for a write inside is dropped when the write has ended."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
-
-
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """As :func:`materialize`; the rows are in the shared folder, so what was shuffled for them is dropped."""
-    with shuffles_dropped(df.sparkSession):
-        return materialize(df, label)
+__all__ = ["settled", "shuffles_dropped"]
