@@ -148,7 +148,7 @@ def build_tokenizer(model: Model):
     else:
         core = models.BPE(
             vocab={p: i for i, p in enumerate(model.pieces)}, merges=_merges(model), unk_token=model.pieces[model.unk_id],
-            fuse_unk=True, byte_fallback=model.byte_fallback, ignore_merges=False,
+            fuse_unk=True, byte_fallback=model.byte_fallback, ignore_merges=False, cache_capacity=0,
         )
     tokenizer = Tokenizer(core)
     steps = []
@@ -163,8 +163,9 @@ def build_tokenizer(model: Model):
         steps.append(normalizers.Replace(" ", MARK))
     if steps:
         tokenizer.normalizer = normalizers.Sequence(steps)
-    if not any(mark in p.lstrip(mark) for p, t in zip(model.pieces, model.types, strict=True) if t != CONTROL):
-        # No piece goes on past a marker, so words can be encoded one by one, and known words are remembered.
+    if model.kind == UNIGRAM and not any(mark in p.lstrip(mark) for p, t in zip(model.pieces, model.types, strict=True) if t != CONTROL):
+        # No piece goes on past a marker, so words can be encoded one by one, and known words are remembered. Merges
+        # take a whole text at once, as in the sentencepiece library: to cut it into words costs more than they do.
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{mark}*[^{mark}]*"), "isolated")
     parts = [decoders.Replace(MARK, " ")] if model.escape_spaces else []
     if model.byte_fallback:

@@ -373,3 +373,17 @@ def test_a_collision_is_mended(monkeypatch):
     rows = np.array([[2, 1], [1, 1], [1, 0]], dtype=np.uint8)
     order, common = suffix_dedup.suffix_order(rows, np.zeros(3, dtype=np.int64))
     assert order.tolist() == [2, 1, 0] and common.tolist() == [-1, 1, 0]
+
+
+def test_merges_take_whole_texts_and_not_word_by_word():
+    data = codec.read_model()
+    assert codec.build_tokenizer(codec.parse_model(data)).pre_tokenizer is None
+    rnd = random.Random(11)
+    parts = ["the", "bank", " ", "   ", "▁", "▁▁", "\n", "é", "漢字", "😀", "\x00", "aaaa", "Ünïcode", "1234", "\t"]
+    texts = ["", " ", "▁", *("".join(rnd.choices(parts, k=rnd.randint(1, 60))) for _ in range(300)), "the bank " * 5_000, "a" * 20_000]
+    reference = codec._loaded(data)[2]
+    for ids, agree in codec.encode_batch(data, texts):
+        assert all(agree)
+        texts, block = texts[len(ids) :], texts[: len(ids)]
+        assert ids == reference.encode(block)
+    assert not texts
