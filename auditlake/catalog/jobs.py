@@ -255,10 +255,12 @@ def stream_ordered_delta(spark, sf_dir):
     rows = snapshots_of(spark, sf_dir).withColumn("ts", F.timestamp_seconds("seq"))
     folder = fresh_path(spark, "shuffled")
     # Batch by batch in the order of a hash, which has nothing to do with that of the snapshots; the last row ends the wait.
+    # A batch is as many files as the stream takes at a time: more batches would go through the state of the same keys again.
+    files = spark.sparkContext.defaultParallelism
     for number in range(4):
-        rows.filter(F.pmod(F.xxhash64("conv_id", "seq"), F.lit(4)) == number).write.mode("append").parquet(folder)
+        rows.filter(F.pmod(F.xxhash64("conv_id", "seq"), F.lit(4)) == number).coalesce(files).write.mode("append").parquet(folder)
     end = rows.agg(F.timestamp_seconds(F.coalesce(F.max("seq"), F.lit(0)) + 2_000_000_000).alias("ts"))
     end.select(F.lit(None).cast("bigint").alias("conv_id"), F.lit(0).cast("bigint").alias("seq"), F.lit("").alias("text"), "ts").write.mode("append").parquet(folder)
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", spark.sparkContext.defaultParallelism).parquet(folder)
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
     deltas = streams.ordered_delta_stream(source, "conv_id", "seq", "text", "ts", "1000000000 seconds")
     return streams.write_stream(deltas, fresh_path(spark, "deltas"), fresh_path(spark, "deltas-checkpoint"))

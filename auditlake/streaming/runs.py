@@ -151,6 +151,12 @@ def _taken(length: int, mark: int, text: str) -> tuple[int, int, str]:
     return *_joined(length, mark, delta), delta.decode("utf-8")
 
 
+def _new_text(key: str, seqs: list[int], deltas: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows of a key; none is no frame at all, as making and sending an empty one costs as much as the rest of the key."""
+    if seqs:
+        yield pd.DataFrame({"key": [key] * len(seqs), "seq": seqs, "delta": deltas})
+
+
 def _deltas(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
@@ -164,7 +170,7 @@ def _deltas(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
             seqs.append(seq)
             deltas.append(delta)
     state.update((length, str(mark)))
-    yield pd.DataFrame({"key": [key[0]] * len(seqs), "seq": seqs, "delta": deltas})
+    yield from _new_text(key[0], seqs, deltas)
 
 
 def _deltas_expiring(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -206,7 +212,7 @@ def _deltas_in_order(key: tuple, batches: Iterator[pd.DataFrame], state: GroupSt
     state.update((length, str(mark), json.dumps(held)))
     if held:
         state.setTimeoutTimestamp(max(min(h[1] for h in held), passed + 1))
-    yield pd.DataFrame({"key": [key[0]] * len(seqs), "seq": seqs, "delta": deltas})
+    yield from _new_text(key[0], seqs, deltas)
 
 
 def ordered_delta_stream(snapshots: DataFrame, key: str, seq: str, text: str, time: str, delay: str) -> DataFrame:

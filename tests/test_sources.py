@@ -279,3 +279,25 @@ def test_ingest_of_text_files_and_context(spark, tmp_path):
     assert [(r.concept_name, r.segment_text) for r in found] == [("loan-terms", "Loan terms\nfirst\n---\nLoan terms\nmore\n")] or [
         r.segment_text.split("\n---\n")[0].strip() for r in found
     ] == ["Loan terms\nfirst"]
+
+
+def test_keys_that_wait_send_no_frame():
+    class State:
+        exists = hasTimedOut = False
+
+        def __init__(self, watermark):
+            self.watermark = watermark
+
+        def getCurrentWatermarkMs(self):
+            return self.watermark
+
+        def update(self, value):
+            self.held = value
+
+        def setTimeoutTimestamp(self, at):
+            self.wakes = at
+
+    batch = pd.DataFrame({"key": ["a", "a"], "seq": [2, 1], "at": [20, 10], "text": ["xy", "x"]})
+    waits, ready = State(5), State(30)
+    assert list(R._deltas_in_order(("a",), iter([batch]), waits)) == [] and waits.wakes == 10
+    assert [tuple(r) for f in R._deltas_in_order(("a",), iter([batch]), ready) for r in f.itertuples(index=False)] == [("a", 1, "x"), ("a", 2, "y")]
