@@ -49,46 +49,77 @@ BLOCKS_PER_SHARD = 4
 HOT = 10_000
 #: Entries sorted at a time.
 CHUNK = 16_384
+#: Numbers worked on at a time, so that they stay in the processor's cache.
+_STEP = 32_768
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _ASKED = "block int, shard int, kind int, data binary, numbers binary"
 _ANSWER = "block int, shard int, kind int, data binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
+    """Mixed bits of ``x``, which is overwritten."""
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x7FB5D329728EA185)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x81DADEF4BC2DD44D)
+    x ^= x >> np.uint64(33)
+    return x
+
+
+def _powers(base: int, count: int) -> np.ndarray:
+    """The first powers of ``base``, modulo 2**64."""
+    power = np.full(count, base, dtype=np.uint64)
+    power[:1] = 1
+    return np.cumprod(power, out=power)
 
 
 class Rolling:
     """Prefix polynomial hashes of a byte buffer, modulo 2**64, for the hash of any piece of it."""
 
     def __init__(self, data: np.ndarray, base: int):
-        power = np.full(len(data) + 1, base, dtype=np.uint64)
-        power[0] = 1
-        np.cumprod(power, out=power)
-        self.prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=self.prefix[1:])
-        power[1:] = np.uint64(pow(base, -1, 1 << 64))
-        power[0] = 1
-        self.back = np.cumprod(power, out=power)
-
-    def pieces(self, size: int) -> np.ndarray:
-        """Hash of every piece of ``size`` bytes."""
+        n, inverse = len(data), pow(base, -1, 1 << 64)
+        steps = n // _STEP + 1
+        power, far = _powers(base, _STEP), _powers(pow(base, _STEP, 1 << 64), steps)
+        #: A place's power of the inverse is the product of that of its step and that within the step.
+        self.back, self.far_back = _powers(inverse, _STEP), _powers(pow(inverse, _STEP, 1 << 64), steps)
+        self.prefix = np.zeros(n + 1, dtype=np.uint64)
+        for a in range(0, n, _STEP):
+            part = data[a : a + _STEP].astype(np.uint64)
+            part += np.uint64(1)
+            part *= power[: len(part)]
+            part *= far[a // _STEP]
+            to = self.prefix[a + 1 : a + 1 + len(part)]
+            np.cumsum(part, out=to)
+            to += self.prefix[a]
+
+    def pieces(self, size: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Hash of every piece of ``size`` bytes, some at a time with the place of the first."""
         n = len(self.prefix) - size
-        return _mix((self.prefix[size:] - self.prefix[:n]) * self.back[:n])
+        for a in range(0, n, _STEP):
+            b = min(a + _STEP, n)
+            part = self.prefix[a + size : b + size] - self.prefix[a:b]
+            part *= self.back[: b - a]
+            part *= self.far_back[a // _STEP]
+            yield a, _mix(part)
 
-    def at(self, starts: np.ndarray, size: int) -> np.ndarray:
-        return _mix((self.prefix[starts + size] - self.prefix[starts]) * self.back[starts])
+    def at(self, starts: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+        out = self.prefix[starts + size] - self.prefix[starts]
+        out *= self.back[starts % _STEP]
+        out *= self.far_back[starts // _STEP]
+        return _mix(out)
 
 
 def _sliding(x: np.ndarray, width: int, pick: Callable) -> np.ndarray:
     """``pick`` (minimum or maximum) of every ``width`` neighbours."""
-    span = 1
-    while span * 2 <= width:
-        x = pick(x[:-span], x[span:])
-        span *= 2
-    return pick(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
+    out = np.empty(len(x) - width + 1, dtype=x.dtype)
+    for a in range(0, len(out), _STEP):
+        to, span = out[a : a + _STEP], 1
+        part = x[a : a + len(to) + width - 1]
+        while span * 2 <= width:
+            part = pick(part[:-span], part[span:])
+            span *= 2
+        pick(part[: len(to)], part[width - span :], out=to)
+    return out
 
 
 class _Block:
@@ -102,21 +133,24 @@ class _Block:
         self.starts = self.ends - self.sizes
         self.data = np.frombuffer(b"".join(parts), dtype=np.uint8)
         n, width = len(self.data), match - anchor + 1
+        self.rolling = Rolling(self.data, _BASES[0])
         self.at = np.empty(0, dtype=np.int64)
         self.hashes = np.empty(0, dtype=np.uint64)
         if n >= match:
-            hashes = Rolling(self.data, _BASES[0]).pieces(anchor)
             # A smaller order of pieces than their whole hash is enough to choose anchors; equal ones are all taken.
-            order = (hashes >> np.uint64(33)).astype(np.uint32) + np.uint32(1)
-            least = _sliding(order, width, np.minimum)
-            inside = np.zeros(n + 1, dtype=np.int32)
-            some = (self.sizes >= match) & known
-            np.add.at(inside, self.starts[some], 1)
-            np.add.at(inside, self.ends[some] - match + 1, -1)
-            least = np.where(np.cumsum(inside[: len(least)]) > 0, least, np.uint32(0))
-            padded = np.concatenate((np.zeros(width - 1, dtype=np.uint32), least, np.zeros(width - 1, dtype=np.uint32)))
+            order = np.empty(n - anchor + 1, dtype=np.uint32)
+            for a, part in self.rolling.pieces(anchor):
+                order[a : a + len(part)] = part >> np.uint64(33)
+            order += np.uint32(1)
+            padded = np.zeros(len(order) + width - 1, dtype=np.uint32)
+            least = padded[width - 1 : len(order)]
+            least[:] = _sliding(order, width, np.minimum)
+            # Strings that a document does not hold whole, and all of documents without an id, choose no anchor.
+            whole = np.where(known, np.maximum(self.ends - match + 1, self.starts), self.starts)
+            for a, b in zip(whole.tolist(), self.ends.tolist(), strict=True):
+                least[a:b] = 0
             self.at = np.flatnonzero(_sliding(padded, width, np.maximum) == order)
-            self.hashes = hashes[self.at]
+            self.hashes = self.rolling.at(self.at, anchor)
         self.doc = np.searchsorted(self.ends, self.at, "right")
         #: Ascending distinct anchor hashes, the number of each anchor, occurrences of each.
         self.distinct, self.number, self.count = np.unique(self.hashes, return_inverse=True, return_counts=True)
@@ -127,12 +161,13 @@ class _Block:
         reach = self.match - self.anchor
         right = np.minimum(self.ends[doc] - at, self.match)
         left = np.minimum(at - self.starts[doc], reach)
-        last = len(self.data) - 1
-        after = self.data[np.minimum(at[:, None] + np.arange(self.match), last)]
-        before = self.data[np.maximum(at[:, None] - 1 - np.arange(reach), 0)]
-        after = np.where(np.arange(self.match) < right[:, None], after, np.uint8(0))
-        before = np.where(np.arange(reach) < left[:, None], before, np.uint8(0))
-        return np.concatenate((after, before), axis=1), right, left
+        padded = np.concatenate((np.zeros(reach, dtype=np.uint8), self.data, np.zeros(self.match, dtype=np.uint8)))
+        windows = np.lib.stride_tricks.sliding_window_view(padded, reach + self.match)[at]
+        rows = np.concatenate((windows[:, reach:], windows[:, :reach][:, ::-1]), axis=1)
+        edge = np.flatnonzero((right < self.match) | (left < reach))
+        rows[edge, : self.match] *= np.arange(self.match) < right[edge, None]
+        rows[edge, self.match :] *= np.arange(reach) < left[edge, None]
+        return rows, right, left
 
 
 class _Shared:
@@ -144,10 +179,7 @@ class _Shared:
         rows, right, left = block.around(self.picked)
         full = np.concatenate((rows, right[:, None].astype(np.uint8), left[:, None].astype(np.uint8)), axis=1)
         keys = block.hashes[self.picked]
-        # Entries in the order of the anchor's hash, then of their bytes.
-        tagged = np.concatenate((keys.astype(">u8").view(np.uint8).reshape(-1, 8), full), axis=1)
-        line = np.ascontiguousarray(tagged).view(np.dtype((np.void, tagged.shape[1]))).ravel()
-        _, first, self.entry = np.unique(line, return_index=True, return_inverse=True)
+        first, self.entry = _entries(keys, full, block.rolling.at(block.at[self.picked] - left, left + right))
         self.rows, self.keys = full[first], keys[first]
         self.right, self.left = right, left
         self.least = _least(self.entry, block.ids[block.doc[self.picked]], len(first))
@@ -170,6 +202,24 @@ class _Shared:
         self.string_least = _least(self.string, block.ids[self.string_doc], len(self.strings))
 
 
+def _entries(keys: np.ndarray, full: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row of each kind, and the number of each row's kind; an order that only the anchors' hashes (first) and the bytes decide."""
+    if not len(keys):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    hashes = _mix(hashes ^ (full[:, -2].astype(np.uint64) << np.uint64(8) | full[:, -1].astype(np.uint64)))
+    order = np.lexsort((hashes, keys))
+    new = np.r_[True, (np.diff(keys[order]) != 0) | (np.diff(hashes[order]) != 0)]
+    same = np.flatnonzero(~new)
+    if not np.array_equal(full[order[same]], full[order[same - 1]]):
+        # Hashes that lied: the bytes decide.
+        tagged = np.concatenate((keys.astype(">u8").view(np.uint8).reshape(-1, 8), full), axis=1)
+        line = np.ascontiguousarray(tagged).view(np.dtype((np.void, tagged.shape[1]))).ravel()
+        return np.unique(line, return_index=True, return_inverse=True)[1:]
+    entry = np.empty(len(order), dtype=np.int64)
+    entry[order] = np.cumsum(new) - 1
+    return order[new], entry
+
+
 def _least(number: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     out = np.full(size, np.iinfo(np.int64).max, dtype=np.int64)
     np.minimum.at(out, number, values)
@@ -265,21 +315,26 @@ def earlier_strings(rows: np.ndarray, group: np.ndarray, ids: np.ndarray, match:
     right, left = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
     by_right, common_right = suffix_order(after, group)
     by_left, common_left = suffix_order(before, group)
+    # What an entry has in common with its neighbour in the order is the most that it has in common with any.
+    most_right, most_left = np.empty(len(rows), dtype=np.int64), np.empty(len(rows), dtype=np.int64)
+    most_right[by_right] = np.minimum(np.maximum(common_right, np.append(common_right[1:], -1)), right[by_right])
+    most_left[by_left] = np.minimum(np.maximum(common_left, np.append(common_left[1:], -1)), left[by_left])
     bits = np.zeros(len(rows), dtype=np.uint64)
+    some = np.flatnonzero(most_right + most_left >= match)
+    most_right, most_left = most_right[some], most_left[some]
+    class_right, class_left = np.empty(len(rows), dtype=np.int64), np.empty(len(rows), dtype=np.int64)
     for taken in range(reach + 1):
-        valid = (left >= taken) & (right >= match - taken)
-        if not valid.any():
+        at = some[(most_left >= taken) & (most_right >= match - taken)]
+        if not len(at):
             continue
-        class_right, class_left = np.empty(len(rows), dtype=np.int64), np.empty(len(rows), dtype=np.int64)
         class_right[by_right] = np.cumsum(common_right < match - taken)
         class_left[by_left] = np.cumsum(common_left < taken)
-        at = np.flatnonzero(valid)
         both = class_right[at] * (len(rows) + 1) + class_left[at]
-        order = np.lexsort((ids[at], both))
+        order = np.argsort(both)
         new = np.r_[True, np.diff(both[order]) != 0]
-        least = ids[at][order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        hit = at[order[ids[at][order] > least]]
-        bits[hit] |= np.uint64(1 << taken)
+        mine = ids[at[order]]
+        least = np.minimum.reduceat(mine, np.flatnonzero(new))[np.cumsum(new) - 1]
+        bits[at[order[mine > least]]] |= np.uint64(1 << taken)
     return bits
 
 
@@ -362,7 +417,10 @@ def _answer_strings(match: int, anchor: int):
             keys = np.concatenate([unpack_sorted(b) for _, b in halves])
             rows = np.concatenate([np.frombuffer(zlib.decompress(d), dtype=np.uint8).reshape(-1, width) for d in entries["data"]])
             order = np.argsort(keys, kind="stable")
-            bits = np.empty(len(keys), dtype=np.uint64)
+            # An anchor with one entry has nothing to compare; what its block knows is enough.
+            differ = np.diff(keys[order]) != 0
+            order = order[~(np.r_[True, differ] & np.r_[differ, True])]
+            bits = np.zeros(len(keys), dtype=np.uint64)
             for part in _chunks(keys[order]):
                 mine = order[part]
                 group = np.cumsum(np.r_[0, np.diff(keys[mine]) != 0])
@@ -413,21 +471,22 @@ def _remove(match: int, anchor: int, carry: list[str]):
         reach = match - anchor
         own = block.ids[block.doc[asked.picked]] > asked.least[asked.entry]
         bits = np.where(own, np.uint64((1 << (reach + 1)) - 1), answered(1)[asked.entry])
-        change = np.zeros(len(block.data) + 1, dtype=np.int32)
+        some = np.flatnonzero(bits)
+        bits, at, left, right = bits[some], block.at[asked.picked[some]], asked.left[some], asked.right[some]
+        # A byte goes if one of the ``match`` places up to its own starts a string that goes.
+        marked = np.zeros(len(block.data) + match - 1, dtype=np.uint8)
+        begins = marked[match - 1 :]
         for taken in range(reach + 1):
-            hit = (bits >> np.uint64(taken) & np.uint64(1)).astype(bool) & (asked.left >= taken) & (asked.right >= match - taken)
-            starts = block.at[asked.picked[hit]] - taken
-            np.add.at(change, starts, 1)
-            np.add.at(change, starts + match, -1)
+            hit = (bits >> np.uint64(taken) & np.uint64(1)).astype(bool) & (left >= taken) & (right >= match - taken)
+            begins[at[hit] - taken] = 1
         late = (block.ids[asked.string_doc] > asked.string_least[asked.string]) | answered(2)[asked.string].astype(bool)
-        np.add.at(change, asked.starts[late], 1)
-        np.add.at(change, asked.starts[late] + match, -1)
-        gone = np.cumsum(change[:-1]) > 0
+        begins[asked.starts[late]] = 1
+        gone = _sliding(marked, match, np.maximum).view(bool)
         removed, spans, digests, texts = [], [], [], []
         for a, b in zip(block.starts.tolist(), block.ends.tolist(), strict=True):
             mask = gone[a:b]
-            kept = block.data[a:b][~mask].tobytes()
-            removed.append(int(mask.sum()))
+            removed.append(int(np.count_nonzero(mask)))
+            kept = (block.data[a:b][~mask] if removed[-1] else block.data[a:b]).tobytes()
             spans.append(int(mask[:1].sum()) + int((mask[1:] & ~mask[:-1]).sum()))
             digests.append(hashlib.sha256(kept).hexdigest())
             texts.append(kept)

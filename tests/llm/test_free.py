@@ -1,9 +1,11 @@
 """Language model, codec, SimHash, tiling, piece counts and suffix sorting against plain versions."""
 
 import random
+import zlib
 
 import brute
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import prose
 from pyspark.sql import functions as F
@@ -375,6 +377,44 @@ def test_a_collision_is_mended(monkeypatch):
     assert order.tolist() == [2, 1, 0] and common.tolist() == [-1, 1, 0]
 
 
+def test_hashes_and_minima_step_by_step(monkeypatch):
+    """Steps smaller than the data give what one step gives: equal pieces equal hashes, and every window its smallest."""
+    monkeypatch.setattr(suffix_dedup, "_STEP", 7)
+    rnd = np.random.default_rng(8)
+    for size in (0, 1, 6, 7, 8, 14, 40):
+        data = rnd.integers(0, 2, size).astype(np.uint8)
+        rolling = suffix_dedup.Rolling(data, suffix_dedup._BASES[0])
+        for width in range(1, min(size, 9) + 1):
+            hashes = np.concatenate([part for _, part in rolling.pieces(width)])
+            pieces = [bytes(data[k : k + width]) for k in range(size - width + 1)]
+            assert len(set(zip(pieces, hashes.tolist(), strict=True))) == len(set(pieces)) == len(set(hashes.tolist()))
+            assert rolling.at(np.arange(len(pieces)), np.full(len(pieces), width)).tolist() == hashes.tolist()
+            assert suffix_dedup._sliding(data, width, np.minimum).tolist() == [min(piece) for piece in pieces]
+
+
+def test_equal_entries_are_told_by_bytes_where_hashes_lie():
+    full = np.array([[2, 1, 1, 1], [1, 1, 1, 1], [2, 1, 1, 1], [3, 1, 1, 1]], dtype=np.uint8)
+    keys = np.array([5, 5, 5, 4], dtype=np.uint64)
+    for hashes in (np.array([9, 8, 9, 9], dtype=np.uint64), np.zeros(4, dtype=np.uint64)):
+        first, entry = suffix_dedup._entries(keys, full, hashes)
+        assert len(first) == 3 and keys[first].tolist() == [4, 5, 5]
+        assert (full[first][entry] == full).all() and (keys[first][entry] == keys).all()
+
+
+def test_entries_alone_at_their_anchor_are_not_sorted(monkeypatch):
+    sorted_rows = []
+    real = suffix_dedup.earlier_strings
+    monkeypatch.setattr(suffix_dedup, "earlier_strings", lambda rows, *rest: sorted_rows.append(len(rows)) or real(rows, *rest))
+    rows = np.zeros((4, 4 + 2 + 2), dtype=np.uint8)
+    rows[:, -2], rows[:, -1] = 4, 2
+    keys, ids = np.array([3, 5, 5, 9], dtype=np.uint64), np.array([1, 1, 2, 2], dtype=np.uint64)
+    frame = pd.DataFrame(
+        [(0, 0, 1, zlib.compress(rows.tobytes()), suffix_dedup.pack(ids) + suffix_dedup.pack_sorted(keys))], columns=["block", "shard", "kind", "data", "numbers"]
+    )
+    found = suffix_dedup._answer_strings(4, 2)((0,), frame)
+    assert sorted_rows == [2] and suffix_dedup.unpack(found["data"][0]).tolist() == [0, 0, 0b111, 0]
+
+
 def test_merges_take_whole_texts_and_not_word_by_word():
     data = codec.read_model()
     assert codec.build_tokenizer(codec.parse_model(data)).pre_tokenizer is None
