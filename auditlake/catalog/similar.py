@@ -9,6 +9,7 @@ from auditlake.catalog.registry import query, table
 from auditlake.functions.text import normalize_name
 from auditlake.operators import concepts
 from auditlake.operators.similar import EDIT_SHARE, WORD_SHARE
+from auditlake.plans.sized import spread_small
 
 
 def _variant(name, number):
@@ -23,12 +24,12 @@ def _variant(name, number):
 
 def _candidates(spark, sf_dir):
     """Parts and customers in turn, typed by type and segment."""
-    part = table(spark, sf_dir, "part").select(
+    part = spread_small(table(spark, sf_dir, "part")).select(
         F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("segment_id"), (F.col("p_partkey") * 2).alias("seq"),
         F.concat(F.lit("Part "), "p_type").alias("concept_type"), _variant(F.concat("p_name", F.lit(" grade")), F.col("p_partkey")).alias("concept_name"),
     )
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    customer = table(spark, sf_dir, "customer").join(nation, "c_nationkey").select(
+    customer = spread_small(table(spark, sf_dir, "customer")).join(nation, "c_nationkey").select(
         F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("segment_id"), (F.col("c_custkey") * 2 + 1).alias("seq"),
         F.concat(F.lit("Customer "), "c_mktsegment").alias("concept_type"),
         _variant(F.concat("n_name", F.lit(" customer account")), F.col("c_custkey")).alias("concept_name"),

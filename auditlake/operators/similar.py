@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.plans.scan import bucket_of, ordinal
+from auditlake.plans.sized import placed_by
 from auditlake.session import materialize
 
 #: Letters that may change, as a share of the longer name, and words the shorter name must have of the longer one's.
@@ -53,7 +54,8 @@ def is_similar(
     shared = F.size(F.array_intersect(a["words"], b["words"]))
     extended = (few > 0) & (shared == few) & (few >= many * F.lit(word_share) - F.lit(1e-9))
     bound = _edits(F.greatest(a["length"], b["length"]), edit_share)
-    near = (F.abs(a["length"] - b["length"]) <= bound) & (F.levenshtein(name_a, name_b) <= bound)
+    # Beyond the bound the distance is not counted to its end, and -1.
+    near = (F.abs(a["length"] - b["length"]) <= bound) & (F.call_function("levenshtein", name_a, name_b, bound) >= 0)
     return (a["numbers"] == b["numbers"]) & (extended | near)
 
 
@@ -96,17 +98,21 @@ def _with_prefixes(nodes: DataFrame, edit_share: float, word_share: float) -> Da
 def _pairs(late: DataFrame, early: DataFrame, edit_share: float, word_share: float) -> DataFrame:
     """``concept_type, key, lead, at``: similar names, ``lead`` having arrived (``at``) before ``key``.
 
-    Names meet by type, numbers and a token both prefixes hold; the first such token alone counts.
+    Names meet by type, numbers and a token both prefixes hold; the first such token alone counts. Words come
+    first, so names that meet by letter pairs share none of the words that an extended name must share, and their lengths are near.
+    Both sides are placed by name, as few small names can have very many pairs.
     """
 
     def placed(df: DataFrame, side: str) -> DataFrame:
-        return df.select(
+        return placed_by(df, *_NODE).select(
             "concept_type", F.col("traits")["numbers"].alias("numbers"), F.explode("prefix").alias("token"),
             *[F.col(c).alias(f"{side}_{c}") for c in ("key", "name", "traits", "at", "prefix")],
         )
 
+    a_length, b_length = F.col("a_traits")["length"], F.col("b_traits")["length"]
+    maybe = F.startswith("token", F.lit("w")) | (F.abs(a_length - b_length) <= _edits(F.greatest(a_length, b_length), edit_share))
     met = placed(late, "a").join(placed(early, "b"), ["concept_type", "numbers", "token"]).filter(
-        (F.col("a_at") > F.col("b_at")) & (F.array_intersect("a_prefix", "b_prefix")[0] == F.col("token"))
+        (F.col("a_at") > F.col("b_at")) & maybe & (F.array_intersect("a_prefix", "b_prefix")[0] == F.col("token"))
     )
     same = is_similar(F.col("a_name"), F.col("a_traits"), F.col("b_name"), F.col("b_traits"), edit_share, word_share)
     return met.filter(same).select("concept_type", F.col("a_key").alias("key"), F.col("b_key").alias("lead"), F.col("b_at").alias("at"))

@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from auditlake.functions.text import SPACE, name_parts, normalize_name
 from auditlake.operators import similar
-from auditlake.operators.concepts import reconcile
+from auditlake.operators.concepts import match_key, reconcile
 
 WORDS = ["loan", "credit", "amount", "borrower", "rate", "annual", "income", "house", "7", "12", "a", "fund"]
 
@@ -90,6 +91,26 @@ def test_no_similar_pair_is_missed(spark):
     assert got == {(b[1], a[1]) for a in rows for b in rows if a[3] < b[3] and plain_similar(a[2], b[2], edit=0.2)}
 
 
+def test_few_small_names_are_spread(spark, tmp_path):
+    """Pairs of a small table of names are looked for by all cores."""
+    rows = [("S", f"{k}", f"annual-income-{k:03d}" if k % 2 else f"annual-income{'x' * k}", k) for k in range(60)]
+    df = spark.createDataFrame(rows, "concept_type string, key string, name string, seq long").withColumn("at", F.struct(F.lit(1).alias("new"), "seq", "key"))
+    similar._with_prefixes(df.withColumn("traits", similar.name_traits(F.col("name"))), 0.15, 0.6).coalesce(1).write.parquet(f"{tmp_path}/names")
+    nodes = spark.read.parquet(f"{tmp_path}/names")
+    similar._pairs(nodes, nodes, 0.15, 0.6).withColumn("part", F.spark_partition_id()).write.parquet(f"{tmp_path}/pairs")
+    found = spark.read.parquet(f"{tmp_path}/pairs")
+    assert found.count() > 0 and found.select("part").distinct().count() > 1
+
+
+@pytest.mark.parametrize("name", ["Annual Income", "income--annual", " - ", "", None, "A&B b", "camelCase Word", "x\u00a0y\nz 12-3", "-é-", "É1 \u2003 b- a -b\n"])
+def test_match_key_is_that_of_the_slug_words(spark, name):
+    df = spark.createDataFrame([(name,)], "n string")
+    slug = F.regexp_replace(F.regexp_replace(F.replace(F.lower("n"), F.lit("&"), F.lit("and")), rf"[^a-z0-9{SPACE}\-]", ""), rf"[{SPACE}\-]+", "-")
+    plain = F.coalesce(F.nullif(F.regexp_replace(slug, "^-+|-+$", ""), F.lit("")), F.lit("concept"))
+    row = df.select(normalize_name("n").alias("a"), plain.alias("b"), match_key(F.col("n")).alias("c"), F.array_join(name_parts(plain), "-").alias("d")).first()
+    assert row.a == row.b and row.c == row.d
+
+
 def test_empty_and_single(spark):
     none = spark.createDataFrame([], "concept_type string, key string, name string, seq long")
     one = spark.createDataFrame([("S", "k", "", 5)], none.schema)
