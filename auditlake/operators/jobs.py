@@ -108,7 +108,7 @@ def ingest_documents(
             F.col("title").alias("summary"),
             F.create_map(F.lit("filename"), F.col("filename")).alias("attributes_and_values"),
         )
-        merged, mapping = C.reconcile(materialize(candidates, "candidates"), save.read("concepts"))
+        merged, mapping = C.reconcile(candidates, save.read("concepts"))
         merged = materialize(merged, "concepts")
         save.rebuild("concept_segment_mapping", mapping)
         save.rebuild("concepts", merged)
