@@ -10,7 +10,7 @@ from auditlake.operators.ontology import (
     CMNS_DEFINITION, OWL_CLASS, OWL_ON_PROPERTY, RDF_TYPE, RDFS_DOMAIN, RDFS_LABEL, RDFS_SUBCLASS, SKOS_DEFINITION,
 )
 from auditlake.plans.sized import lookup_join, parts_for, spread_small
-from auditlake.session import materialize
+from auditlake.session import settled
 from auditlake.sources.text import parse_triples
 
 BASE = "http://data.example.org"
@@ -39,27 +39,27 @@ def triples_of(spark, sf_dir):
         spread_small(delivered).withColumn("p_partkey", F.col("l_partkey")), part.select("p_partkey", "file"), ["p_partkey"],
         parts=parts_for(spark, delivered.count()),
     )
-    supplier = F.concat(F.lit(f"{BASE}/supply/deliveredBy"), F.col("l_suppkey").cast("string"))
-    domains = items.select("file", supplier.alias("s"), F.lit(RDFS_DOMAIN).alias("p"), _class().alias("o"), F.lit(True).alias("i"))
     key = F.concat_ws("x", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], "l_returnflag", "l_linestatus")
-    node = F.concat(F.lit("_:r"), key)
-    flag = F.concat(F.lit(f"{BASE}/flags#has"), "l_returnflag", "l_linestatus")
-    limits = items.select(
+    # Names are put together once for the four triples of an item.
+    named = items.select(
         "file",
-        F.explode(
-            F.array(
-                F.struct(_class().alias("s"), F.lit(RDFS_SUBCLASS).alias("p"), node.alias("o"), F.lit(False).alias("i")),
-                F.struct(node.alias("s"), F.lit(OWL_ON_PROPERTY).alias("p"), flag.alias("o"), F.lit(True).alias("i")),
-                F.struct(node.alias("s"), F.lit(RDF_TYPE).alias("p"), F.lit(OWL_CLASS).alias("o"), F.lit(True).alias("i")),
-            )
-        ).alias("t"),
-    ).select("file", "t.*")
-    triples = facts.unionByName(domains).unionByName(limits).select(
+        _class().alias("class"),
+        F.concat(F.lit("_:r"), key).alias("node"),
+        F.concat(F.lit(f"{BASE}/supply/deliveredBy"), F.col("l_suppkey").cast("string")).alias("supplier"),
+        F.concat(F.lit(f"{BASE}/flags#has"), "l_returnflag", "l_linestatus").alias("flag"),
+    )
+    told = [
+        ("supplier", RDFS_DOMAIN, F.col("class"), True), ("class", RDFS_SUBCLASS, F.col("node"), False),
+        ("node", OWL_ON_PROPERTY, F.col("flag"), True), ("node", RDF_TYPE, F.lit(OWL_CLASS), True),
+    ]
+    four = F.array(*[F.struct(F.col(s).alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(i).alias("i")) for s, p, o, i in told])
+    delivered = named.select("file", F.explode(four).alias("t")).select("file", "t.*")
+    triples = facts.unionByName(delivered).select(
         F.col("file").alias("source_file"), F.col("s").alias("subject"), F.col("p").alias("predicate"),
         F.col("o").alias("object"), F.col("i").alias("is_iri"),
     )
     # Triples are a table of their own, read several times by predicate.
-    return materialize(triples, "triples")
+    return settled(triples, "triples")
 
 
 _CLASSES = f"""

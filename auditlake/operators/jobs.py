@@ -17,7 +17,7 @@ from auditlake.operators.context import budget_prefix
 from auditlake.operators.cover import cover_match
 from auditlake.operators.cube import CubeSpec, data_cube
 from auditlake.plans.scan import bucket_of, prior, range_bucketed
-from auditlake.session import materialize
+from auditlake.session import materialize, settled
 from auditlake.sources.sinks import Store
 
 
@@ -31,11 +31,11 @@ def create_mapping(triples: DataFrame, columns: DataFrame, store: Store, base: s
     store.create()
     found = O.unprocessed(O.classes(triples), store.read("processed_classes"), "class_uri")
     # A class described in several files is mapped once, from the first of them.
-    once = materialize(
+    once = settled(
         found.groupBy("class_uri").agg(F.min_by(F.struct("class_name", "source_file"), "source_file").alias("c")).select("class_uri", "c.*"),
         "classes",
     )
-    attributes = materialize(
+    attributes = settled(
         O.class_properties(triples).join(once, ["source_file", "class_uri"]).select(
             "class_name", "class_uri", F.col("source_file").alias("source_ttl_file"), F.col("property").alias("attribute_name")
         ),
@@ -43,15 +43,18 @@ def create_mapping(triples: DataFrame, columns: DataFrame, store: Store, base: s
     )
     if combine:
         number = "number" if "number" in columns.columns else None
-        store.save_classes(once, cover_match(attributes, "attribute_name", columns, "column_name", "file", number).drop("similarity"))
+        found = cover_match(attributes, "attribute_name", columns, "column_name", "file", number).drop("similarity")
+        store.save_classes(once, materialize(found, "matches"))
         return mapping_report(store, columns, base)
+    # Read by several steps, however it is made.
+    columns = materialize(columns.select("column_name").distinct(), "columns")
     matched = M.schema_match(attributes, "attribute_name", columns, "column_name")
     rows = matched.select(
         *attributes.columns,
         F.when(F.col("mapped_column").isNull(), F.array().cast("array<string>")).otherwise(F.array("mapped_column")).alias("mapped_columns"),
         F.lit(None).cast("string").alias("sql_formula"),
         "not_enough_information",
-        F.format_string("name similarity %.4f", F.coalesce("similarity", F.lit(0.0))).alias("explanation"),
+        F.concat(F.lit("name similarity "), F.coalesce("similarity", F.lit(0.0)).cast("decimal(5,4)").cast("string")).alias("explanation"),
     )
     store.save_classes(once, rows)
     return mapping_report(store, columns, base)

@@ -11,8 +11,8 @@ from auditlake.functions.sqltext import resolve_names
 from auditlake.functions.text import name_parts, percent, relative_path
 from auditlake.operators.tables import BOOKKEEPING_TABLES, quoted
 from auditlake.plans.scan import ordered_parts, range_bucketed
-from auditlake.plans.sized import lookup_join
-from auditlake.session import materialize
+from auditlake.plans.sized import lookup_join, marked, parted, parts_for
+from auditlake.session import materialize, settled
 
 # Words of a formula that are not column or table names.
 FORMULA_KEYWORDS = [
@@ -22,6 +22,10 @@ FORMULA_KEYWORDS = [
 ]
 
 
+# Names with their column that may be broadcast, within the bound of bytes.
+NAME_ROWS = 1_000_000
+
+
 @dataclass(frozen=True)
 class Catalog:
     """Lower-cased table and column names a mapping may use; schema metadata only."""
@@ -107,7 +111,7 @@ def existing_columns_join(mappings: DataFrame, key: str, columns: str, catalog:
 def _name_sets(df: DataFrame, name: str, prefix: str) -> DataFrame:
     """Distinct word sets of a name column."""
     return (
-        df.select(name_parts(name).alias(f"{prefix}_set")).distinct()
+        df.select(quoted(name).alias("_name")).distinct().select(name_parts("_name").alias(f"{prefix}_set")).distinct()
         .withColumn(f"{prefix}_key", F.array_join(f"{prefix}_set", " "))
         .filter(F.size(f"{prefix}_set") > 0)
     )
@@ -142,8 +146,10 @@ def schema_match(attributes: DataFrame, attribute: str, columns: DataFrame, colu
     edit distance, then the smaller name. Word sets are compared once however many
     attributes share them, and only sets that share a rare word meet.
     """
-    left = _name_sets(attributes, attribute, "l")
-    right = _name_sets(columns, column, "r")
+    # Names are cut into words once for all their attributes, and found again by the whole name.
+    named = materialize(attributes.select(quoted(attribute).alias("_name")).distinct(), "names")
+    left = _name_sets(named, "_name", "l")
+    right = materialize(_name_sets(columns, column, "r"), "columns")
     rarity = right.select(F.explode("r_set").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     pairs = name_pairs(left, right, rarity, threshold)
     split_l, split_r = F.split("l_key", " "), F.split("r_key", " ")
@@ -157,12 +163,13 @@ def schema_match(attributes: DataFrame, attribute: str, columns: DataFrame, colu
     best = scored.groupBy("l_key").agg(
         F.min_by(F.struct("r_key", "similarity"), F.struct(-F.col("similarity"), "distance", "r_key")).alias("b")
     )
-    named = columns.select(F.array_join(name_parts(column), " ").alias("r_key"), quoted(column).alias("c")).groupBy("r_key").agg(
+    spelt = columns.select(F.array_join(name_parts(column), " ").alias("r_key"), quoted(column).alias("c")).groupBy("r_key").agg(
         F.min("c").alias("mapped_column")
     )
-    chosen = materialize(best.select("l_key", "b.r_key", "b.similarity").join(named, "r_key").drop("r_key"), "matches")
-    keyed = attributes.withColumn("l_key", F.array_join(name_parts(attribute), " "))
-    return lookup_join(keyed, chosen, ["l_key"], "left").select(
+    keyed = named.withColumn("l_key", F.array_join(name_parts("_name"), " "))
+    chosen = best.select("l_key", "b.r_key", "b.similarity").join(spelt, "r_key").join(keyed, "l_key")
+    chosen = materialize(chosen.select("_name", "mapped_column", "similarity"), "matches")
+    return lookup_join(attributes.withColumn("_name", quoted(attribute)), chosen, ["_name"], "left", max_rows=NAME_ROWS).select(
         *[quoted(c) for c in attributes.columns],
         "mapped_column",
         F.round("similarity", 4).alias("similarity"),
@@ -216,21 +223,49 @@ def _tree(placed: DataFrame, part_size: int) -> DataFrame:
     return parts.select(*keys, "part_no", F.map_from_entries("_items").alias("attributes"))
 
 
+def _in_class(rows: DataFrame, parts: int) -> DataFrame:
+    """Mapped attributes of classes with few rows, in order, as ``_items`` in the row of their class; the last row of an attribute wins."""
+    keys = ["source_ttl_file", "class_name"]
+    found = (
+        marked(parted(rows, parts, *keys), keys).groupBy("_mark", *keys)
+        .agg(F.array_sort(F.collect_list(F.struct("attribute_name", "_seq", *RECORD))).alias("_all"))
+    )
+
+    def wins(row: Column, at: Column) -> Column:
+        after = F.get("_all", at + 1)
+        enough = ~F.coalesce(row["not_enough_information"], F.lit(False))
+        return (after.isNull() | ~after["attribute_name"].eqNullSafe(row["attribute_name"])) & (F.size(row["mapped_columns"]) > 0) & enough
+
+    items = F.transform(
+        F.filter("_all", wins), lambda i: F.struct(i["attribute_name"].alias("attribute_name"), F.struct(*[i[c].alias(c) for c in RECORD[:3]]).alias("record"))
+    )
+    return found.select(*keys, items.alias("_items")).filter(F.size("_items") > 0)
+
+
 def mapping_export(mappings: DataFrame, seq: str, columns: DataFrame, base: str, part_size: int = 1_000) -> DataFrame:
     """Lines of the mapping file: the coverage comment, then one JSON object per file and class.
 
     Unmapped attributes, and classes and files left without any, are pruned.
     """
     keys = ["source_ttl_file", "class_name", "attribute_name"]
-    last = mappings.groupBy(*keys).agg(F.max_by(F.struct(*RECORD), F.col(seq)).alias("r")).select(*keys, "r.*")
+    rows = mappings.select(*keys, F.col(seq).alias("_seq"), *RECORD).filter("_seq IS NOT NULL")
+    nameless = F.col(keys[0]).isNull() | F.col(keys[1]).isNull()
+    sizes = rows.groupBy(*keys[:2]).agg(F.count(F.lit(1)).alias("_n"))
+    large = materialize(sizes.filter((F.col("_n") > part_size) | nameless).select(*keys[:2]), "large-classes")
+    small = rows if large.isEmpty() else lookup_join(rows.filter(~nameless), large.filter(~nameless), keys[:2], "left_anti")
     # Written once, for the coverage as for the tree.
-    used = mapped_only(last).select(*keys, F.struct(*RECORD[:3]).alias("record"))
-    placed = range_bucketed(used, keys[:2], ["attribute_name"], "_range")
-    head = column_coverage(placed.select("record.mapped_columns"), columns).select(
+    whole = settled(_in_class(small, parts_for(rows.sparkSession, rows.count())), "classes")
+    used = whole.select(F.explode("_items.record.mapped_columns").alias("mapped_columns")).distinct()
+    tree = whole.select(*keys[:2], F.lit(0).cast("bigint").alias("part_no"), F.map_from_entries("_items").alias("attributes"))
+    if not large.isEmpty():
+        rest = lookup_join(rows.filter(~nameless), large.filter(~nameless), keys[:2], "left_semi").unionByName(rows.filter(nameless))
+        last = rest.groupBy(*keys).agg(F.max_by(F.struct(*RECORD), F.col("_seq")).alias("r")).select(*keys, "r.*")
+        placed = range_bucketed(mapped_only(last).select(*keys, F.struct(*RECORD[:3]).alias("record")), keys[:2], ["attribute_name"], "_range")
+        used, tree = used.unionByName(placed.select("record.mapped_columns")), tree.unionByName(_tree(placed, part_size))
+    head = column_coverage(used, columns).select(
         F.lit("").alias("source_file"), F.lit("").alias("class_name"), F.lit(0).cast("bigint").alias("part_no"),
         F.concat(F.lit("# "), "coverage_text").alias("line"),
     )
-    tree = _tree(placed, part_size)
     path = relative_path("source_ttl_file", base)
     body = tree.select(
         path.alias("source_file"),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import local_name
 from auditlake.plans.scan import ordered_parts, range_bucketed
-from auditlake.plans.sized import parted, parts_for, salted_join
+from auditlake.plans.sized import full_buckets, marked, parted, parts_for, salted_join
 
 # Vocabulary terms that describe classes.
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -68,15 +68,29 @@ def class_properties(triples: DataFrame) -> DataFrame:
         "source_file", F.col("subject").alias("class_uri"), F.col("object").alias("node")
     )
     parts = _parts(triples, RDFS_DOMAIN, RDFS_SUBCLASS, OWL_ON_PROPERTY)
-    node = ["source_file", "node"]
     told = triples.filter(F.col("predicate") == OWL_ON_PROPERTY).select("source_file", F.col("subject").alias("node"), "object")
-    limits = parted(told, parts, *node).groupBy(*node).agg(F.min("object").alias("on_property"))
-    # A much-used node is salted.
-    restricted = salted_join(parents, limits, node, "inner", parts=parts).select(
-        "source_file", "class_uri", local_name("on_property").alias("property")
-    )
-    found = domains.unionByName(restricted)
-    return parted(found, parts, *found.columns).distinct()
+    found = domains.unionByName(_restricted(parents, told, parts))
+    # By class, as what follows asks for the classes; those of very many properties are spread.
+    described = domains.select("source_file", "class_uri").unionByName(parents.select("source_file", "class_uri"))
+    spread = ["source_file", "class_uri"] if full_buckets(described, ["source_file", "class_uri"]).isEmpty() else found.columns
+    return parted(found, parts, *spread).distinct()
+
+
+def _restricted(parents: DataFrame, told: DataFrame, parts: int) -> DataFrame:
+    """Properties of the nodes that are parents of a class, the smallest of each node: ``source_file, class_uri, property``."""
+    node = ["source_file", "node"]
+    if not full_buckets(parents, node).isEmpty():
+        # A much-used node is salted.
+        limits = parted(told, parts, *node).groupBy(*node).agg(F.min("object").alias("on_property"))
+        joined = salted_join(parents, limits, node, "inner", parts=parts)
+    else:
+        # Both meet in one shuffle; the hash that is made after it spares the sort the long names.
+        none = F.lit(None).cast("string")
+        both = parents.withColumns({"object": none, "_parent": F.lit(True)}).unionByName(told.withColumns({"class_uri": none, "_parent": F.lit(False)}))
+        met = marked(parted(both.filter("source_file IS NOT NULL AND node IS NOT NULL"), parts, *node), node)
+        least = F.min("object").over(Window.partitionBy("_mark", *node))
+        joined = met.withColumn("on_property", least).filter("_parent AND on_property IS NOT NULL")
+    return joined.select("source_file", "class_uri", local_name("on_property").alias("property"))
 
 
 def class_records(triples: DataFrame, part_size: int = 1_000) -> DataFrame:

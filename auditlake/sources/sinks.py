@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from auditlake.operators.ontology import unprocessed
 from auditlake.operators.tables import update_rows
+from auditlake.plans.sized import known_only
 from auditlake.session import materialize
 
 # Bookkeeping tables and their columns.
@@ -147,7 +148,7 @@ class Store:
             fresh = materialize(unprocessed(once, done, "class_uri"), "classes")
             if not skip_known and fresh.count() < once.count():
                 raise DuplicateClass("a class is stored already")
-            rows = mappings.join(fresh.select("class_uri"), "class_uri", "left_semi")
+            rows = known_only(mappings, fresh, ["class_uri"])
             save.append("attribute_mappings", rows.withColumn("created_at", F.lit(stamp)))
             save.append("processed_classes", fresh.withColumn("processed_at", F.lit(stamp)))
 
@@ -157,7 +158,7 @@ class Store:
         done = self._rows("processed_classes", tables.get("processed_classes", []))
         done = done.select("class_uri", F.col("processed_at").alias("created_at"))
         rows = self._rows("attribute_mappings", tables.get("attribute_mappings", []))
-        return rows.join(done.distinct(), ["class_uri", "created_at"], "left_semi")
+        return known_only(rows, done, ["class_uri", "created_at"])
 
     def vacuum(self, keep: int = 2, hours: float = 24) -> int:
         """Delete folders that none of the newest ``keep`` saves lists, and the files of older saves; returns their number.

@@ -132,3 +132,80 @@ def test_rare_words_lose_no_match(spark):
         for b in sets[1]:
             x, y = set(a.split()), set(b.split())
             assert len(x & y) < 0.5 * len(x | y) or (a, b) in met
+
+
+def _exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_classes_of_few_and_of_many_rows_give_the_same_lines(spark, monkeypatch):
+    rows = []
+    for c, size in (("A", 3), ("B", 12), ("C", 1), (None, 9)):
+        for i in range(size):
+            for seq in range(1 + i % 2):
+                # The later row of an attribute counts, also where it unmaps it.
+                rows.append(("/b/o.ttl", c, f"a{i:02d}", [] if i == 1 and c == "A" and seq else [f"col{i}", f"{c}{seq}"], None, f"why {seq}", False, seq))
+    rows += [("/b/p.ttl", "D", "only", [], None, "", False, 0), ("/b/p.ttl", "E", "unsure", ["col1"], None, "", True, 0), ("/b/p.ttl", "F", "no time", ["col1"], None, "", False, None)]
+    columns = spark.createDataFrame([(f"col{i}",) for i in range(20)], "column_name string")
+    ranged = []
+    keep = M.range_bucketed
+    monkeypatch.setattr(M, "range_bucketed", lambda df, *a, **k: ranged.append(df.select("class_name").distinct().collect()) or keep(df, *a, **k))
+
+    def lines(part_size):
+        got = M.mapping_export(spark.createDataFrame(rows, MAPPING), "seq", columns, "/b", part_size).collect()
+        return {(r.source_file, r.class_name, r.part_no): r.line for r in got}
+
+    few = lines(1_000)
+    # Classes of few rows are not ranged; of the nameless only the columns count.
+    assert [{r[0] for r in x} for x in ranged] == [{None}]
+    assert set(few) == {("", "", 0), ("o.ttl", "A", 0), ("o.ttl", "B", 0), ("o.ttl", "C", 0)}
+    assert few["", "", 0] == "# Coverage: 60.00% (12 out of 20 CSV columns successfully mapped)"
+    for c, size in (("A", 3), ("B", 12), ("C", 1)):
+        want = {f"a{i:02d}": {"mapped_columns": [f"col{i}", f"{c}{i % 2}"], "sql_formula": None, "explanation": f"why {i % 2}"} for i in range(size) if (c, i) != ("A", 1)}
+        assert json.loads(few["o.ttl", c, 0])["attributes"] == want
+        assert list(json.loads(few["o.ttl", c, 0])["attributes"]) == sorted(want)
+    many = lines(5)
+    assert {r[0] for r in ranged[-1]} == {None, "B"}
+    assert {k: v for k, v in many.items() if k[1] != "B"} == {k: v for k, v in few.items() if k[1] != "B"}
+    parts = [json.loads(many["o.ttl", "B", p])["attributes"] for p in range(3)]
+    assert [len(p) for p in parts] == [5, 5, 2] and parts[0] | parts[1] | parts[2] == json.loads(few["o.ttl", "B", 0])["attributes"]
+
+
+def test_names_are_matched_once_for_all_their_attributes(spark):
+    """Whole names are found again; null, wordless and unknown ones stay unmapped."""
+    names = ["intRate", "INT_rate", None, "??", "zzz", "intRate"]
+    attributes = spark.createDataFrame(list(enumerate(names)), "i int, `a.b` string")
+    columns = spark.createDataFrame([("int.rate",), ("int.rate",), ("other",)], "c string")
+    got = {r.i: (r["a.b"], r.mapped_column, r.not_enough_information) for r in M.schema_match(attributes, "a.b", columns, "c").collect()}
+    assert got == {i: (n, "int.rate" if n and "rate" in n.lower() else None, not (n and "rate" in n.lower())) for i, n in enumerate(names)}
+
+
+def test_properties_come_by_class_and_hot_keys_are_spread(spark, monkeypatch):
+    from auditlake.plans import sized
+
+    rows = [("f", f"http://x#C{i % 4}", O.RDFS_SUBCLASS, f"_:n{i % 7}") for i in range(60)]
+    rows += [("f", f"_:n{i % 7}", O.OWL_ON_PROPERTY, f"http://x#p{i % 3}") for i in range(12)]
+    rows += [("f", f"http://x#d{i}", O.RDFS_DOMAIN, f"http://x#C{i % 5}") for i in range(30)] + [("g", "http://x#C0", O.RDFS_SUBCLASS, "_:n1"), (None, "http://x#C0", O.RDFS_SUBCLASS, "_:n1")]
+    triples = spark.createDataFrame(rows, "source_file string, subject string, predicate string, object string")
+    least = {f"_:n{j}": min(f"p{i % 3}" for i in range(12) if i % 7 == j) for j in range(7)}
+    want = sorted({("f", s, least[o]) for f, s, p, o in rows if p == O.RDFS_SUBCLASS and f == "f"} | {("f", o, s[9:]) for f, s, p, o in rows if p == O.RDFS_DOMAIN})
+    found = O.class_properties(triples)
+    plain = _exchanges(found)
+    assert sorted(map(tuple, found.collect())) == want
+    # Nodes meet in one shuffle, and the properties are dealt out by class, for the join with the classes.
+    assert plain == 2
+    monkeypatch.setattr(sized, "HOT_KEY_ROWS", 3)
+    hot = O.class_properties(triples)
+    assert sorted(map(tuple, hot.collect())) == want and _exchanges(hot) > plain
+
+
+def test_rows_of_known_keys_are_not_shuffled(spark):
+    from auditlake.plans.sized import known_only
+
+    big = spark.createDataFrame([(i % 5, i) for i in range(40)] + [(None, 99)], "k int, v int")
+    side = spark.createDataFrame([(k,) for k in range(5)] * 2, "k int")
+    kept = known_only(big, side, ["k"])
+    assert sorted(r.v for r in kept.collect()) == list(range(40))
+    assert "Join" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.v for r in known_only(big, side.filter("k < 2"), ["k"]).collect()) == [i for i in range(40) if i % 5 < 2]
+    assert known_only(big, side.limit(0), ["k"]).count() == 0
